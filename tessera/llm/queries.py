@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality_rules, simhash, url_filter
+from tessera.llm import mixing, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_simhash": simhash.query,
     "op4_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
