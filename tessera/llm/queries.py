@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality_rules, simhash, suffix_dedup, url_filter
+from tessera.llm import knn, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -10,5 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
+    "op8_knn": knn.query,
+    "op9_packing": packing.query,
 }
-ORACLES = {"op1_quality_rules": quality_rules.SQL, "op4_url_filter": url_filter.SQL}
+ORACLES = {"op1_quality_rules": quality_rules.SQL, "op4_url_filter": url_filter.SQL, "op8_knn": knn.SQL}
