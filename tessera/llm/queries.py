@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import knn, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
+from tessera.llm import katz, knn, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_simhash": simhash.query,
     "op4_url_filter": url_filter.query,
+    "op5_katz": katz.query,
     "op6_mixing": mixing.query,
     "op8_knn": knn.query,
     "op9_packing": packing.query,
