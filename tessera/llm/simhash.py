@@ -122,7 +122,7 @@ class BKTree:
 
 def block_choices(n: int, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> list[tuple[int, int]]:
     """(number, mask) of each choice of blocks; the fewest blocks that keep shards of evenly spread fingerprints small."""
-    for k in range(radius + 1, 17):
+    for k in range(radius + 2, 17):
         width, cut = [], 0
         for i in range(k):
             nxt = 64 * (i + 1) // k
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: bool = False) ->
     member = stars.join(groups, stars["node"] == groups["fp"]).select("node", "root", "low")
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = member.join(low, "root").select(F.col("node").alias("fp"), "component_id")
-    label = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    label = work_table(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "fp-classes")
     return fps.join(label, "fp")
 
 
