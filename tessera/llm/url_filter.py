@@ -35,6 +35,13 @@ class Trie:
                 node = node.setdefault("kids", {}).setdefault(seg, {})
             node.setdefault("ends", {})[rest] = (host + path, verdict)
 
+    @classmethod
+    def over(cls, root: dict) -> "Trie":
+        """A trie around broadcast nodes."""
+        out = cls(())
+        out.root = root
+        return out
+
     @staticmethod
     def _path(node: dict, segments: list[str]):
         """The longest rule of one host node that the path starts with."""
@@ -75,11 +82,11 @@ def url_filter(pages: DataFrame, rules, default: str = DEFAULT_VERDICT, max_broa
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rules = list(rules)
     if len(rules) <= max_broadcast:
-        trie = spark.sparkContext.broadcast(Trie(rules))
+        trie = spark.sparkContext.broadcast(Trie(rules).root)
 
         @F.pandas_udf("rule string, verdict string")
         def match(h: pd.Series, p: pd.Series) -> pd.DataFrame:
-            find = trie.value.find
+            find = Trie.over(trie.value).find
             got = [find(a, b) or (None, default) for a, b in zip(h, p)]
             return pd.DataFrame(got, columns=["rule", "verdict"])
 
