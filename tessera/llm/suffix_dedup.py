@@ -342,7 +342,7 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataF
 def merged(marks) -> list[tuple[int, int]]:
     """Sorted ranges with those that touch joined."""
     out: list[list[int]] = []
-    for m in marks or ():
+    for m in () if marks is None else marks:
         if out and m["start"] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], m["end"])
         else:
