@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import katz, knn, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
+import corpus_pipeline
+from tessera.llm import cotraining, katz, knn, licenses, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -11,7 +12,10 @@ QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_katz": katz.query,
     "op6_mixing": mixing.query,
+    "op7_cotraining": cotraining.query,
     "op8_knn": knn.query,
     "op9_packing": packing.query,
+    "op10_licenses": licenses.query,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_quality_rules": quality_rules.SQL, "op4_url_filter": url_filter.SQL, "op8_knn": knn.SQL}
+ORACLES = {"op1_quality_rules": quality_rules.SQL, "op4_url_filter": url_filter.SQL, "op8_knn": knn.SQL, "op10_licenses": licenses.SQL}
