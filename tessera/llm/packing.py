@@ -13,10 +13,16 @@ Defined cases: a null or empty text is one end token; a null source is a queue o
 
 from __future__ import annotations
 
+import json
+import string
+import sys
+import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,8 +31,9 @@ from tessera.llm.common import work_table
 
 SEQUENCE, END_ID = 2048, 1
 MAX_BROADCAST = 500_000
-CACHE_WORDS = 400_000
-SPACES = str.maketrans("\t\n\r", "   ")
+CACHE_WORDS = 1_000_000
+BATCH_BYTES = 4 << 20
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
 def default_tokenizer() -> str:
@@ -35,25 +42,167 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def latin(text: str) -> bool:
+    """Only Latin-1 characters: lower case and composed form are then character by character."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class WordMerger:
+    """Byte-pair merges of many words at once, from the tokenizer's own vocabulary and merge list.
+
+    Every step joins, in each unfinished word, the leftmost pair of the lowest rank; finished words leave the arrays.
+    """
+
+    SLOTS = 1 << 18
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        char = [chr(hidden.get(b, b)) for b in range(256)]
+        self.inner = np.array([vocab[c] for c in char], np.uint32)
+        self.last = np.array([vocab[c + end] for c in char], np.uint32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.out = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        self.none = len(pairs)
+        self.keys = np.full(self.SLOTS, np.iinfo(np.uint32).max, np.uint32)
+        self.rank = np.full(self.SLOTS, self.none, np.int32)
+        for r, (a, b) in enumerate(pairs):
+            k = vocab[a] << 16 | vocab[b]
+            at = int(self._slot(np.array([k], np.uint32))[0])
+            while self.keys[at] != np.iinfo(np.uint32).max and self.keys[at] != k:
+                at = (at + 1) % self.SLOTS
+            if self.keys[at] != k:
+                self.keys[at], self.rank[at] = k, r
+
+    def _slot(self, k: np.ndarray) -> np.ndarray:
+        return ((k * np.uint32(2654435769)) >> np.uint32(14)).astype(np.int64)
+
+    def _ranks(self, k: np.ndarray) -> np.ndarray:
+        at = self._slot(k)
+        got = self.rank[at]
+        open_ = np.flatnonzero((self.keys[at] != k) & (got != self.none))
+        got[open_] = self.none
+        while len(open_):
+            at[open_] = (at[open_] + 1) % self.SLOTS
+            there = self.keys[at[open_]]
+            hit = there == k[open_]
+            got[open_[hit]] = self.rank[at[open_[hit]]]
+            open_ = open_[~hit & (there != np.iinfo(np.uint32).max)]
+        return got
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.inner[data]
+        ends = np.cumsum(size)
+        ids[ends - 1] = self.last[data[ends - 1]]
+        done: list = [None] * len(words)
+        name = np.arange(len(words))
+        while len(name):
+            start = np.cumsum(size) - size
+            key = np.full(len(ids), np.iinfo(np.uint32).max, np.uint32)
+            key[:-1] = ids[:-1] << np.uint32(16) | ids[1:]
+            rank = self._ranks(key)
+            rank[start + size - 1] = self.none
+            best = np.minimum.reduceat(rank, start)
+            going = best < self.none
+            if not going.all():
+                raw = ids.astype("<u4").tobytes()
+                for i, a, n in zip(name[~going].tolist(), start[~going].tolist(), size[~going].tolist()):
+                    done[i] = raw[4 * a : 4 * (a + n)]
+                keep = np.repeat(going, size)
+                ids, rank, name, size, best = ids[keep], rank[keep], name[going], size[going], best[going]
+                if not len(name):
+                    break
+            word = np.repeat(np.arange(len(name)), size)
+            at = np.flatnonzero(rank == best[word])
+            first = np.ones(len(at), bool)
+            first[1:] = word[at[1:]] != word[at[:-1]]
+            at = at[first]
+            ids[at] = self.out[best]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, size = ids[keep], size - 1
+        return done
+
+
 class Encoder:
-    """Ids of whole texts.  The tokenizer treats text between spaces on its own, so those parts are looked up in a bounded cache."""
+    """Ids of whole texts.
+
+    The tokenizer treats text between spaces on its own, ignores case, and parts a word from the marks after it, so words are looked up in a
+    bounded cache and only words of a new kind are encoded.  Case is dropped beforehand only in Latin-1 texts, where that is the tokenizer's own rule.
+    """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), {}, cache
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.translate(SPACES).split(" ")
+        self.tokenizer, self.merge, self.known, self.cache = Tokenizer.from_file(path), WordMerger(path), {}, cache
+
+    @classmethod
+    def of_worker(cls, path: str) -> "Encoder":
+        """One encoder a worker process, so that tasks share its cache."""
+        state = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
+        if path not in state:
+            state[path] = cls(path)
+        return state[path]
+
+    def _learn(self, new: list[str]) -> None:
+        known, split, plain, extra = self.known, [], [], set()
+        for w in new:
+            if not w.isalpha():
+                core = w.rstrip(MARKS)
+                if core and core != w and core[-1].isalnum() and "'" not in w:
+                    tail = w[len(core) :]
+                    split.append((w, core, tail))
+                    extra.add(core)
+                    extra.add(tail)
+                    continue
+            plain.append(w)
+        plain += [w for w in extra.difference(plain) if w not in known]
+        one, rest = [], []
+        for w in plain:
+            easy = w.isalpha() and w.islower() and latin(w) or w and not w.strip(MARKS)
+            (one if easy else rest).append(w)
+        if one:
+            known.update(zip(one, self.merge([w.encode() for w in one])))
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for w, core, tail in split:
+            known[w] = known[core] + known[tail]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text with the end token.  New words of all texts are learnt together."""
+        split = []
+        for t in texts:
+            t = t.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            split.append((t.lower() if latin(t) else t).split(" "))
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = [w for w in set().union(*split) if w not in known]
+        if len(known) + 3 * len(new) > self.cache:
+            known.clear()
+            new = list(set().union(*split))
         if new:
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([*map(known.__getitem__, words), END_ID.to_bytes(4, "little")]), "<u4")
+            self._learn(new)
+        end = END_ID.to_bytes(4, "little")
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+
+
+def slices(size: np.ndarray, limit: int):
+    """Runs of rows of at most ``limit`` bytes, or one row."""
+    total, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + limit, "right")))
+        yield i, j
+        i = j
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -62,13 +211,14 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, before = Encoder(tokenizer), TaskContext.get().partitionId(), {}
+        encode, part, before = Encoder.of_worker(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                b = batch.slice(lo, 512)
-                source, place, n, ids = b.column(1).to_pylist(), [], [], []
-                for s, t in zip(source, b.column(2)):
-                    got = encode(t.as_py() or "")
+            source, text = batch.column(1).to_pylist(), batch.column(2)
+            size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in slices(size, BATCH_BYTES):
+                b, place, n, ids = batch.slice(lo, hi - lo), [], [], []
+                for s, raw in zip(source[lo:hi], encode(text.slice(lo, hi - lo).to_pylist())):
+                    got = np.frombuffer(raw, "<u4")
                     place.append(before.get(s, 0))
                     before[s] = place[-1] + len(got)
                     n.append(len(got))
