@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import work_table
 from tessera.llm.textkernel import Block, Hasher, U, blocks, lowered, mix
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 PART_KEYS = 1_000_000
 CUTOFF = 5
 END, START = 0x1F3D5B79A2C4E681, 0x2E8A6C40F1B3D597
@@ -167,6 +167,13 @@ def unsmall(raw: bytes) -> np.ndarray:
     return out
 
 
+def rows_of(batch: pa.RecordBatch):
+    """Rows as dicts, one in memory at a time."""
+    names = batch.schema.names
+    for i in range(batch.num_rows):
+        yield {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
+
+
 ASK = "part int, block long, keys binary, counts binary"
 
 
@@ -256,7 +263,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
 
     def ask_words(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 t = Tokens(row["held"], row["sizes"], row["words"], row["tokens"])
                 yield batch_of(split(row["block"], t.words, np.bincount(t.at[t.train], minlength=len(t.words)), parts, lambda k: k.astype("<u8").tobytes()), ask, kinds)
 
@@ -268,7 +275,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
 
     def ask_pairs(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 t = Tokens(row["held"], row["sizes"], row["words"], row["tokens"])
                 pairs, at = t.pairs()
                 yield batch_of(split(row["block"], t.keys(pairs), np.bincount(at[t.train], minlength=len(pairs)), pair_parts, six), ask, kinds)
@@ -287,7 +294,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
 
     def ask_contexts(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 t, c1, pairs, _, keys, c2 = read(row)
                 own = in_order(keys, pair_parts, row["p"], bits) & (c2 > 0)
                 h, w = (pairs[own] >> U(32)).astype(np.int64), (pairs[own] & U(0xFFFFFFFF)).astype(np.int64)
@@ -329,7 +336,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
 
     def score(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 t, c1, pairs, at, _, c2 = read(row)
                 alpha = in_order(np.append(t.words, U(START)), parts, row["a"], lambda a: np.frombuffer(a["alpha"], "<f8"))
                 h, w = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
