@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold ``Q``, a dict name -> (function, SQL or None).
-MODULES: tuple[str, ...] = ("events", "retrieval")
+MODULES: tuple[str, ...] = ("corpus", "events", "retrieval")
 
 
 def _all() -> dict:

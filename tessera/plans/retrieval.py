@@ -372,9 +372,9 @@ def snippets(spark, sf):
 
 
 UNIFIED = HITS + """, us AS (SELECT 0 AS stage, doc_id, score FROM den WHERE score >= 0.9 AND doc_id <> 0 UNION ALL SELECT 1, doc_id, round(sum(1.0 / (60 + rank)), 9) FROM rk GROUP BY 2),
-c AS (SELECT s.doc_id, s.score FROM us s JOIN documents d ON s.doc_id = d.doc_id WHERE stage = (SELECT min(stage) FROM us)),
+uc AS (SELECT s.doc_id, s.score FROM us s JOIN documents d ON s.doc_id = d.doc_id WHERE stage = (SELECT min(stage) FROM us)),
 ctx AS (SELECT d.doc_id, (SELECT count(*) FROM documents e WHERE e.source = d.source AND e.lang = d.lang) AS siblings FROM documents d),
-b AS (SELECT c.doc_id, c.score, CASE WHEN siblings > 10 THEN .15 WHEN siblings > 5 THEN .08 WHEN siblings > 2 THEN .04 ELSE 0 END AS boost FROM c JOIN ctx ON c.doc_id = ctx.doc_id)
+b AS (SELECT c.doc_id, c.score, CASE WHEN siblings > 10 THEN .15 WHEN siblings > 5 THEN .08 WHEN siblings > 2 THEN .04 ELSE 0 END AS boost FROM uc c JOIN ctx ON c.doc_id = ctx.doc_id)
 SELECT doc_id, round(score, 9) AS score, boost::DOUBLE AS boost, round(least(score * (1 + boost), 0.99), 9) AS final FROM b ORDER BY final DESC, doc_id LIMIT 10"""
 
 
