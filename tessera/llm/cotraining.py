@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.textkernel import Block, Hasher, U, blocks, lowered, lut, mix
 
-MAX_LABELLED, MAX_POOL, ROUNDS = 20_000, 10_000, 3
+MAX_LABELLED, MAX_POOL, ROUNDS = 6_000, 3_000, 3
 BUCKETS = 1 << 18
 MIN_Z, MIN_DF, CONFIDENT, PER_ROUND, THRESHOLD = 4.0, 5, 0.98, 500, 0.5
 GROUPS = (b"#*$%&|<>", b"!?", bytes(range(65, 91)), b"0123456789")
@@ -104,7 +104,7 @@ class View:
 
 def _take(ptr: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = ptr[rows + 1] - ptr[rows]
-    row = np.repeat(np.arange(len(rows)), size)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ptr[rows], size)
     return row, flat[at]
 
@@ -142,7 +142,7 @@ def co_train(rows, rounds: int = ROUNDS) -> Model:
     views = []
     for name in ("text", "meta"):
         parts = [np.frombuffer(r[name], "<u4") for r in rows]
-        views.append((np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int64)))
+        views.append((np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.concatenate([*parts, np.zeros(0, "<u4")]).astype(np.int32)))
     labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     hold = labelled[::5]
     train = np.setdiff1d(labelled, hold)
