@@ -31,8 +31,9 @@ from tessera.llm.common import work_table
 
 SEQUENCE, END_ID = 2048, 1
 MAX_BROADCAST = 500_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 BATCH_BYTES = 4 << 20
+PIECE_ROWS = 256
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
@@ -286,18 +287,25 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, wi
     placed = tokens.join(base, (tokens["part"] == base["__p"]) & tokens["source"].eqNullSafe(base["__s"]))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
 
+    def pieces(batch):
+        out, parts = [], []
+        for doc, start, n, low, high, ids in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            raw = ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+            for a, b, seq, off in cut(start, start + n, low, high, total, size):
+                part = raw[4 * (a - start) : 4 * (b - start)]
+                out.append((doc, a - start, b - a, zlib.crc32(part), n, seq, off))
+                if with_ids:
+                    parts.append(part)
+        cols = [pa.array(list(c), pa.int64()) for c in list(zip(*out)) or [()] * 7]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(cols[2].to_numpy())]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, start, n, low, high, ids in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                width = len(ids) // n
-                raw = ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-                for a, b, seq, off in cut(start, start + n, low, high, total, size):
-                    part = raw[4 * (a - start) : 4 * (b - start)]
-                    out.append((doc, a - start, b - a, zlib.crc32(part), n, seq, off) + ((np.frombuffer(part, "<u4").astype("<i4").tolist(),) if with_ids else ()))
-            cols = list(zip(*out)) or [()] * len(names)
-            kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
+            for lo in range(0, batch.num_rows, PIECE_ROWS):
+                yield pieces(batch.slice(lo, PIECE_ROWS))
 
     schema = ", ".join(f"{c} long" for c in names[:7]) + (", ids array<int>" if with_ids else "")
     return placed.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n", "low", "high", "ids").mapInArrow(run, schema)
