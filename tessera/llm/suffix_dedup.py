@@ -351,8 +351,8 @@ def merged(marks) -> list[tuple[int, int]]:
 
 
 def marked(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """``docs`` with their ``marks``; null where nothing repeats."""
-    marks = repeat_marks(docs, length, hot).withColumnsRenamed({"doc_id": "__d", "key": "__k2"})
+    """``docs`` with their ``__marks``; null where nothing repeats."""
+    marks = repeat_marks(docs, length, hot).withColumnsRenamed({"doc_id": "__d", "key": "__k2", "marks": "__marks"})
     d = docs.withColumn("__k", row_key())
     return d.join(marks, d["doc_id"].eqNullSafe(marks["__d"]) & (d["__k"] == marks["__k2"]), "left").drop("__d", "__k", "__k2")
 
@@ -373,7 +373,7 @@ def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked(docs.select("doc_id", "text"), length, hot).select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs.select("doc_id", "text"), length, hot).select("doc_id", "text", "__marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -395,8 +395,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series(out)
 
     d = marked(docs, length)
-    changed = F.col("marks").isNotNull()
-    out = d.where(~changed).unionByName(d.where(changed).withColumn("text", cut("text", "marks")).withColumn("n_chars", F.length("text").cast("long")).where("length(text) > 0"))
+    changed = F.col("__marks").isNotNull()
+    out = d.where(~changed).unionByName(d.where(changed).withColumn("text", cut("text", "__marks")).withColumn("n_chars", F.length("text").cast("long")).where("length(text) > 0"))
     return out.select(*docs.columns)
 
 
