@@ -31,6 +31,14 @@ def row_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\x00null")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, *names: str):
     """Null-safe equality of the named columns."""
     out = None

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import components, row_key, work_table
+from tessera.llm.common import components, fresh, row_key, work_table
 from tessera.llm.textkernel import Block, blocks, lowered
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -176,9 +177,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class, one row with the smallest id."""
+    """The rows of ``docs`` that stay: of each class, one row with the smallest id.  The window works on the join's own partitions."""
     found = near_duplicates(docs, key=True)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("__key"))
-    d = docs.withColumn("__k", row_key())
-    kept = d.join(keep, d["doc_id"].eqNullSafe(keep["component_id"]) & (d["__k"] == keep["__key"]), "left_semi")
-    return kept.drop("__k")
+    k, i, n = (fresh(docs, x) for x in ("__k", "__i", "__n"))
+    number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias(k))
+    keep = keep.select(F.coalesce("component_id", F.lit(-(1 << 63)).cast("long")).alias(i), k)
+    d = docs.withColumn(i, number).withColumn(k, row_key()).join(keep, [i, k], "left_semi")
+    first = F.row_number().over(Window.partitionBy(i, k).orderBy(F.lit(0)))
+    return d.withColumn(n, first).where(F.col(n) == 1).select(*docs.columns)

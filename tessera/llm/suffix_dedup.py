@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_key, same, work_table
+from tessera.llm.common import fresh, row_key, same, work_table
 from tessera.llm.textkernel import Block, Hasher, U, blocks, mix, repeated
 
 LENGTH, GRAM = 400, 64
@@ -350,11 +350,12 @@ def merged(marks) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def marked(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """``docs`` with their ``__marks``; null where nothing repeats."""
-    marks = repeat_marks(docs, length, hot).withColumnsRenamed({"doc_id": "__d", "key": "__k2", "marks": "__marks"})
-    d = docs.withColumn("__k", row_key())
-    return d.join(marks, d["doc_id"].eqNullSafe(marks["__d"]) & (d["__k"] == marks["__k2"]), "left").drop("__d", "__k", "__k2")
+def marked(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, str]:
+    """``docs`` with a column of marks, null where nothing repeats, and that column's name."""
+    k, i, m, out = (fresh(docs, x) for x in ("__k", "__i", "__m", "__marks"))
+    marks = repeat_marks(docs, length, hot).select(F.col("doc_id").alias(i), F.col("key").alias(m), F.col("marks").alias(out))
+    d = docs.withColumn(k, row_key())
+    return d.join(marks, d["doc_id"].eqNullSafe(marks[i]) & (d[k] == marks[m]), "left").drop(k, i, m), out
 
 
 def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -373,7 +374,8 @@ def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked(docs.select("doc_id", "text"), length, hot).select("doc_id", "text", "__marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    d, marks = marked(docs.select("doc_id", "text"), length, hot)
+    return d.select("doc_id", "text", marks).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -394,9 +396,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pd.Series(out)
 
-    d = marked(docs, length)
-    changed = F.col("__marks").isNotNull()
-    out = d.where(~changed).unionByName(d.where(changed).withColumn("text", cut("text", "__marks")).withColumn("n_chars", F.length("text").cast("long")).where("length(text) > 0"))
+    d, marks = marked(docs, length)
+    changed = F.col(marks).isNotNull()
+    out = d.where(~changed).unionByName(d.where(changed).withColumn("text", cut("text", marks)).withColumn("n_chars", F.length("text").cast("long")).where("length(text) > 0"))
     return out.select(*docs.columns)
 
 
