@@ -322,7 +322,8 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataF
     """(doc_id, key, marks) of each document with repeats: byte ranges that strings of ``length`` bytes found elsewhere cover."""
     a = work_table(anchor_table(docs, length), "anchors")
     twice = a.groupBy("kg").agg(F.count("*").alias("c"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("c > 1")
-    shared = work_table(a.join(twice.select("kg", (F.col("a") != F.col("b")).alias("mixed")), "kg"), "shared-anchors")
+    twice = work_table(twice.select("kg", (F.col("a") != F.col("b")).alias("mixed")), "shared-grams")
+    shared = work_table(a.join(twice, "kg"), "shared-anchors")
     whole = F.struct("doc_id", "key", "pos", "lo", "hi")
     ctx = work_table(shared.where("mixed").groupBy("kg", "ctx").agg(F.count("*").alias("n"), F.min(whole).alias("r")), "contexts")
     wanted = ctx.select("kg", "ctx", "n", "r.*")
