@@ -21,11 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-work/{name}-{uuid.uuid4().hex}"
+    path = f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-work/{spark.sparkContext.applicationId}"
+
+
+def clear_work_tables(spark: SparkSession) -> None:
+    """Delete this application's work tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(text: str = "text") -> F.Column:
     """With the id, this tells rows apart whose ids clash."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\x00null")))

@@ -69,6 +69,14 @@ def test_components(spark):
     assert common.components(e.limit(0)).count() == 0
 
 
+def test_work_tables_can_be_cleared(spark):
+    t = common.work_table(spark.range(3), "x")
+    assert t.count() == 3
+    common.clear_work_tables(spark)
+    with pytest.raises(Exception):
+        common.work_table(spark.range(3), "y").unionByName(t).collect()
+
+
 def quality_brute(t):
     w = (t or "").encode().split()
     lines = [x for x in (t or "").split("\n") if x.encode().split()]
