@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_dir
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tessera-streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tessera-streams/{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 10) -> DataFrame:
