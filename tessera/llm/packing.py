@@ -140,13 +140,14 @@ class Encoder:
     """Ids of whole texts.
 
     The tokenizer treats text between spaces on its own, ignores case, and parts a word from the marks after it, so words are looked up in a
-    bounded cache and only words of a new kind are encoded.  Case is dropped beforehand only in Latin-1 texts, where that is the tokenizer's own rule.
+    bounded cache and only words of a new kind are encoded.  A text with an added token's string is encoded whole.  Case is dropped beforehand only in Latin-1 texts, where that is the tokenizer's own rule.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.merge, self.known, self.cache = Tokenizer.from_file(path), WordMerger(path), {}, cache
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @classmethod
     def of_worker(cls, path: str) -> "Encoder":
@@ -182,10 +183,15 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text with the end token.  New words of all texts are learnt together."""
-        split = []
-        for t in texts:
-            t = t.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            split.append((t.lower() if latin(t) else t).split(" "))
+        split, whole = [], {}
+        for i, t in enumerate(texts):
+            low = t.lower()
+            if any(a in low for a in self.added):
+                whole[i] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+                split.append([])
+                continue
+            t = (low if latin(t) else t).replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            split.append(t.split(" "))
         known = self.known
         new = [w for w in set().union(*split) if w not in known]
         if len(known) + 3 * len(new) > self.cache:
@@ -194,7 +200,7 @@ class Encoder:
         if new:
             self._learn(new)
         end = END_ID.to_bytes(4, "little")
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        return [whole.get(i, b"") + b"".join(map(known.__getitem__, words)) + end for i, words in enumerate(split)]
 
 
 def slices(size: np.ndarray, limit: int):
