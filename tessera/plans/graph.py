@@ -31,18 +31,24 @@ imp AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM li a JOIN li
 sup AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM li)"""
 
 
-def lines(spark, sf) -> DataFrame:
+#: The edges of all lines, for the whole forms below.
+ALL_SQL = E_SQL.replace(" WHERE l_quantity >= 45", "")
+
+
+def lines(spark, sf, whole: bool = False) -> DataFrame:
+    if whole:
+        return table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").where("l_quantity >= 45").drop("l_quantity")
 
 
-def imports(spark, sf) -> DataFrame:
-    a = lines(spark, sf).select("l_orderkey", F.col("l_linenumber").alias("la"), F.col("l_partkey").alias("src"))
-    b = lines(spark, sf).select("l_orderkey", F.col("l_linenumber").alias("lb"), F.col("l_partkey").alias("dst"))
+def imports(spark, sf, whole: bool = False) -> DataFrame:
+    a = lines(spark, sf, whole).select("l_orderkey", F.col("l_linenumber").alias("la"), F.col("l_partkey").alias("src"))
+    b = lines(spark, sf, whole).select("l_orderkey", F.col("l_linenumber").alias("lb"), F.col("l_partkey").alias("dst"))
     return a.join(b, "l_orderkey").where("lb > la and src <> dst").select("src", "dst").distinct()
 
 
-def supplies(spark, sf) -> DataFrame:
-    return lines(spark, sf).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+def supplies(spark, sf, whole: bool = False) -> DataFrame:
+    return lines(spark, sf, whole).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
 def starts(spark, sf) -> DataFrame:
@@ -113,15 +119,24 @@ def callers_callees(spark, sf):
 CTX = E_SQL + """, c AS (SELECT p_partkey AS node, (SELECT count(*) FROM imp WHERE dst = p_partkey) AS imported_by, (SELECT count(*) FROM imp WHERE src = p_partkey) AS imports, (SELECT count(*) FROM sup WHERE dst = p_partkey) AS suppliers FROM part WHERE p_partkey <= 300)"""
 
 
-def contexts(spark, sf) -> DataFrame:
-    nodes = table(spark, sf, "part", "p_partkey").where("p_partkey <= 300").select(F.col("p_partkey").alias("node"))
-    e = imports(spark, sf)
-    c = G.context(nodes, G.counts_by(e, "dst", "imported_by"), G.counts_by(e, "src", "imports"), G.counts_by(supplies(spark, sf), "dst", "suppliers"))
+def contexts(spark, sf, whole: bool = False) -> DataFrame:
+    nodes = table(spark, sf, "part", "p_partkey").where(F.lit(True) if whole else F.col("p_partkey") <= 300).select(F.col("p_partkey").alias("node"))
+    e = imports(spark, sf, whole)
+    c = G.context(nodes, G.counts_by(e, "dst", "imported_by"), G.counts_by(e, "src", "imports"), G.counts_by(supplies(spark, sf, whole), "dst", "suppliers"))
     return c.na.fill(0)
 
 
 Q["graph_context"] = (contexts, CTX + " SELECT * FROM c")
 
+#: Every part over the edges of all lines, one grouped count a branch.
+CTX_ALL = ALL_SQL + """, ci AS (SELECT dst AS node, count(*) AS imported_by FROM imp GROUP BY 1), co AS (SELECT src AS node, count(*) AS imports FROM imp GROUP BY 1), cs AS (SELECT dst AS node, count(*) AS suppliers FROM sup GROUP BY 1),
+c AS (SELECT p_partkey AS node, coalesce(imported_by, 0) AS imported_by, coalesce(imports, 0) AS imports, coalesce(suppliers, 0) AS suppliers FROM part LEFT JOIN ci ON ci.node = p_partkey LEFT JOIN co ON co.node = p_partkey LEFT JOIN cs ON cs.node = p_partkey)"""
+
+
+@q("graph_context_whole", CTX_ALL + " SELECT * FROM c")
+def graph_context_whole(spark, sf):
+    return contexts(spark, sf, whole=True)
+
 
 @q("context_lists", E_SQL + " SELECT p_partkey AS node, list_sort(list_distinct(list(src)))[1:5] AS first_importers, p_name FROM part JOIN imp ON dst = p_partkey WHERE p_partkey <= 100 GROUP BY 1, 3")
 def context_lists(spark, sf):
@@ -129,19 +144,35 @@ def context_lists(spark, sf):
     return table(spark, sf, "part", F.col("p_partkey").alias("node"), "p_name").join(F.broadcast(top), "node")
 
 
+@q("context_lists_whole", ALL_SQL + " SELECT p_partkey AS node, list_sort(list_distinct(list(src)))[1:5] AS first_importers, p_name FROM part JOIN imp ON dst = p_partkey GROUP BY 1, 3")
+def context_lists_whole(spark, sf):
+    top = imports(spark, sf, whole=True).groupBy(F.col("dst").alias("node")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, 5).alias("first_importers"))
+    return table(spark, sf, "part", F.col("p_partkey").alias("node"), "p_name").join(top, "node")
+
+
 BOOST = "CASE WHEN imported_by > 10 THEN .15 WHEN imported_by > 5 THEN .08 WHEN imported_by > 2 THEN .04 ELSE 0 END + CASE WHEN imports > 5 THEN .08 WHEN imports > 2 THEN .04 ELSE 0 END + CASE WHEN imports + imported_by > 15 THEN .12 WHEN imports + imported_by > 8 THEN .06 WHEN imports + imported_by > 3 THEN .03 ELSE 0 END + .05 * least(suppliers, 3)"
 
 
 @q("graph_boost", CTX + f" SELECT node, round({BOOST}, 6)::DOUBLE AS boost, round(least((0.5 + node % 50 / 100.0) * (1 + {BOOST}), 0.99), 6)::DOUBLE AS score FROM c")
-def graph_boost(spark, sf):
+def graph_boost(spark, sf, whole: bool = False):
     b = R.graph_boost(F.col("imported_by"), F.col("imports"), F.col("imports") + F.col("imported_by"), F.col("suppliers"))
-    return contexts(spark, sf).select("node", F.round(b, 6).alias("boost"), F.round(R.boosted(0.5 + F.col("node") % 50 / 100.0, b), 6).alias("score"))
+    return contexts(spark, sf, whole).select("node", F.round(b, 6).alias("boost"), F.round(R.boosted(0.5 + F.col("node") % 50 / 100.0, b), 6).alias("score"))
+
+
+@q("graph_boost_whole", CTX_ALL + f" SELECT node, round({BOOST}, 6)::DOUBLE AS boost, round(least((0.5 + node % 50 / 100.0) * (1 + {BOOST}), 0.99), 6)::DOUBLE AS score FROM c")
+def graph_boost_whole(spark, sf):
+    return graph_boost(spark, sf, whole=True)
 
 
 @q("context_summary", CTX + " SELECT node, 'part ' || node || ': imported by ' || imported_by || ', imports ' || imports || CASE WHEN suppliers > 0 THEN ', suppliers ' || suppliers ELSE '' END AS summary FROM c")
-def context_summary(spark, sf):
+def context_summary(spark, sf, whole: bool = False):
     s = F.concat_ws(", ", F.format_string("part %d: imported by %d", "node", "imported_by"), F.format_string("imports %d", "imports"), F.when(F.col("suppliers") > 0, F.format_string("suppliers %d", "suppliers")))
-    return contexts(spark, sf).select("node", s.alias("summary"))
+    return contexts(spark, sf, whole).select("node", s.alias("summary"))
+
+
+@q("context_summary_whole", CTX_ALL + " SELECT node, 'part ' || node || ': imported by ' || imported_by || ', imports ' || imports || CASE WHEN suppliers > 0 THEN ', suppliers ' || suppliers ELSE '' END AS summary FROM c")
+def context_summary_whole(spark, sf):
+    return context_summary(spark, sf, whole=True)
 
 
 @q("indegree_prism", E_SQL + ", d AS (SELECT dst AS node, count(DISTINCT src) AS in_degree FROM imp GROUP BY 1) SELECT node, in_degree, round(1 / (1 + exp(-0.3 * (in_degree - 3))), 6) AS dependency FROM d")
@@ -252,12 +283,17 @@ def call_edges(spark, sf):
 
 
 @q("provider_join", E_SQL + " SELECT src, list_sort(list(DISTINCT coalesce(p_name, 'module-' || dst))) AS providers FROM imp LEFT JOIN part ON dst = p_partkey AND p_size > 25 WHERE src <= 50 GROUP BY 1")
-def provider_join(spark, sf):
+def provider_join(spark, sf, whole: bool = False):
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_size").where("p_size > 25")
-    j = imports(spark, sf).where("src <= 50").join(p, F.col("dst") == F.col("p_partkey"), "left")
+    j = imports(spark, sf, whole).where(F.lit(True) if whole else F.col("src") <= 50).join(p, F.col("dst") == F.col("p_partkey"), "left")
     return j.groupBy("src").agg(F.array_sort(F.collect_set(F.coalesce("p_name", F.concat(F.lit("module-"), F.col("dst").cast("string"))))).alias("providers"))
 
 
+@q("provider_join_whole", ALL_SQL + " SELECT src, list_sort(list(DISTINCT coalesce(p_name, 'module-' || dst))) AS providers FROM imp LEFT JOIN part ON dst = p_partkey AND p_size > 25 GROUP BY 1")
+def provider_join_whole(spark, sf):
+    return provider_join(spark, sf, whole=True)
+
+
 @q("migrate_edges", E_SQL + " SELECT 'DEPENDS_ON' AS rel, dst AS src, src AS dst FROM imp WHERE src % 5 <> 0 UNION ALL SELECT 'IMPORTS', src, dst FROM imp WHERE src % 5 = 0")
 def migrate_edges(spark, sf):
     """Retype and turn round one kind of edge, keep the rest."""
