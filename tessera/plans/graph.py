@@ -258,30 +258,49 @@ def functions(spark, sf) -> DataFrame:
     return table(spark, sf, "orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("fn"), k.alias("s"), (k + 15).alias("e"))
 
 
-def spans(spark, sf) -> DataFrame:
-    c = table(spark, sf, "customer", "c_custkey").where("c_custkey % 3 = 0")
+#: The chunks of every file, for the whole forms.
+ALL_SPANS = SPANS.replace(" WHERE c_custkey % 3 = 0", "")
+
+
+def spans(spark, sf, whole: bool = False) -> DataFrame:
+    c = table(spark, sf, "customer", "c_custkey").where(F.lit(True) if whole else F.col("c_custkey") % 3 == 0)
     return c.select(F.col("c_custkey").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("chunk")).withColumn("cs", F.col("chunk") * 50).withColumn("ce", F.col("chunk") * 50 + 49)
 
 
 @q("range_containment", SPANS + " SELECT f.file, chunk, fn FROM f JOIN c ON f.file = c.file AND f.s >= c.s AND f.e <= c.e")
-def range_containment(spark, sf):
+def range_containment(spark, sf, whole: bool = False):
     """The equality carries the join; the range is checked inside it."""
-    return functions(spark, sf).join(spans(spark, sf), "file").where("s >= cs and e <= ce").select("file", "chunk", "fn")
+    return functions(spark, sf).join(spans(spark, sf, whole), "file").where("s >= cs and e <= ce").select("file", "chunk", "fn")
+
+
+@q("range_containment_whole", ALL_SPANS + " SELECT f.file, chunk, fn FROM f JOIN c ON f.file = c.file AND f.s >= c.s AND f.e <= c.e")
+def range_containment_whole(spark, sf):
+    return range_containment(spark, sf, whole=True)
 
 
 @q("point_in_interval", SPANS + " SELECT f.file, chunk, count(*) AS symbols, min(fn) AS first_fn FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e GROUP BY 1, 2")
-def point_in_interval(spark, sf):
-    return functions(spark, sf).join(spans(spark, sf), "file").where("s between cs and ce").groupBy("file", "chunk").agg(F.count("*").alias("symbols"), F.min("fn").alias("first_fn"))
+def point_in_interval(spark, sf, whole: bool = False):
+    return functions(spark, sf).join(spans(spark, sf, whole), "file").where("s between cs and ce").groupBy("file", "chunk").agg(F.count("*").alias("symbols"), F.min("fn").alias("first_fn"))
+
+
+@q("point_in_interval_whole", ALL_SPANS + " SELECT f.file, chunk, count(*) AS symbols, min(fn) AS first_fn FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e GROUP BY 1, 2")
+def point_in_interval_whole(spark, sf):
+    return point_in_interval(spark, sf, whole=True)
 
 
 @q("call_edges", SPANS + " SELECT DISTINCT c.file AS caller_file, chunk, g.fn AS callee FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e JOIN f g ON g.file = f.file + 1 AND g.s = f.s")
-def call_edges(spark, sf):
+def call_edges(spark, sf, whole: bool = False):
     """Calls by interval, callees by name; ambiguous names give several edges, equal ones are one."""
-    at = functions(spark, sf).join(spans(spark, sf), "file").where("s between cs and ce").select(F.col("file").alias("caller_file"), "chunk", "s")
+    at = functions(spark, sf).join(spans(spark, sf, whole), "file").where("s between cs and ce").select(F.col("file").alias("caller_file"), "chunk", "s")
     g = functions(spark, sf).select((F.col("file") - 1).alias("caller_file"), "s", F.col("fn").alias("callee"))
     return at.join(g, ["caller_file", "s"]).select("caller_file", "chunk", "callee").distinct()
 
 
+@q("call_edges_whole", ALL_SPANS + " SELECT DISTINCT c.file AS caller_file, chunk, g.fn AS callee FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e JOIN f g ON g.file = f.file + 1 AND g.s = f.s")
+def call_edges_whole(spark, sf):
+    return call_edges(spark, sf, whole=True)
+
+
 @q("provider_join", E_SQL + " SELECT src, list_sort(list(DISTINCT coalesce(p_name, 'module-' || dst))) AS providers FROM imp LEFT JOIN part ON dst = p_partkey AND p_size > 25 WHERE src <= 50 GROUP BY 1")
 def provider_join(spark, sf, whole: bool = False):
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_size").where("p_size > 25")

@@ -43,3 +43,17 @@ def test_lists_and_providers_of_every_part(spark, small):
     name = {p: n for p, n, size in PARTS if size > 25}
     got = {r["src"]: r["providers"] for r in WHOLE["provider_join_whole"](spark, small).collect()}
     assert got == {p: sorted({name.get(d, f"module-{d}") for s, d in imp if s == p}) for p, _ in imp} and max(got) > 50
+
+
+def test_spans_of_every_file(spark, tmp_path):
+    orders = [(o, 1 + o % 7) for o in (*range(120), *range(400, 520))]
+    spark.createDataFrame([(i,) for i in range(1, 9)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {k: sorted(map(tuple, WHOLE[k](spark, str(tmp_path)).collect())) for k in ("range_containment_whole", "point_in_interval_whole", "call_edges_whole")}
+    assert got["range_containment_whole"] == sorted((f, o % 400 // 50, o) for o, f in orders if o % 50 + 15 <= 49)
+    at = collections.defaultdict(list)
+    for o, f in orders:
+        at[f, o % 400 // 50].append(o)
+    assert got["point_in_interval_whole"] == sorted((*k, len(v), min(v)) for k, v in at.items())
+    assert got["call_edges_whole"] == sorted({(f, o % 400 // 50, p) for o, f in orders for p, g in orders if g == f + 1 and p % 400 == o % 400})
+    assert {r[0] for r in got["range_containment_whole"]} == set(range(1, 8))
