@@ -160,14 +160,15 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: bool = False) -> DataFrame:
-    """doc_id, fp, component_id (and the row key, if asked for) of every row."""
+    """doc_id, fp, component_id (and, if the row key is asked for, the key and the class root, a fingerprint) of every row."""
     fps = work_table(fingerprints(docs, key), "fingerprints")
     groups = work_table(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fp-groups")
     stars = components(links(groups.select("fp"), groups.count(), radius))
     member = stars.join(groups, stars["node"] == groups["fp"]).select("node", "root", "low")
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = member.join(low, "root").select(F.col("node").alias("fp"), "component_id")
-    label = work_table(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "fp-classes")
+    linked = member.join(low, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    root = [F.coalesce("root", "fp").alias("root")] if key else []
+    label = work_table(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), *root), "fp-classes")
     return fps.join(label, "fp")
 
 
@@ -186,3 +187,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     d = docs.withColumn(i, number).withColumn(k, row_key()).join(keep, [i, k], "left_semi")
     first = F.row_number().over(Window.partitionBy(i, k).orderBy(F.lit(0)))
     return d.withColumn(n, first).where(F.col(n) == 1).select(*docs.columns)
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """As ``one_of_each``, but of each class by its root: classes that share an id, or have only null ids, keep a row each."""
+    found = near_duplicates(docs, key=True)
+    k, i, n = (fresh(docs, x) for x in ("__k", "__i", "__n"))
+    number = lambda c: F.coalesce(c, F.lit(-(1 << 63)).cast("long"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
+    keep = first.select(F.col("row.none").alias(n), number(F.col("row.doc_id")).alias(i), F.col("row.key").alias(k))
+    d = docs.withColumns({n: F.col("doc_id").isNull(), i: number(F.col("doc_id")), k: row_key()}).join(keep, [n, i, k], "left_semi")
+    once = F.row_number().over(Window.partitionBy(n, i, k).orderBy(F.lit(0)))
+    return d.withColumn(n, once).where(F.col(n) == 1).select(*docs.columns)

@@ -188,6 +188,26 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(low.values()))
 
 
+def test_one_of_each_class(spark, docs, empty):
+    """The stage keeps a row of each class: of those with null ids only, and of those that share an id."""
+    import corpus_pipeline as cp
+
+    rows = [(i, t, s) for i, t, s in DOCS] + [(None, "first text without an id " + text(80), "s1"), (None, "second text without an id " + text(80), "s2"), (-(1 << 63), "least id " + text(80), "s2")]
+    rows += [(None, rows[-3][1], "s3"), (8, "another text with the id eight " + text(80), "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    fp = [simhash_brute(t) for _, t, _ in rows]
+    root, first = classes_brute(fp), {}
+    for (i, t, _), f in zip(rows, fp):
+        first.setdefault(root[f], []).append((i is None, i or 0, t or ""))
+    got = cp.near_duplicates(spark, d, "").collect()
+    kept = collections.Counter(root[simhash_brute(r["text"])] for r in got)
+    assert kept == collections.Counter(first.keys()) and len(got) == len(first)
+    assert all((r["doc_id"] is None, r["doc_id"] or 0) == min(first[root[simhash_brute(r["text"])]])[:2] for r in got)
+    ids = collections.Counter(r["doc_id"] for r in got)
+    assert ids[None] == 2 and ids[7] == ids[8] == 2 and ids[-(1 << 63)] == 1
+    assert simhash.one_of_each_class(empty).count() == 0
+
+
 @pytest.mark.parametrize("n", [10, 10**8, 10**11])
 def test_blocks_lose_no_link(n):
     masks = [m for _, m in simhash.block_choices(n)]
