@@ -1,6 +1,7 @@
 """Operator 10: licence recognition by sentences.
 
 A text is cut into sentences, each is normalised (lower case, letters and digits only, single spaces) and looked up among known licence sentences.
+A known sentence that holds an end mark itself is cut by the same rule, and its pieces must follow each other; the longest that fits is taken.
 The identifiers found, in order, are then matched against ordered rules: at each place the first rule whose identifiers follow each other there wins, and its identifiers are used up.
 Known sentences and rules are fixed lists in this file, so they are small and travel with the function.
 
@@ -78,6 +79,14 @@ def normalised(sentence: str) -> str:
 class Recogniser:
     def __init__(self, sentences=SENTENCES, rules=RULES):
         self.known = {normalised(s): i for i, s in sentences}
+        #: First piece -> (pieces, identifier), the longest first.
+        self.starts: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        for i, s in sentences:
+            for parts in dict.fromkeys(((normalised(s),), tuple(filter(None, map(normalised, SENTENCE_END.split(s)))))):
+                self.starts.setdefault(parts[0], []).append((parts, i))
+        for x in self.starts.values():
+            x.sort(key=lambda y: -len(y[0]))
+        self.pieces = {p for x in self.starts.values() for parts, _ in x for p in parts}
         self.rules = list(rules)
         self.marks = self._marks()
 
@@ -101,13 +110,20 @@ class Recogniser:
         lower = text.lower()
         if not any(m in lower for m in self.marks):
             return []
-        out = []
+        units = []
         for s in SENTENCE_END.split(lower):
-            got = self.known.get(normalised(s))
-            if got:
-                out.append(got)
-            elif "\n" in s:
-                out += filter(None, (self.known.get(normalised(x)) for x in s.split("\n")))
+            n = normalised(s)
+            units += [n] if n in self.pieces or "\n" not in s else map(normalised, s.split("\n"))
+        units = [u for u in units if u]
+        out, at = [], 0
+        while at < len(units):
+            for parts, i in self.starts.get(units[at], ()):
+                if tuple(units[at : at + len(parts)]) == parts:
+                    out.append(i)
+                    at += len(parts)
+                    break
+            else:
+                at += 1
         return out
 
     def licences(self, ids: list[str]) -> tuple[list[str], int]:

@@ -431,6 +431,33 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+GPL = """Copyright (C) 2020  someone
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful, but without any warranty.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_licenses_with_marks_inside(spark):
+    """Each listed sentence is found in a text that holds it, and so are the usual headers of two licences."""
+    r = licenses.Recogniser()
+    for i, s in licenses.SENTENCES:
+        for t in (s, f"Some text. {s}.\nMore text.", f"Some text\n{s}\nMore text", f"Some text.\n\n{s}; {s}."):
+            assert r.identifiers(t) == [i] * t.count(s), (i, t)
+    assert {n for n, seq in licenses.RULES if r.licences(list(seq)) != ([n], 0)} == set()
+    rows = [(1, GPL), (2, MPL), (3, GPL.replace("    ", "# ") + MPL), (4, "This program is free software: you may not copy it."), (5, "Mozilla Public License, v. 2.0")]
+    got = sorted(tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "GPL-3.0-or-later", 1, 0), (2, "MPL-2.0", 1, 0), (3, "GPL-3.0-or-later,MPL-2.0", 2, 0), (4, None, 0, 0), (5, None, 0, 0)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, duck, sf, name):
     same_as_sql(queries.QUERIES[name](spark, sf), duck, queries.ORACLES[name])
