@@ -1,14 +1,19 @@
 """Operator 9: mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens.  A window is one sequence.  In every window a source is due its share of the window; what it gets is whole tokens,
-and the fraction it is owed (its deficit) is carried to the next window.  With shares in proportion to the queues' lengths, all queues end
-together, and the round-robin has a closed form: after w windows, the sources up to k have been served ``floor(end_k * w * size / total)`` tokens, where
-``end_k`` is the sum of the lengths of the queues up to k.  So a partition can serve its own documents from their places in the queues, and deficits pass across windows and partitions
-without any task seeing all of them.  The tokens left after the last full window go out in sequences whose sizes are powers of two, so there is no padding at all.
+Each source is a queue of its documents.  A round fills one window (one sequence): every source's deficit grows by its share of the window, the sources owed most are
+visited first and send whole documents while their deficit covers them, and what they send is taken off.  Deficits are carried to the next window.  A document of at most
+one window goes as a whole where it fits; a longer one is sent in packets of ``PACKET`` tokens.  Where no head fits into the room left, the source owed most sends the largest of its
+next ``LOOK`` documents that does; else the head is cut to the room, and its rest comes next, so no window has padding.
 
-Token counts are summed by (partition, source); a window over those sums gives each partition its place in each queue.  These sums are broadcast while they are at most ``MAX_BROADCAST``, and joined by a shuffle beyond.
+Target proportions are the sources' own shares of all tokens, or ``targets``.  A queue that ends leaves its share to the others.
 
-Defined cases: a null or empty text is one end token; a null source is a queue of its own, last; rows with equal ids are separate documents; an empty table gives an empty table.
+Partitions: a source's documents stand in its queue in order of partition and row, so sums by (partition, source) give each document its place.  A place over the target is the virtual time at
+which an ideal mix serves it; equal slices of the ideal mix's tokens are chunks of about ``CHUNK`` tokens, and each chunk is one group.  A chunk's first place of a source says what
+the chunks before sent of it, and its virtual time what was due by then: the difference is the deficit it starts with.  So deficits pass across partitions
+without any task waiting for another (a chunk serves its last documents to their ends, so at its edge a source is off by up to one document), and a source with a third of all tokens is spread over all chunks.  The end of a chunk goes out in sequences whose sizes are powers of two, unpadded.
+
+Defined cases: a null or empty text is one end token; a null source is a queue of its own; rows with equal ids, and equal rows, are separate documents in their own places (ties keep the order of rows);
+a text longer than many windows spans them, one task holds the ids of one document and one chunk; other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,10 +35,11 @@ from pyspark.sql.window import Window
 from tessera.llm.common import work_table
 
 SEQUENCE, END_ID = 2048, 1
+CHUNK, PACKET, LOOK = 1 << 19, 512, 64
+MAX_TARGETS = 1000
 MAX_BROADCAST = 500_000
 CACHE_WORDS = 500_000
 BATCH_BYTES = 4 << 20
-PIECE_ROWS = 256
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
@@ -157,9 +163,12 @@ class Encoder:
             state[path] = cls(path)
         return state[path]
 
-    def _learn(self, new: list[str]) -> None:
-        known, split, plain, extra = self.known, [], [], set()
-        for w in new:
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        """``plain`` words come from lower-cased Latin-1 texts, ``other`` words from anywhere."""
+        known, split, extra = self.known, [], set()
+        one = [w for w in plain if w.isalpha()]
+        rest = []
+        for w in other + (list(set(plain).difference(one)) if len(one) < len(plain) else []):
             if not w.isalpha():
                 core = w.rstrip(MARKS)
                 if core and core != w and core[-1].isalnum() and "'" not in w:
@@ -168,37 +177,40 @@ class Encoder:
                     extra.add(core)
                     extra.add(tail)
                     continue
-            plain.append(w)
-        plain += [w for w in extra.difference(plain) if w not in known]
-        one, rest = [], []
-        for w in plain:
+            rest.append(w)
+        rest += [w for w in extra.difference(rest).difference(one) if w not in known]
+        slow = []
+        for w in rest:
             easy = w.isalpha() and w.islower() and latin(w) or w and not w.strip(MARKS)
-            (one if easy else rest).append(w)
+            (one if easy else slow).append(w)
         if one:
             known.update(zip(one, self.merge([w.encode() for w in one])))
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+        for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
         for w, core, tail in split:
             known[w] = known[core] + known[tail]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text with the end token.  New words of all texts are learnt together."""
-        split, whole = [], {}
+        split, whole, plain, other = [], {}, [], []
         for i, t in enumerate(texts):
             low = t.lower()
             if any(a in low for a in self.added):
                 whole[i] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
                 split.append([])
                 continue
-            t = (low if latin(t) else t).replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            split.append(t.split(" "))
+            easy = latin(t)
+            words = (low if easy else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            (plain if easy else other).append(words)
+            split.append(words)
+        plain, other = set().union(*plain), set().union(*other)
+        new, more = plain.difference(self.known), other.difference(self.known, plain)
+        if len(self.known) + len(new) + len(more) > self.cache:
+            # the words of these texts stay
+            self.known = {w: self.known[w] for w in plain.union(other).difference(new, more)}
         known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        if len(known) + 3 * len(new) > self.cache:
-            known.clear()
-            new = list(set().union(*split))
-        if new:
-            self._learn(new)
+        if new or more:
+            self._learn(list(new), list(more))
         end = END_ID.to_bytes(4, "little")
         return [whole.get(i, b"") + b"".join(map(known.__getitem__, words)) + end for i, words in enumerate(split)]
 
@@ -235,86 +247,163 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, "part int, place long, doc_id long, source string, n long, ids binary")
 
 
-def served(w: int, end: int, total: int, size: int) -> int:
-    """Tokens served to the queues that end at ``end`` in the first w windows."""
-    return end * min(w * size, total // size * size) // total if total else 0
+def packet(left: int, size: int) -> int:
+    """Tokens that go together of a document with ``left`` to send: all, unless it is longer than a window."""
+    return left if left <= size else min(PACKET, size)
 
 
-def cut(start: int, stop: int, low: int, high: int, total: int, size: int) -> list[tuple[int, int, int, int]]:
-    """Pieces (from, to, sequence, offset) of places start..stop of the queue that spans low..high of all tokens.
+def round_robin(tokens: list[int], source: list[int], share: np.ndarray, deficit: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
+    """Pieces (document, start, length, window, offset) of one chunk.
 
-    Full windows first; what a queue keeps after the last one goes to the tail, where the queues follow each other.
+    ``tokens`` and ``source`` are of its documents in the order of the queues; ``share`` and the ``deficit`` to start with are of its sources.
     """
-    full = total // size
-    at = lambda w: served(w, high, total, size) - served(w, low, total, size)
-    out, p = [], start
-    done = at(full)
-    if p < min(stop, done):
-        w = max(0, min(full - 1, p * full // max(done, 1)))
-        while w and at(w) > p:
-            w -= 1
-        while at(w + 1) <= p:
-            w += 1
-        while p < min(stop, done):
-            q = min(stop, at(w + 1))
-            if q > p:
-                before = served(w + 1, low, total, size) - served(w, low, total, size)
-                out.append((p, q, w, before + p - at(w)))
-                p = q
-            w += 1
-    if p < stop:
-        rest, left = total - full * size, low - served(full, low, total, size)
-        a, b = left + p - done, left + stop - done
-        first, seq = 0, full
-        for bit in range(size.bit_length() - 1, -1, -1):
-            if rest >> bit & 1:
-                last = first + (1 << bit)
-                if a < last and b > first:
-                    x, y = max(a, first), min(b, last)
-                    out.append((p + x - a, p + y - a, seq, x - first))
-                first, seq = last, seq + 1
+    queues: list[list[int]] = [[] for _ in share]
+    for i in range(len(tokens) - 1, -1, -1):
+        queues[source[i]].append(i)
+    left, done, out = list(tokens), [0] * len(tokens), []
+    head = np.array([packet(left[q[-1]], size) if q else 0 for q in queues])
+    owed, window, room = deficit.astype(float), 0, size
+
+    def send(s: int, k: int, m: int) -> None:
+        """``m`` tokens of the document ``k`` places behind the head of a queue."""
+        nonlocal room
+        q = queues[s]
+        i = q[-1 - k]
+        if out and out[-1][0] == i and out[-1][3] == window:
+            out[-1][2] += m
+        else:
+            out.append([i, done[i], m, window, size - room])
+        done[i] += m
+        left[i] -= m
+        room -= m
+        owed[s] -= m
+        if not left[i]:
+            del q[-1 - k]
+        head[s] = packet(left[q[-1]], size) if q else 0
+
+    while (on := head > 0).any():
+        owed[on] += size * share[on] / share[on].sum()
+        due = np.flatnonzero(on & (head <= owed))
+        for s in due[np.argsort(-owed[due], kind="stable")].tolist():
+            while 0 < head[s] <= owed[s] and head[s] <= room:
+                send(s, 0, int(head[s]))
+        while room and (on := head > 0).any():
+            s = int(np.argmax(np.where(on, owed, -np.inf)))
+            if head[s] > room and owed[s] < size:
+                fit = on & (head <= room)
+                if fit.any():
+                    s = int(np.argmax(np.where(fit, owed, -np.inf)))
+            if head[s] <= room:
+                send(s, 0, int(head[s]))
+                continue
+            near = [(left[i], -k) for k, i in enumerate(queues[s][: -LOOK - 1 : -1]) if left[i] <= room and not done[i]]
+            if near:
+                n, k = max(near)
+                send(s, -k, n)
+            else:
+                send(s, 0, room)
+        window, room = window + 1, size
+    return in_powers(out, window - 1, size)
+
+
+def in_powers(pieces: list[list[int]], last: int, size: int) -> list[list[int]]:
+    """The last window, if it is not full, as sequences whose sizes are powers of two."""
+    tail = [p for p in pieces if p[3] == last]
+    fill = sum(p[2] for p in tail)
+    if not tail or fill == size:
+        return pieces
+    out = pieces[: len(pieces) - len(tail)]
+    edges = [0]
+    for bit in range(size.bit_length() - 1, -1, -1):
+        if fill >> bit & 1:
+            edges.append(edges[-1] + (1 << bit))
+    for i, start, n, _, offset in tail:
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            x, y = max(a, offset), min(b, offset + n)
+            if x < y:
+                out.append([i, start + x - offset, y - x, last + k, x - a])
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents; ``with_ids`` adds the ids themselves."""
-    spark = docs.sparkSession
+class Ideal:
+    """The mix that serves every source its share at every moment: tokens served by virtual time, and back.
+
+    Named sources have their own shares; all others have their share of all tokens, and so end together.
+    """
+
+    def __init__(self, total: int, named: dict, lengths: dict):
+        self.named = {s: (float(w), int(lengths.get(s, 0))) for s, w in named.items()}
+        self.rest, self.total = total - sum(n for _, n in self.named.values()), total
+        self.times = np.array(sorted({0.0, float(max(total, 1)), *(n / w for w, n in self.named.values())}))
+        self.served = np.array([self.by(t) for t in self.times])
+
+    def by(self, t: float) -> float:
+        return self.rest * min(1.0, t / max(self.total, 1)) + sum(min(n, w * t) for w, n in self.named.values())
+
+    def column(self, t: F.Column) -> F.Column:
+        out = F.lit(float(self.rest)) * F.least(F.lit(1.0), t / F.lit(float(max(self.total, 1))))
+        for w, n in self.named.values():
+            out = out + F.least(F.lit(float(n)), F.lit(w) * t)
+        return out
+
+    def when(self, tokens: float) -> float:
+        return float(np.interp(tokens, self.served, self.times))
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, with_ids: bool = False, targets: dict | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Pieces of all documents; ``with_ids`` adds the ids themselves.  ``targets`` gives shares in (0, 1] of at most ``MAX_TARGETS`` sources; the others keep their own."""
+    named = dict(targets or {})
+    if len(named) > MAX_TARGETS or any(not 0 < w <= 1 for w in named.values()):
+        raise ValueError(f"targets: at most {MAX_TARGETS} shares in (0, 1]")
     tokens = work_table(encoded(docs, tokenizer or default_tokenizer()), "tokens")
     sums = work_table(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "token-sums")
     queues = sums.groupBy("source").agg(F.sum("n").alias("length"))
-    ends = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    queues = queues.withColumn("high", F.sum("length").over(ends)).withColumn("low", F.col("high") - F.col("length"))
     total = sums.agg(F.sum("n")).first()[0] or 0
+    wanted = [s for s in named if s is not None]
+    lengths = {r[0]: r[1] for r in queues.where(F.col("source").isin(wanted) | (F.col("source").isNull() & F.lit(None in named))).collect()} if named else {}
+    ideal = Ideal(total, named, lengths)
+    share = F.col("length") / F.lit(float(max(total, 1)))
+    for s, w in named.items():
+        share = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(w))).otherwise(share)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({"part": "__p", "source": "__s"}).drop("n")
-    base = base.join(queues, base["__s"].eqNullSafe(queues["source"])).select("__p", "__s", "base", "low", "high")
+    base = base.join(queues.withColumn("share", share), base["__s"].eqNullSafe(F.col("source"))).select("__p", "__s", "base", "length", "share")
     if sums.count() <= MAX_BROADCAST:
         base = F.broadcast(base)
-    placed = tokens.join(base, (tokens["part"] == base["__p"]) & tokens["source"].eqNullSafe(base["__s"]))
+    placed = tokens.join(base, (tokens["part"] == base["__p"]) & tokens["source"].eqNullSafe(base["__s"])).withColumn("start", F.col("base") + F.col("place"))
+    placed = placed.withColumn("chunk", F.floor(ideal.column(F.col("start") / F.col("share")) / F.lit(float(chunk))))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
-
-    def pieces(batch):
-        out, parts = [], []
-        for doc, start, n, low, high, ids in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            raw = ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
-            for a, b, seq, off in cut(start, start + n, low, high, total, size):
-                part = raw[4 * (a - start) : 4 * (b - start)]
-                out.append((doc, a - start, b - a, zlib.crc32(part), n, seq, off))
-                if with_ids:
-                    parts.append(part)
-        cols = [pa.array(list(c), pa.int64()) for c in list(zip(*out)) or [()] * 7]
+    kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        code = pc.rank(t.column("source"), sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy() - 1
+        start, n = t.column("start").to_numpy(), t.column("n").to_numpy()
+        order = np.lexsort((start, code))
+        code, start, n = code[order], start[order], n[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        share, length = (t.column(c).to_numpy()[order][first] for c in ("share", "length"))
+        number = t.column("chunk")[0].as_py()
+        due = np.minimum(length, share * ideal.when(number * float(chunk)))
+        raw, doc = t.column("ids"), t.column("doc_id").to_pylist()
+        out, parts, at, held = [], [], -1, b""
+        for i, a, m, window, offset in sorted(round_robin(n.tolist(), code.tolist(), share, due - start[first], size)):
+            if i != at:
+                at, held = i, raw[int(order[i])].as_py()
+                if len(held) != 4 * n[i]:
+                    held = np.frombuffer(held, "<u2").astype("<u4").tobytes()
+            part = held[4 * a : 4 * (a + m)]
+            out.append((doc[order[i]], a, m, zlib.crc32(part), int(n[i]), (number << 32) + window, offset))
+            if with_ids:
+                parts.append(part)
+        cols = [pa.array(list(c), pa.int64()) for c in zip(*out)]
         if with_ids:
             ends = np.concatenate([[0], np.cumsum(cols[2].to_numpy())]).astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
-        return pa.RecordBatch.from_arrays(cols, names)
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PIECE_ROWS):
-                yield pieces(batch.slice(lo, PIECE_ROWS))
+        return pa.Table.from_arrays([c.cast(k) for c, k in zip(cols, kinds)], names)
 
     schema = ", ".join(f"{c} long" for c in names[:7]) + (", ids array<int>" if with_ids else "")
-    return placed.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n", "low", "high", "ids").mapInArrow(run, schema)
+    return placed.select("chunk", "doc_id", "source", "start", "n", "length", "share", "ids").groupBy("chunk").applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

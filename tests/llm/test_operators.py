@@ -400,17 +400,58 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_windows_hold_target_shares(docs):
-    total = collections.Counter()
-    by = collections.defaultdict(collections.Counter)
-    source = {i: s for i, _, s in DOCS if i not in (7,)}
-    for r in packing.pack(docs.where("doc_id <> 7"), size=256).collect():
-        total[source[r["doc_id"]]] += r["length"]
+def pieces_by_source(rows, got):
+    """Tokens of each source in each sequence, in order of sequences, and how often each document is cut."""
+    source = {i: s for i, _, s in rows}
+    by, cuts = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in got:
         by[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+        cuts[r["doc_id"]] += 1
+    return by, cuts
+
+
+@pytest.mark.parametrize("chunk,targets", [(1 << 19, None), (4096, None), (4096, {"a": 0.7, None: 0.2})])
+def test_windows_hold_target_shares(spark, chunk, targets):
+    """What a source has got by the end of any window of any chunk stays near what it is due; deficits pass from chunk to chunk."""
+    rng, size = random.Random(3), 256
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 3, 20, 40, 90, 400]))), rng.choice(["a", "a", "b", "c", None])) for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).withColumn("chunk", F.lit("clash"))
+    got = packing.pack(d, size=size, targets=targets, chunk=chunk).collect()
+    by, cuts = pieces_by_source(rows, got)
+    total = collections.Counter()
+    for c in by.values():
+        total.update(c)
     n = sum(total.values())
-    for seq, c in by.items():
-        if sum(c.values()) == 256:
-            assert all(abs(c[s] - 256 * total[s] / n) <= 2 for s in total)
+    share = {s: (targets or {}).get(s, total[s] / n) for s in total}
+    served, longest = collections.Counter(), max(r["doc_tokens"] for r in got)
+    bound = 2 * size if chunk > n else 2 * size + longest  # the last document of a chunk is served there to its end
+    for seq in sorted(by):
+        served.update(by[seq])
+        # the ideal mix that has served as many tokens in all
+        low, high = 0.0, float(n) / min(share.values())
+        for _ in range(60):
+            t = (low + high) / 2
+            low, high = (t, high) if sum(min(total[s], share[s] * t) for s in total) < sum(served.values()) else (low, t)
+        assert all(abs(served[s] - min(total[s], share[s] * t)) <= bound for s in total)
+    short = {r["doc_id"] for r in got if r["doc_tokens"] <= size}
+    assert served == total and sum(cuts[i] == 1 for i in short) >= 0.8 * len(short)
+
+
+def test_round_robin_carries_deficits():
+    share = np.array([0.5, 0.5])
+    got = packing.round_robin([10, 10, 10, 10], [0, 0, 1, 1], share, np.array([0.0, 20.0]), size=10)
+    assert [p[0] for p in got] == [2, 3, 0, 1] and all(p[1:3] == [0, 10] for p in got)
+    got = packing.round_robin([7, 7, 2], [0, 0, 1], share, np.zeros(2), size=8)
+    assert got == [[2, 0, 2, 0, 0], [0, 0, 6, 0, 2], [0, 6, 1, 1, 0], [1, 0, 7, 1, 1]]
+    # the end of a chunk: 13 tokens as 8, 4 and 1
+    assert packing.round_robin([13], [0], np.ones(1), np.zeros(1), size=64) == [[0, 0, 8, 0, 0], [0, 8, 4, 1, 0], [0, 12, 1, 2, 0]]
+    assert packing.round_robin([], [], np.zeros(0), np.zeros(0)) == []
+
+
+def test_packing_targets_are_checked(docs):
+    for bad in ({"s0": 0}, {"s0": 1.5}, {f"s{i}": 0.1 for i in range(1001)}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, targets=bad)
 
 
 def test_encoder_equals_tokenizer():
