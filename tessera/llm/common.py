@@ -22,6 +22,18 @@ def _work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tessera-work/{spark.sparkContext.applicationId}"
 
 
+#: Rows and bytes of an Arrow batch where whole texts go to Python: a worker holds few of them at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of an Arrow batch to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def clear_work_tables(spark: SparkSession) -> None:
     """Delete this application's work tables, once no result that reads them is needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
@@ -30,7 +42,7 @@ def clear_work_tables(spark: SparkSession) -> None:
 
 def row_key(text: str = "text") -> F.Column:
     """With the id, this tells rows apart whose ids clash."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("\x00null")))
+    return F.when(F.col(text).isNull(), F.xxhash64(F.lit(0), F.lit(0))).otherwise(F.xxhash64(F.col(text)))
 
 
 def fresh(df: DataFrame, name: str) -> str:

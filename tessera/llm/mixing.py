@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import work_table
+from tessera.llm.common import row_key, work_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE, CAP, SLICES, SEED = 1.5, 2.0, 4096, "mix-1"
@@ -48,7 +48,7 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, weights=WEIGHTS
     spark = docs.sparkSession
     u = F.conv(F.substring(F.sha2(F.concat_ws("\x01", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 12), 16, 10).cast("double")
     rows = docs.select(
-        "doc_id", "source", F.xxhash64(F.coalesce("text", F.lit("\x00null"))).alias("key"),
+        "doc_id", "source", row_key().alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ((u + 0.5) / float(1 << 48)).alias("u"), (F.col(propensity) if propensity else F.lit(1.0)).cast("double").alias("w"))
     rows = work_table(rows, "mix")

@@ -97,9 +97,26 @@ def test_quality_rules(docs, empty):
 
 def test_quality_rules_reject_junk(spark):
     good = " ".join(f"wort{i}" for i in range(60)).replace("1", "a").replace("2", "b")
-    rows = [(1, good), (2, " ".join(w + "!!" for w in good.split())), (3, good.upper()), (4, good.replace(" ", " # ")), (5, "\n".join(["zeile eins hier"] + ["gleich " + c for c in "abcdefgh"] * 2 + [good])), (6, "9876543210 " * 3 + " ".join(str(i) * 5 for i in range(40)))]
-    got = {r[0]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
-    assert got[1] and not any(got[i] for i in (2, 3, 4, 6))
+    ten = [good[i * 30 : i * 30 + 30] for i in range(10)]
+    rows = [(1, good), (2, " ".join(w + "!!" for w in good.split())), (3, good.upper()), (4, good.replace(" ", " # ")), (5, "\n".join(good[i * 30 : i * 30 + 30] + "\ngleich so" for i in range(14))), (6, "9876543210 " * 3 + " ".join(str(i) * 5 for i in range(40)))]
+    rows += [(7, "\n".join("  - " + x for x in ten)), (8, "\n".join(x + " ..." for x in ten)), (9, " ".join(w if i % 2 else "same" for i, w in enumerate(good.split()))), (10, " ".join(w if i % 4 > 1 else ("one", "pair")[i % 4] for i, w in enumerate(good.split())))]
+    rows += [(11, "\n".join(["  - " + x for x in ten[:9]] + ten[9:])), (12, "\n".join([x + " ..." for x in ten[:3]] + ten[3:])), (13, " ".join(w.replace("wort", "mot") + " ok" * (i % 3 == 0) for i, w in enumerate(good.split()))), (14, "word " * 200_000), (15, good + " " + " ".join(f"rare{i}" for i in range(100_000)).translate(str.maketrans("0123456789", "bcdfghjklm")))]
+    d = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    got = {}
+    for r in quality_rules.quality_rules(d, ["doc_id"]).collect():
+        assert got.setdefault(r[0], r["kept"]) == r["kept"] and r["base_failed"] == (r[0] == 14)
+    assert {i for i, k in got.items() if k} == {1, 11, 12, 13, 15}
+    for rule in quality_rules.RULES:
+        alone = {r[0] for r in quality_rules.quality_rules(d, ["doc_id"], rules=[rule]).where("not kept and not base_failed").collect()}
+        assert alone == {"symbols per word": {4}, "repeated lines": {5}, "word length": set(), "shouting": {2}, "digits": {6}, "capitals": {3}, "lists": {7}, "cut lines": {8}, "one word": {4, 9}, "one pair of words": {10}}[rule.name], rule.name
+
+
+def test_order_is_greedy_on_what_is_left():
+    # rule 0 rejects most, rule 1 nothing that rule 0 leaves, rule 2 little but cheaply
+    masks = {0: 50, 0b011: 30, 0b001: 10, 0b100: 5}
+    assert quality_rules.greedy_order([1.0, 1.0, 1.0], masks) == [0, 2, 1]
+    assert quality_rules.greedy_order([1.0, 1.0, 0.001], masks) == [2, 0, 1]
+    assert quality_rules.greedy_order([0.0, 0.0], {}) == [0, 1]
 
 
 def suffix_brute(rows, n=400):
@@ -119,14 +136,37 @@ def suffix_brute(rows, n=400):
 def test_suffix_dedup(docs, hot):
     got = sorted((tuple(r) for r in suffix_dedup.digests(docs, hot=hot).collect()), key=str)
     assert got == suffix_brute(DOCS) and sum(r[2] for r in got) > 5000
+    again = sorted((tuple(r) for r in suffix_dedup.digests(docs.repartition(7, "source"), hot=hot).collect()), key=str)
+    assert again == got
 
 
 def test_suffix_dedup_empty_and_texts(docs, empty):
     assert suffix_dedup.digests(empty).count() == 0
+    assert suffix_dedup.remove_repeats(empty).count() == 0
     out = suffix_dedup.remove_repeats(docs.select("doc_id", "text", "n_chars", "marks"))
     assert out.columns == ["doc_id", "text", "n_chars", "marks"]
     left = {r["doc_id"]: r for r in out.collect()}
-    assert 103 not in left and left[102]["n_chars"] == len(left[102]["text"]) if 102 in left else True
+    assert not {102, 103} & set(left) and 104 in left and left[104]["text"] is None and all(r["n_chars"] == len(r["text"]) for r in left.values() if r["text"] is not None)
+
+
+def test_cuts_keep_whole_characters(spark):
+    """Where a repeat begins or ends inside a character, the character stays."""
+    shared = PASSAGES[0][:600]
+    rows = [(1, "aaaé" + shared + "é bbb"), (2, "cccĩ" + shared + "è ddd"), (3, "none of it"), (4, shared[:300])]
+    assert "é".encode()[1] == "ĩ".encode()[1] and "é".encode()[0] == "è".encode()[0]
+    d = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(d).collect()))
+    want = [(1, "aaaéé bbb"), (2, "cccĩè ddd"), (3, "none of it"), (4, shared[:300])]
+    assert got == [(i, t, len(t)) for i, t in want]
+
+
+def test_one_line_repeated_very_often(spark):
+    """A gram that one document holds thousands of times, and an equal pair of long texts."""
+    line = "the same line of text over and over again, to the end of the page and beyond\n"
+    long = text(30_000)
+    rows = [(1, line * 3000, ""), (2, line * 3 + "x", ""), (3, long, ""), (4, long[:-1], ""), (5, "", "")]
+    got = sorted(tuple(r) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect())
+    assert got == suffix_brute(rows)
 
 
 def test_long_document_in_pieces(monkeypatch):

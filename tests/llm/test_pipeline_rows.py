@@ -23,6 +23,11 @@ def quality(rows):
         n, chars, symbols, again, _, failed = quality_brute(t)
         lines = sum(bool(x.encode().split()) for x in (t or "").split("\n"))
         count = lambda f: sum(map(f, t or ""))
+        full = [x for x in (y.strip(" \t\x0b\x0c\r") for y in (t or "").split("\n")) if x]
+        w = words(t)
+        most = lambda xs: max(collections.Counter(xs).values(), default=0)
+        if 10 * sum(x[0] in "-*•" for x in full) > 9 * len(full) or 10 * sum(x.endswith(("...", "…")) for x in full) > 3 * len(full) or 10 * most(w) > 3 * n or 10 * most(zip(w, w[1:])) > 2 * n:
+            return False
         return not (failed or 10 * symbols > 3 * n or 10 * again > 3 * lines or chars < 2 * n or chars > 20 * n or 10 * count("!?".__contains__) > 3 * n or 2 * count("0123456789".__contains__) > chars or 2 * count(lambda c: "A" <= c <= "Z") > chars)
 
     return [r for r in rows if kept(r[1])]
