@@ -32,9 +32,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "key").agg(F.max("copies").alias("copies")).withColumnsRenamed({"doc_id": "__d", "key": "__k2"})
+    taken = mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id", "key", "source").agg(F.max("copies").alias("copies")).withColumnsRenamed({"doc_id": "__d", "key": "__k2", "source": "__s"})
     d = docs.select(*COLUMNS).withColumn("__k", row_key())
-    out = d.join(taken, d["doc_id"].eqNullSafe(taken["__d"]) & (d["__k"] == taken["__k2"]))
+    out = d.join(taken, d["doc_id"].eqNullSafe(taken["__d"]) & (d["__k"] == taken["__k2"]) & d["source"].eqNullSafe(taken["__s"]))
     return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
