@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import work_table
+from tessera.llm.common import small_batches, work_table
 
 SEQUENCE, END_ID = 2048, 1
 CHUNK, PACKET, LOOK = 1 << 19, 512, 64
@@ -355,6 +355,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, wi
     named = dict(targets or {})
     if len(named) > MAX_TARGETS or any(not 0 < w <= 1 for w in named.values()):
         raise ValueError(f"targets: at most {MAX_TARGETS} shares in (0, 1]")
+    small_batches(docs.sparkSession)
     tokens = work_table(encoded(docs, tokenizer or default_tokenizer()), "tokens")
     sums = work_table(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "token-sums")
     queues = sums.groupBy("source").agg(F.sum("n").alias("length"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import components, fresh, row_key, work_table
+from tessera.llm.common import components, fresh, row_key, small_batches, work_table
 from tessera.llm.textkernel import Block, blocks, lowered
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -161,6 +161,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, key: bool = False) -> DataFrame:
     """doc_id, fp, component_id (and, if the row key is asked for, the key and the class root, a fingerprint) of every row."""
+    small_batches(docs.sparkSession)
     fps = work_table(fingerprints(docs, key), "fingerprints")
     groups = work_table(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "fp-groups")
     stars = components(links(groups.select("fp"), groups.count(), radius))

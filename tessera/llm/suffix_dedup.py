@@ -21,6 +21,7 @@ copies of each other, so they are removed where they are long enough; an empty t
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, row_key, same, work_table
+from tessera.llm.common import fresh, row_key, same, small_batches, work_table
 from tessera.llm.textkernel import Block, Hasher, U, blocks, mix, repeated
 
 LENGTH, GRAM = 400, 64
-PIECE = 1 << 23
+PIECE = 1 << 20
 RUN_ENTRIES = 20_000
 BUCKET_ENTRIES = 20_000
-HOT = 200_000
+HOT = 50_000
 POS_BITS = 24
 
 
@@ -328,16 +329,17 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataF
     ctx = work_table(shared.where("mixed").groupBy("kg", "ctx").agg(F.count("*").alias("n"), F.min(whole).alias("r")), "contexts")
     wanted = ctx.select("kg", "ctx", "n", "r.*")
     full = shared.where("not mixed").unionByName(shared.where("mixed").join(ctx.where("n > 1").select("kg", "ctx"), ["kg", "ctx"], "left_semi"))
-    marks = full.select("doc_id", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    parts = [work_table(full.select("doc_id", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end")), "whole-marks")]
     per = ctx.groupBy("kg").agg(F.count("*").alias("m"))
     entries, most = ctx.count(), per.agg(F.max("m")).first()[0] or 0
     if most > hot:
         big = per.where(F.col("m") > hot).select("kg")
-        marks = marks.unionByName(hot_marks(docs, wanted.join(big, "kg", "left_semi"), length))
+        parts.append(work_table(hot_marks(docs, wanted.join(big, "kg", "left_semi"), length), "hot-marks"))
         wanted = wanted.join(big, "kg", "left_anti")
     if entries:
-        marks = marks.unionByName(boundary_marks(docs, wanted, entries, length))
-    return marks.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
+        parts.append(work_table(boundary_marks(docs, wanted, entries, length), "merge-marks"))
+    marks = reduce(DataFrame.unionByName, parts)
+    return work_table(marks.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")), "marks")
 
 
 def merged(marks) -> list[tuple[int, int]]:
@@ -353,6 +355,7 @@ def merged(marks) -> list[tuple[int, int]]:
 
 def marked(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, str]:
     """``docs`` with a column of marks, null where nothing repeats, and that column's name."""
+    small_batches(docs.sparkSession)
     k, i, m, out = (fresh(docs, x) for x in ("__k", "__i", "__m", "__marks"))
     marks = repeat_marks(docs, length, hot).select(F.col("doc_id").alias(i), F.col("key").alias(m), F.col("marks").alias(out))
     d = docs.withColumn(k, row_key())
@@ -382,12 +385,15 @@ def digests(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` (whole characters only) and ``n_chars`` counted anew; rows left with no text go."""
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, marks: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, marks: pa.Array) -> pa.Array:
         out = []
-        for t, m in zip(text, marks):
-            raw, kept, at = t.encode(), [], 0
-            for s, e in merged(m):
+        for i in range(len(text)):
+            if not text[i].is_valid:
+                out.append(None)
+                continue
+            raw, kept, at = text[i].as_py().encode(), [], 0
+            for s, e in merged(marks[i].as_py()):
                 while s < e and raw[s] & 0xC0 == 0x80:
                     s += 1
                 while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
@@ -395,12 +401,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(raw[at:s])
                 at = e
             out.append(b"".join([*kept, raw[at:]]).decode())
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
+    cut = cut.asNondeterministic()  # else the filter and the column would each run it
     d, marks = marked(docs, length)
-    changed = F.col(marks).isNotNull()
-    out = d.where(~changed).unionByName(d.where(changed).withColumn("text", cut("text", marks)).withColumn("n_chars", F.length("text").cast("long")).where("length(text) > 0"))
-    return out.select(*docs.columns)
+    left = fresh(d, "__left")
+    d = d.withColumn(left, cut(F.when(F.col(marks).isNotNull(), F.col("text")), marks)).where(F.coalesce(F.length(left), F.lit(1)) > 0)
+    size = F.when(F.col(left).isNotNull(), F.length(left).cast("long")).otherwise(F.col("n_chars"))
+    new = {"n_chars": size.alias("n_chars"), "text": F.coalesce(F.col(left), F.col("text")).alias("text")}
+    return d.select(*[new[c] if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
