@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import work_table
+from tessera.llm.common import small_batches, work_table
 from tessera.llm.textkernel import Block, Hasher, U, blocks, lowered, mix
 
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 500_000
 PART_KEYS = 1_000_000
 CUTOFF = 5
 END, START = 0x1F3D5B79A2C4E681, 0x2E8A6C40F1B3D597
@@ -121,7 +121,7 @@ class Tokens:
     def __init__(self, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
         self.words = np.frombuffer(words, U)
         self.size = np.frombuffer(sizes, "<u4").astype(np.int64)
-        self.at = np.frombuffer(tokens, "<u4").astype(np.int64)
+        self.at = np.frombuffer(tokens, "<u4")
         self.first = np.cumsum(self.size) - self.size
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.train = np.repeat(~self.held, self.size)
@@ -254,6 +254,7 @@ def bits(a) -> np.ndarray:
 
 def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    small_batches(docs.sparkSession)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"))
     blk = work_table(text.mapInArrow(lambda it: block_rows(it, block_tokens), "block long, ids array<long>, held binary, sizes binary, words binary, tokens binary"), "lm-blocks")
     size = blk.agg(F.sum(F.length("words") / 8), F.sum(F.length("tokens") / 4)).first()

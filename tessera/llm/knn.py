@@ -1,37 +1,44 @@
 """Operator 8: exact top-k inner products by a Voronoi kNN join.
 
 Components become ``floor(256 * x)``.  With M the largest norm, a vector x gets the extra coordinate sqrt(M^2 - |x|^2) and a query 0; then
-distance^2 = |q|^2 + M^2 - 2 q.x, so near and large product are one order for each query.  Queries and data are grouped by nearest pivot.
-Data groups are cut by distance to their pivot into blocks of bounded size, each with its nearest and farthest distance; query groups are cut likewise.
-From these summaries a query block gets an upper bound of its k-th distance, and a data block is sent to it only if its lower bound
-is within that.  Blocks meet their queries in tasks of bounded size whatever a pivot gathers; products are exact integers.
+distance^2 = |q|^2 + M^2 - 2 q.x, so near and large product are one order for each query.  Queries and data are grouped by nearest pivot;
+the number of pivots grows with the root of the data, up to ``MAX_PIVOTS``.  Groups are cut by distance to their pivot into blocks of bounded size.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different lengths are never compared; ties go to the smaller
+A group's summary is its size, its farthest distance and the distance within which its first k + 1 vectors lie; at most ``MAX_PIVOTS`` summaries go to the tasks.
+From them a query block gets an upper bound of its k-th distance (k + 1 vectors lie within: one may be the query itself), and from that the groups, and within a group the span of distances to the pivot, that can hold a neighbour.
+An equi-join on the group with that span gives the pairs of query block and data block; queries are copied to the data blocks that need them, bundled up to ``QUERY_BLOCK``, and data never
+moves twice.  A vector that a third of the rows share fills one span of one group; its rows are dealt over blocks of bounded size.  Products are exact integers.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of no components have product 0; vectors of different lengths are never compared; ties go to the smaller
 vec_id, null ids last; rows with one vec_id are different rows, and only the query's own row is left out; a query without
-candidates has no rows; an empty table gives an empty table.
+candidates has no rows; other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import work_table
+from tessera.llm.common import small_batches, work_table
 
 K, EVERY, SCALE = 5, 50, 256.0
-PIVOTS, PIVOT_SAMPLE = 16, 4096
+MIN_PIVOTS, MAX_PIVOTS, SAMPLE_VALUES = 16, 1024, 1 << 22
+SLICES = 512
 QUERY_BLOCK, DATA_BLOCK = 512, 2048
 SLACK = 1e-6
 
 
-def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(uid, vec_id, v array<double>) of the rows that take part; v holds whole numbers."""
+def usable(vectors: DataFrame, flag: str, column: str = "embedding") -> DataFrame:
+    """(uid, vec_id, q, v array<double>) of the rows that take part; v holds whole numbers."""
     x = F.col(column)
     fine = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    return vectors.where(fine).select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("double")).alias("v"))
+    return vectors.where(fine).select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.col(flag).alias("q"), F.transform(x, lambda e: F.floor(e.cast("double") * SCALE).cast("double")).alias("v"))
 
 
 def matrix(column) -> np.ndarray:
@@ -65,26 +72,40 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-BLOCK = "grp int, dist double, uid long, vec_id long, v array<double>"
-
-
-def knn_join(vectors: DataFrame, is_query: F.Column, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def knn_join(vectors: DataFrame, is_query: F.Column, k: int = K, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest product for each row that ``is_query`` marks."""
     spark = vectors.sparkSession
-    rows = work_table(usable(vectors).withColumn("q", F.coalesce(is_query, F.lit(False))), "vectors")
+    small_batches(spark)
+    rows = work_table(usable(vectors.withColumn("__q", F.coalesce(is_query, F.lit(False))), "__q"), "vectors")
     schema = "query_id long, rank int, vec_id long, score long"
     lengths = [r[0] for r in rows.groupBy(F.size("v").alias("n")).agg(F.max("q").alias("q")).where("q").select("n").collect()]
     out = None
     for n in sorted(lengths):
-        part = _join(rows.where(F.size("v") == n), n, k, pivots)
+        of = rows.where(F.size("v") == n)
+        part = _join(of if n else of.withColumn("v", F.array(F.lit(0.0))), max(n, 1), k, pivots)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _join(rows: DataFrame, dims: int, k: int, pivots: int) -> DataFrame:
-    spark = rows.sparkSession
-    top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))).first()[0]
-    sample = rows.orderBy(F.xxhash64("uid")).limit(min(PIVOT_SAMPLE, 8 * pivots)).select("v").collect()
+def pivots_for(n: int) -> int:
+    return min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(n) // 4))
+
+
+def _spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """Farthest-first pivots of a bounded sample."""
+    chosen = [0]
+    d = distances(sample, sample[:1])[:, 0]
+    while len(chosen) < min(n, len(sample)):
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, distances(sample, sample[chosen[-1:]])[:, 0])
+    return sample[chosen]
+
+
+def placed(rows: DataFrame, dims: int, pivots: int | None) -> tuple[DataFrame, np.ndarray, float]:
+    """Rows of data and of queries with group and distance to the pivot; the pivots; the largest distance that can be."""
+    n, top = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))).first()
+    pivots = pivots or pivots_for(n)
+    sample = rows.orderBy(F.xxhash64("uid"), "uid").limit(max(1, min(8 * pivots, SAMPLE_VALUES // dims))).select("v").collect()
     centre = _spread(lifted(matrix([r[0] for r in sample]).reshape(len(sample), dims), top), pivots)
 
     def place(batches):
@@ -99,67 +120,100 @@ def _join(rows: DataFrame, dims: int, k: int, pivots: int) -> DataFrame:
                         g = d.argmin(1)
                         yield pdf.loc[on, ["uid", "vec_id", "v"]].assign(query=query, grp=g.astype("int32"), dist=d[np.arange(len(g)), g])
 
-    placed = work_table(rows.mapInPandas(place, BLOCK + ", query boolean"), "placed")
-    # rank within (kind, group) by distance, from counts of slices: no window gathers a group
-    fine = placed.withColumn("slice", F.floor(F.col("dist") / F.lit(max(2 * top, 1.0) ** 0.5 / 512)).cast("long"))
-    counts = fine.groupBy("query", "grp", "slice").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("query", "grp").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.broadcast(counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))))
+    out = rows.mapInPandas(place, "grp int, dist double, uid long, vec_id long, v array<double>, query boolean")
+    return work_table(out, "placed"), centre, max(2 * top, 1.0) ** 0.5
+
+
+def cut_in_blocks(rows: DataFrame, width: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (query, grp, b, near, far, n, rows) and data groups (grp, n, far, first).  Windows run over counts of slices, at most ``SLICES`` and one a group."""
+    fine = rows.withColumn("slice", F.floor(F.col("dist") / F.lit(width / SLICES)).cast("long"))
+    counts = work_table(fine.groupBy("query", "grp", "slice").agg(F.count("*").alias("n"), F.max("dist").alias("far")), "slices")
+    w = Window.partitionBy("query", "grp").orderBy("slice")
+    base = counts.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = base.where("not query").withColumn("within", F.when(F.col("before") + F.col("n") >= k + 1, F.col("far")))
+    groups = upto.groupBy("grp").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.min("within").alias("first"))
     size = F.when(F.col("query"), QUERY_BLOCK).otherwise(DATA_BLOCK)
     salt = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / size))
-    blocked = fine.join(base, ["query", "grp", "slice"]).withColumn("blk", F.floor(F.col("before") / size)).withColumn("salt", F.when(F.col("n") > size, F.col("slice") * 1_000_000 + salt + 1).otherwise(F.lit(0)))
-    blocked = work_table(blocked.groupBy("query", "grp", "blk", "salt").agg(F.min("dist").alias("near"), F.max("dist").alias("far"), F.count("*").alias("n"), F.collect_list(F.struct("uid", "vec_id", "v")).alias("rows")).withColumn("b", F.monotonically_increasing_id()), "blocks")
-    summary = blocked.select("query", "grp", "b", "near", "far", "n").toPandas()
-    pairs = needed(summary, centre, k)
-    need = spark.createDataFrame(pairs, "qb long, b long")
-    data = blocked.where("not query").select("b", F.col("rows").alias("d"))
-    asked = blocked.where("query").select(F.col("b").alias("qb"), F.col("rows").alias("qs"))
+    blocked = fine.join(F.broadcast(base.drop("far")), ["query", "grp", "slice"]).withColumn("blk", F.floor(F.col("before") / size)).withColumn("salt", F.when(F.col("n") > size, F.col("slice") * 1_000_000 + salt + 1).otherwise(F.lit(0)))
+    per = blocked.groupBy("query", "grp", "blk", "salt").agg(F.min("dist").alias("near"), F.max("dist").alias("far"), F.count("*").alias("n"), F.collect_list(F.struct("uid", "vec_id", "v")).alias("rows"))
+    return work_table(per.withColumn("b", F.monotonically_increasing_id()), "blocks"), groups
 
-    def solve(batches):
-        for pdf in batches:
-            for qs, ds in zip(pdf["qs"], pdf["d"]):
-                q, x = matrix([r["v"] for r in qs]).reshape(len(qs), dims), matrix([r["v"] for r in ds]).reshape(len(ds), dims)
-                ids = np.array([np.iinfo(np.int64).max if r["vec_id"] is None else r["vec_id"] for r in ds], np.int64)
-                uid = np.array([r["uid"] for r in ds])
-                s, got = products(q, x), []
-                for i, r in enumerate(qs):
-                    on = np.flatnonzero(uid != r["uid"])
-                    for j in on[best(s[i][on], ids[on], k)]:
-                        got.append((r["uid"], r["vec_id"], ds[j]["vec_id"], s[i][j], ds[j]["uid"]))
-                yield pd.DataFrame(got, columns=["quid", "query_id", "vec_id", "score", "uid"]).astype({"query_id": "Int64", "vec_id": "Int64"})
-
-    spark_pairs = need.repartition("qb", "b").join(asked, "qb").join(data, "b").select("qs", "d")
-    found = spark_pairs.mapInPandas(solve, "quid long, query_id long, vec_id long, score long, uid long")
-    order = Window.partitionBy("quid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "uid")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+class Bounds:
+    """Group summaries, and what a query block needs of each group."""
 
-def _spread(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first pivots of a bounded sample."""
-    chosen = [0]
-    d = distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(n, len(sample)):
-        chosen.append(int(d.argmax()))
-        d = np.minimum(d, distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen]
+    def __init__(self, centre: np.ndarray, groups: pd.DataFrame, k: int):
+        self.centre, self.k = centre, k
+        self.grp, self.n = groups["grp"].to_numpy(int), groups["n"].to_numpy(int)
+        self.far, self.first = groups["far"].to_numpy(float), groups["first"].to_numpy(float)
 
-
-def needed(summary: pd.DataFrame, centre: np.ndarray, k: int) -> pd.DataFrame:
-    """Pairs (query block, data block) that the distance bounds leave.  Works on block summaries only."""
-    q, d = summary[summary["query"]], summary[~summary["query"]]
-    between = distances(centre, centre)
-    near, far, n, grp = (d[c].to_numpy() for c in ("near", "far", "n", "grp"))
-    out = []
-    for _, r in q.iterrows():
-        gap = between[int(r["grp"]), grp]
-        upper = r["far"] + gap + far
+    def spans(self, grp: int, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(groups, lowest, highest distance to their pivots) for queries within ``far`` of pivot ``grp``."""
+        gap = distances(self.centre[grp : grp + 1], self.centre[self.grp])[0]
+        upper = far + gap + self.far
         at = np.argsort(upper, kind="stable")
-        reach = np.searchsorted(np.cumsum(n[at]), k + 1)
+        reach = np.searchsorted(np.cumsum(self.n[at]), self.k + 1)
         bound = upper[at[reach]] if reach < len(at) else np.inf
-        lower = np.maximum.reduce([gap - r["far"] - far, near - gap - r["far"], r["near"] - gap - far, np.zeros(len(gap))])
-        fits = lower <= bound * (1 + SLACK) + SLACK
-        out.append(pd.DataFrame({"qb": int(r["b"]), "b": d["b"].to_numpy()[fits]}))
-    return pd.concat(out) if out else pd.DataFrame({"qb": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        bound = min(bound, np.nanmin(np.append(far + gap + self.first, np.inf)))
+        bound = bound * (1 + SLACK) + SLACK
+        # a vector of another cell is at least half as far as the difference of the two pivots' distances
+        fits = (gap - far - self.far <= bound) & ((gap - 2 * far) / 2 <= bound)
+        return self.grp[fits], (gap - far - bound)[fits], (gap + far + bound)[fits]
+
+
+def needed(blocks: DataFrame, bounds: Bounds) -> DataFrame:
+    """(qb, b): the pairs of blocks that the bounds leave."""
+    shared = blocks.sparkSession.sparkContext.broadcast(bounds)
+
+    def spans(batches):
+        for pdf in batches:
+            for qb, grp, far in zip(pdf["b"], pdf["grp"], pdf["far"]):
+                g, low, high = shared.value.spans(int(grp), float(far))
+                yield pd.DataFrame({"qb": np.full(len(g), qb), "grp": g.astype("int32"), "low": low, "high": high})
+
+    wanted = blocks.where("query").select("b", "grp", "far").mapInPandas(spans, "qb long, grp int, low double, high double")
+    data = blocks.where("not query").select("grp", "b", "near", F.col("far").alias("to"))
+    return wanted.join(data, "grp").where("near <= high and to >= low").select("qb", "b")
+
+
+def _list(column: pa.ListArray, i: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """uid, vec_id (the largest number for null), whether it is null, and the vectors of row i."""
+    part = column[i].values
+    ids = part.field("vec_id")
+    return part.field("uid").to_numpy(), ids.fill_null(np.iinfo(np.int64).max).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.field("v").flatten().to_numpy().reshape(len(part), dims)
+
+
+def _join(rows: DataFrame, dims: int, k: int, pivots: int | None) -> DataFrame:
+    there, centre, width = placed(rows, dims, pivots)
+    blocks, groups = cut_in_blocks(there, width, k)
+    pairs = needed(blocks, Bounds(centre, groups.toPandas(), k))
+    data = blocks.where("not query").select("b", F.col("rows").alias("d"))
+    # small query blocks that one data block needs go together
+    asked = blocks.where("query").select(F.col("b").alias("qb"), F.col("n").alias("qn"), F.col("rows").alias("qs"))
+    # every deal of blocks to bundles is right; this one fills them about evenly
+    bundle = F.pmod(F.xxhash64("qb"), F.lit(max(1, -(-(asked.agg(F.sum("qn")).first()[0] or 0) // QUERY_BLOCK))))
+    bundled = pairs.join(asked, "qb").withColumn("bundle", F.when(F.col("qn") >= QUERY_BLOCK // 2, -F.col("qb") - 1).otherwise(bundle))
+    bundled = bundled.groupBy("b", "bundle").agg(F.flatten(F.collect_list("qs")).alias("qs"))
+
+    def solve(batches):
+        names = ["quid", "query_id", "vec_id", "score", "uid"]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                quid, qid, qnull, q = _list(batch.column(0), r, dims)
+                uid, ids, null, x = _list(batch.column(1), r, dims)
+                s, at, who = products(q, x), [], []
+                for i in range(len(q)):
+                    on = np.flatnonzero(uid != quid[i])
+                    hit = on[best(s[i][on], ids[on], k)]
+                    at.append(hit)
+                    who.append(np.full(len(hit), i))
+                if at:
+                    at, who = np.concatenate(at), np.concatenate(who)
+                    yield pa.RecordBatch.from_arrays([pa.array(quid[who]), pa.array(qid[who], mask=qnull[who]), pa.array(ids[at], mask=null[at]), pa.array(s[who, at]), pa.array(uid[at])], names)
+
+    found = bundled.join(data, "b").select("qs", "d").mapInArrow(solve, "quid long, query_id long, vec_id long, score long, uid long")
+    order = Window.partitionBy("quid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "uid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

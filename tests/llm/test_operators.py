@@ -456,12 +456,31 @@ def test_knn(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8).astype("f4")]) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2050, [float("inf")] * 8), (None, rows[0][1]), (50, rows[3][1]), (2100, [1.0, 2.0]), (2101, [0.5, 0.5]), (2150, [1.0] * 3)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = knn.knn_join(d, F.col("vec_id") % 50 == 0, pivots=6)
-    assert sorted((tuple(r) for r in got.collect()), key=str) == knn_brute(rows)
+    rows += [(2200, []), (2250, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).withColumns({"uid": F.lit("x"), "v": F.lit(1), "q": F.lit(2), "grp": F.lit(3)})
+    for pivots in (None, 60):
+        got = knn.knn_join(d, F.col("vec_id") % 50 == 0, pivots=pivots)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == knn_brute(rows), pivots
     assert knn.knn_join(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_knn_prunes_and_splits(spark, monkeypatch):
+    """Clustered vectors: block pairs are left out, a vector of many copies is dealt over blocks, and the result is whole."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 6)) * 20
+    rows = [(i, [float(x) for x in (centre[i % 12] + rng.normal(size=6) * 0.3).astype("f4")]) for i in range(600)]
+    rows += [(1000 + i, rows[5][1]) for i in range(300)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    monkeypatch.setattr(knn, "DATA_BLOCK", 40)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    assert sorted((tuple(r) for r in knn.knn_join(d, F.col("vec_id") % 50 == 0).collect()), key=str) == knn_brute(rows)
+    there, pivots, width = knn.placed(knn.usable(d.withColumn("q", F.col("vec_id") % 50 == 0), "q"), 6, 24)
+    blocks, groups = knn.cut_in_blocks(there, width, 5)
+    n = {r[0]: r[1] for r in blocks.groupBy("query").count().collect()}
+    left = knn.needed(blocks, knn.Bounds(pivots, groups.toPandas(), 5)).count()
+    assert blocks.where("not query").agg(F.max("n")).first()[0] <= 80 and 0 < left < 0.8 * n[True] * n[False], (left, n)
+
+
 def test_knn_large_values():
     q, x = np.array([[3.0e9, 1.0]]), np.array([[2.0e9, 5.0]])
     assert knn.products(q, x)[0, 0] == 3 * 10**9 * 2 * 10**9 + 5
