@@ -612,6 +612,31 @@ def test_licenses_with_marks_inside(spark):
     assert got == [(1, "GPL-3.0-or-later", 1, 0), (2, "MPL-2.0", 1, 0), (3, "GPL-3.0-or-later,MPL-2.0", 2, 0), (4, None, 0, 0), (5, None, 0, 0)]
 
 
+def licence_texts():
+    """Documents that hold every rule, some broken, and other prose."""
+    first = {}
+    for i, x in licenses.SENTENCES:
+        first.setdefault(i, x)
+    rng, out = random.Random(8), []
+    for _, seq in licenses.RULES:
+        parts = [first[i] for i in seq]
+        out += [". ".join(parts) + ".", "\n".join(f"{i + 1}. {p.upper()}" for i, p in enumerate(parts)), "Intro text.\n\n" + ";\n\n".join(p.replace(" ", "\n * ", 2) for p in parts) + "\n\nThe end", ". other words. ".join(parts), ". ".join(parts[1:] + parts[:1])]
+    out += [". ".join(rng.choice(licenses.SENTENCES)[1] for _ in range(8)) for _ in range(60)]
+    return out + ["", None, "the license of nothing", "x " * 50_000 + "\nMIT License\n" + "y " * 50_000, out[0]]
+
+
+def test_licenses_same_as_sql(spark):
+    import duckdb
+
+    rows = list(enumerate(licence_texts()))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"licenses": F.lit("clash"), "n_sentences": F.lit("clash")})
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text").toPandas())
+    same_as_sql(licenses.scan(d), con, licenses.SQL)
+    found = {n for r in licenses.scan(d).collect() if r["licenses"] for n in r["licenses"].split(",")}
+    assert found == {n for n, _ in licenses.RULES}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, duck, sf, name):
     same_as_sql(queries.QUERIES[name](spark, sf), duck, queries.ORACLES[name])
