@@ -9,8 +9,8 @@ Tables are partitioned by hash.  Documents are turned into blocks of at most ``B
 the counts of its distinct words and pairs and gets them back in its own order:
 
 1. words: a block sends (hash, training count) of its words, split by hash; each part sums them over all blocks and answers with totals;
-2. pairs: the same, six bytes a pair; the answer also says which block owns a pair (the first that has it);
-3. contexts: owners add up the discounted counts and word probabilities of their pairs for each context; parts sum these and answer with alpha.
+2. pairs: the same, about five bytes a pair (the high 56 bits of its hash); the answer also says which block owns a pair (the first that has it);
+3. contexts: owners add up the word probabilities and count the pairs of each small count for each context; parts sum these and answer with alpha.
 
 Blocks combine before they send, so a frequent word or pair costs one entry a block, whatever share of the corpus it has.
 
@@ -35,7 +35,6 @@ BLOCK_TOKENS = 500_000
 PART_KEYS = 1_000_000
 CUTOFF = 5
 END, START = 0x1F3D5B79A2C4E681, 0x2E8A6C40F1B3D597
-PAIR_BYTES = 6
 
 
 def held_out(doc_id) -> bool:
@@ -75,8 +74,17 @@ class Words:
         return np.where(c > 0, discounted(c, self.d) / self.total, self.unknown)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 byte by byte of rank, so that high bytes, mostly zero, compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def block_rows(batches, limit: int):
-    """Rows of whole documents as token blocks: block, ids, held flags, token counts, dictionary (sorted hashes), local ids."""
+    """Rows of whole documents as token blocks: block, ids, held flags, token counts, dictionary (hashes, frequent first), local ids."""
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
@@ -84,9 +92,13 @@ def block_rows(batches, limit: int):
 
     def flush():
         nonlocal ids, held, sizes, toks, n, seq
-        words, local = np.unique(np.concatenate(toks), return_inverse=True)
+        words, local, often = np.unique(np.concatenate(toks), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, local = words[order], rank[local]
         row = pa.RecordBatch.from_arrays(
-            [pa.array([(part << 24) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()), pa.array([np.concatenate(sizes).astype("<u4").tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([local.astype("<u4").tobytes()], pa.binary())],
+            [pa.array([(part << 24) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()), pa.array([np.concatenate(sizes).astype("<u4").tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([planes(local)], pa.binary())],
             ["block", "ids", "held", "sizes", "words", "tokens"])
         seq += 1
         ids, held, sizes, toks, n = [], [], [], [], 0
@@ -121,7 +133,7 @@ class Tokens:
     def __init__(self, held: bytes, sizes: bytes, words: bytes, tokens: bytes):
         self.words = np.frombuffer(words, U)
         self.size = np.frombuffer(sizes, "<u4").astype(np.int64)
-        self.at = np.frombuffer(tokens, "<u4")
+        self.at = unplanes(tokens)
         self.first = np.cumsum(self.size) - self.size
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.train = np.repeat(~self.held, self.size)
@@ -143,15 +155,15 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-def six(keys: np.ndarray) -> bytes:
-    """The low six bytes of each key; the part says the high ones."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]).tobytes()
+def five(keys: np.ndarray) -> bytes:
+    """The high seven bytes of sorted keys: steps of the first three as small numbers, the next four as they are."""
+    return small(np.diff((keys >> U(40)).astype(np.int64), prepend=0)) + ((keys >> U(8)) & U(0xFFFFFFFF)).astype("<u4").tobytes()
 
 
-def unsix(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // PAIR_BYTES, 8), np.uint8)
-    out[:, :PAIR_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, PAIR_BYTES)
-    return out.view("<u8").ravel().astype(U)
+def unfive(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw[:8], "<i8")[0])
+    cut = len(raw) - 4 * n
+    return (np.cumsum(unsmall(raw[:cut])).astype(U) << U(40)) | (np.frombuffer(raw[cut:], "<u4").astype(U) << U(8))
 
 
 def small(c: np.ndarray) -> bytes:
@@ -183,10 +195,9 @@ def batch_of(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch
 
 
 def split(block: int, keys: np.ndarray, counts: np.ndarray, parts: int, code) -> list[tuple]:
-    """Requests of one block, in order of part; within a part in the block's order."""
-    p = part_of(keys, parts)
-    order = np.argsort(p, kind="stable")
-    edge = np.searchsorted(p[order], np.arange(parts + 1))
+    """Requests of one block, in order of key, which is also the order of parts."""
+    order = np.argsort(keys, kind="stable")
+    edge = np.searchsorted(part_of(keys[order], parts), np.arange(parts + 1))
     return [(i, block, code(keys[order[a:b]]), small(counts[order[a:b]])) for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
 
 
@@ -239,9 +250,9 @@ def gathered(answers: DataFrame, alias: str, *cols: str) -> DataFrame:
     return answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", *cols))).alias(alias))
 
 
-def in_order(keys: np.ndarray, parts: int, answers, decode) -> np.ndarray:
+def in_order(keys: np.ndarray, answers, decode) -> np.ndarray:
     """Answers of all parts put back in the block's order."""
-    order = np.argsort(part_of(keys, parts), kind="stable")
+    order = np.argsort(keys, kind="stable")
     got = np.concatenate([decode(a) for a in answers])
     out = np.empty(len(keys), got.dtype)
     out[order] = got
@@ -279,47 +290,49 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
             for row in rows_of(batch):
                 t = Tokens(row["held"], row["sizes"], row["words"], row["tokens"])
                 pairs, at = t.pairs()
-                yield batch_of(split(row["block"], t.keys(pairs), np.bincount(at[t.train], minlength=len(pairs)), pair_parts, six), ask, kinds)
+                yield batch_of(split(row["block"], t.keys(pairs), np.bincount(at[t.train], minlength=len(pairs)), pair_parts, five), ask, kinds)
 
-    pair = counted(blk.drop("ids").mapInArrow(ask_pairs, ASK), unsix, "lm-pairs")
+    pair = counted(blk.drop("ids").mapInArrow(ask_pairs, ASK), unfive, "lm-pairs")
     d2 = discounts(statistics(pair)[2])
     both = blk.join(gathered(word, "w", "counts"), "block").join(gathered(pair, "p", "counts", "owner"), "block")
 
     def read(row):
         t = Tokens(row["held"], row["sizes"], row["words"], row["tokens"])
-        c1 = in_order(t.words, parts, row["w"], lambda a: unsmall(a["counts"]))
+        c1 = in_order(t.words, row["w"], lambda a: unsmall(a["counts"]))
         pairs, at = t.pairs()
         keys = t.keys(pairs)
-        c2 = in_order(keys, pair_parts, row["p"], lambda a: unsmall(a["counts"]))
+        c2 = in_order(keys, row["p"], lambda a: unsmall(a["counts"]))
         return t, c1, pairs, at, keys, c2
 
     def ask_contexts(batches):
         for batch in batches:
             for row in rows_of(batch):
                 t, c1, pairs, _, keys, c2 = read(row)
-                own = in_order(keys, pair_parts, row["p"], bits) & (c2 > 0)
+                own = in_order(keys, row["p"], bits) & (c2 > 0)
                 h, w = (pairs[own] >> U(32)).astype(np.int64), (pairs[own] & U(0xFFFFFFFF)).astype(np.int64)
-                m, p = (np.bincount(h, x, len(c1) + 1) for x in (discounted(c2[own], d2), p_word(c1[w])))
-                n = np.bincount(h, c2[own], len(c1) + 1)
+                c = c2[own]
+                p = np.bincount(h, p_word(c1[w]), len(c1) + 1)
+                sizes = [np.bincount(h, c, len(c1) + 1).astype(np.int64)] + [np.bincount(h[c == r], minlength=len(c1) + 1) for r in range(1, CUTOFF + 1)]
                 ctx = np.append(t.words, U(START))
-                q = part_of(ctx, parts)
-                order = np.argsort(q, kind="stable")
-                edge = np.searchsorted(q[order], np.arange(parts + 1))
+                order = np.argsort(ctx, kind="stable")
+                edge = np.searchsorted(part_of(ctx[order], parts), np.arange(parts + 1))
                 out = []
                 for i, (a, b) in enumerate(zip(edge, edge[1:])):
                     if b > a:
                         k = order[a:b]
-                        has = n[k] > 0
-                        out.append((i, row["block"], ctx[k].astype("<u8").tobytes(), np.packbits(has).tobytes(), np.stack([m[k][has], p[k][has], n[k][has]]).tobytes()))
-                yield batch_of(out, ["part", "block", "keys", "has", "sums"], kinds + [pa.binary()])
+                        has = sizes[0][k] > 0
+                        out.append((i, row["block"], ctx[k].astype("<u8").tobytes(), np.packbits(has).tobytes(), p[k][has].tobytes(), [small(x[k][has]) for x in sizes]))
+                yield batch_of(out, ["part", "block", "keys", "has", "sums", "sizes"], kinds + [pa.binary(), pa.list_(pa.binary())])
 
     def alphas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         keys = [np.frombuffer(k, "<u8") for k in pdf["keys"]]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums, has = [np.frombuffer(s).reshape(3, -1) for s in pdf["sums"]], [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(pdf["has"], keys)]
+        has = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)].astype(bool) for x, k in zip(pdf["has"], keys)]
         on = at[np.concatenate(has)]
-        m, p, n = (np.bincount(on, np.concatenate([s[i] for s in sums]), at.max() + 1) for i in range(3))
+        add = lambda xs: np.bincount(on, np.concatenate(xs), at.max() + 1)
+        p, (n, *few) = add([np.frombuffer(x) for x in pdf["sums"]]), (add([unsmall(x[i]) for x in pdf["sizes"]]) for i in range(CUTOFF + 1))
+        m = n - sum((1 - d2[r]) * r * x for r, x in enumerate(few, 1))
         short = (n > 0) & (n - m < 1e-9 * n)
         den = n + short
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -331,7 +344,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
             i += len(k)
         return pd.DataFrame(out, columns=["block", "part", "alpha"])
 
-    sums = both.drop("ids").mapInArrow(ask_contexts, "part int, block long, keys binary, has binary, sums binary")
+    sums = both.drop("ids").mapInArrow(ask_contexts, "part int, block long, keys binary, has binary, sums binary, sizes array<binary>")
     back = work_table(sums.groupBy("part").applyInPandas(alphas, "block long, part int, alpha binary"), "lm-contexts")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -339,7 +352,7 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, part_keys: in
         for batch in batches:
             for row in rows_of(batch):
                 t, c1, pairs, at, _, c2 = read(row)
-                alpha = in_order(np.append(t.words, U(START)), parts, row["a"], lambda a: np.frombuffer(a["alpha"], "<f8"))
+                alpha = in_order(np.append(t.words, U(START)), row["a"], lambda a: np.frombuffer(a["alpha"], "<f8"))
                 h, w = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
                 starts = row["starts"]
                 den = np.append(c1, starts)[h].astype(float) + (alpha[h] < 0)
