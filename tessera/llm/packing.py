@@ -23,7 +23,6 @@ import string
 import sys
 import types
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.common import small_batches, work_table
+from tessera.llm.textkernel import Hasher, U, lowered
 
 SEQUENCE, END_ID = 2048, 1
 CHUNK, PACKET, LOOK = 1 << 19, 512, 64
 MAX_TARGETS = 1000
 MAX_BROADCAST = 500_000
 CACHE_WORDS = 500_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
@@ -49,15 +49,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def latin(text: str) -> bool:
-    """Only Latin-1 characters: lower case and composed form are then character by character."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+#: Byte classes of a text: a separator, a letter, a mark, a digit, anything else.
+SEPARATOR, LETTER, MARK, DIGIT, OTHER = range(5)
+SPACES = b" \n\t\r"
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of the ranges from ``start``, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
 
 
 class WordMerger:
@@ -106,14 +105,12 @@ class WordMerger:
             open_ = open_[~hit & (there != np.iinfo(np.uint32).max)]
         return got
 
-    def __call__(self, words: list[bytes]) -> list[bytes]:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
+    def __call__(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and their number in each, for words of ``size`` bytes in ``data``."""
         ids = self.inner[data]
         ends = np.cumsum(size)
         ids[ends - 1] = self.last[data[ends - 1]]
-        done: list = [None] * len(words)
-        name = np.arange(len(words))
+        name, done = np.arange(len(size)), []
         while len(name):
             start = np.cumsum(size) - size
             key = np.full(len(ids), np.iinfo(np.uint32).max, np.uint32)
@@ -123,10 +120,8 @@ class WordMerger:
             best = np.minimum.reduceat(rank, start)
             going = best < self.none
             if not going.all():
-                raw = ids.astype("<u4").tobytes()
-                for i, a, n in zip(name[~going].tolist(), start[~going].tolist(), size[~going].tolist()):
-                    done[i] = raw[4 * a : 4 * (a + n)]
                 keep = np.repeat(going, size)
+                done.append((name[~going], size[~going], ids[~keep]))
                 ids, rank, name, size, best = ids[keep], rank[keep], name[going], size[going], best[going]
                 if not len(name):
                     break
@@ -139,80 +134,124 @@ class WordMerger:
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             ids, size = ids[keep], size - 1
-        return done
+        name, size, ids = (np.concatenate([d[i] for d in done]) for i in range(3))
+        start, order = np.cumsum(size) - size, np.argsort(name)
+        return ids[ragged(start[order], size[order])], size[order]
 
 
 class Encoder:
     """Ids of whole texts.
 
-    The tokenizer treats text between spaces on its own, ignores case, and parts a word from the marks after it, so words are looked up in a
-    bounded cache and only words of a new kind are encoded.  A text with an added token's string is encoded whole.  Case is dropped beforehand only in Latin-1 texts, where that is the tokenizer's own rule.
+    The tokenizer ignores case, treats text between spaces on its own, and parts letters, marks and single digits.  Words of ASCII and Latin-1 letters, ASCII digits and marks without an apostrophe are
+    parted here by the same rule; any other word goes to the tokenizer as it is, and so does a whole text with an added token's string.
+    Pieces are looked up by 64-bit hash in a bounded table, and only new ones are encoded.
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.merge, self.known, self.cache = Tokenizer.from_file(path), WordMerger(path), {}, cache
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, self.merge, self.cache = Tokenizer.from_file(path), WordMerger(path), cache
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.full(256, OTHER, np.uint8)
+        for kind, chars in ((SEPARATOR, SPACES), (LETTER, string.ascii_letters.encode()), (MARK, MARKS.encode()), (DIGIT, string.digits.encode())):
+            self.kind[list(chars)] = kind
+        self._learnt(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     @classmethod
     def of_worker(cls, path: str) -> "Encoder":
-        """One encoder a worker process, so that tasks share its cache."""
+        """One encoder a worker process, so that tasks share its table."""
         state = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
         if path not in state:
             state[path] = cls(path)
         return state[path]
 
-    def _learn(self, plain: list[str], other: list[str]) -> None:
-        """``plain`` words come from lower-cased Latin-1 texts, ``other`` words from anywhere."""
-        known, split, extra = self.known, [], set()
-        one = [w for w in plain if w.isalpha()]
-        rest = []
-        for w in other + (list(set(plain).difference(one)) if len(one) < len(plain) else []):
-            if not w.isalpha():
-                core = w.rstrip(MARKS)
-                if core and core != w and core[-1].isalnum() and "'" not in w:
-                    tail = w[len(core) :]
-                    split.append((w, core, tail))
-                    extra.add(core)
-                    extra.add(tail)
-                    continue
-            rest.append(w)
-        rest += [w for w in extra.difference(rest).difference(one) if w not in known]
-        slow = []
-        for w in rest:
-            easy = w.isalpha() and w.islower() and latin(w) or w and not w.strip(MARKS)
-            (one if easy else slow).append(w)
-        if one:
-            known.update(zip(one, self.merge([w.encode() for w in one])))
-        for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-        for w, core, tail in split:
-            known[w] = known[core] + known[tail]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text with the end token.  New words of all texts are learnt together."""
-        split, whole, plain, other = [], {}, [], []
-        for i, t in enumerate(texts):
-            low = t.lower()
-            if any(a in low for a in self.added):
-                whole[i] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-                split.append([])
-                continue
-            easy = latin(t)
-            words = (low if easy else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            (plain if easy else other).append(words)
-            split.append(words)
-        plain, other = set().union(*plain), set().union(*other)
-        new, more = plain.difference(self.known), other.difference(self.known, plain)
-        if len(self.known) + len(new) + len(more) > self.cache:
-            # the words of these texts stay
-            self.known = {w: self.known[w] for w in plain.union(other).difference(new, more)}
-        known = self.known
-        if new or more:
-            self._learn(list(new), list(more))
-        end = END_ID.to_bytes(4, "little")
-        return [whole.get(i, b"") + b"".join(map(known.__getitem__, words)) + end for i, words in enumerate(split)]
+    def _learnt(self, keys, at, size, pool) -> None:
+        self.keys, self.at, self.size, self.pool = keys, at, size, pool
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of known pieces, -1 for others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _parted(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes; starts, ends of pieces; which of them the tokenizer must see."""
+        low, kind = lowered(data), self.kind[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        fine = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+        lead, after = lead[fine], after[fine]
+        kind[lead] = kind[lead + 1] = LETTER
+        low[lead + 1] = np.where(after <= 0x9E, after + 0x20, after)
+        inside = np.zeros(len(kind) + 2, np.int8)
+        inside[1:-1] = kind != SEPARATOR
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        odd = np.flatnonzero(kind == OTHER)
+        bad = np.unique(np.searchsorted(start, odd, "right") - 1)
+        kind[ragged(start[bad], end[bad] - start[bad])] = OTHER
+        before, behind = np.zeros_like(kind), np.zeros_like(kind)
+        before[1:], behind[:-1] = kind[:-1], kind[1:]
+        some, digit = kind != SEPARATOR, kind == DIGIT
+        start, end = np.flatnonzero(some & ((before != kind) | digit)), np.flatnonzero(some & ((behind != kind) | digit)) + 1
+        return low, start, end, kind[start] == OTHER
+
+    def _learn(self, low, keys, start, end, odd) -> None:
+        """Encode new pieces and add them to the table."""
+        easy = ~odd
+        size = (end - start)[easy]
+        ids, n = self.merge(low[ragged(start[easy], size)], size) if easy.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        words = [low[a:b].tobytes().decode() for a, b in zip(start[odd], end[odd])]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        pool = np.concatenate([self.pool, ids, np.fromiter((i for e in rest for i in e), np.uint32)]).astype(np.uint32)
+        n = np.concatenate([n, np.array([len(e) for e in rest], np.int64)])
+        k = np.concatenate([self.keys, keys[easy], keys[odd]])
+        at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
+        order = np.argsort(k)
+        self._learnt(k[order], at[order], np.concatenate([self.size, n])[order], pool)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end token, and their number in each."""
+        n = len(texts)
+        texts = texts.cast(pa.large_string())
+        whole = pc.match_substring(texts, self.added[0], ignore_case=True) if self.added else pa.array([False] * n)
+        for a in self.added[1:]:
+            whole = pc.or_(whole, pc.match_substring(texts, a, ignore_case=True))
+        none, gap = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        plain = pc.binary_join_element_wise(pc.if_else(whole, none, texts), gap, none)
+        off = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + n + 1]
+        data = np.frombuffer(plain.buffers()[2], np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        low, start, end, odd = self._parted(data)
+        keys = Hasher(low)(start, end)
+        uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at = self._find(uniq)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.keys) + len(new) > self.cache:
+                # the pieces of these texts stay
+                old = at[at >= 0]
+                size = self.size[old]
+                self._learnt(self.keys[old], np.cumsum(size) - size, size, self.pool[ragged(self.at[old], size)])
+            self._learn(low, uniq[new], start[first[new]], end[first[new]], odd[first[new]])
+            at = self._find(uniq)
+        at = at[inverse]
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, off)]
+        count = np.diff(upto) + 1
+        ids = self.pool[ragged(self.at[at], size)] if len(at) else np.zeros(0, np.uint32)
+        out = np.full(len(ids) + n, END_ID, np.uint32)
+        mine = np.ones(len(out), bool)
+        mine[np.cumsum(count) - 1] = False
+        out[mine] = ids
+        hits = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        if not hits:
+            return out, count
+        parts = np.split(out, np.cumsum(count)[:-1])
+        for i in hits:
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids + [END_ID], np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 def slices(size: np.ndarray, limit: int):
@@ -235,14 +274,15 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             source, text = batch.column(1).to_pylist(), batch.column(2)
             size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in slices(size, BATCH_BYTES):
-                b, place, n, ids = batch.slice(lo, hi - lo), [], [], []
-                for s, raw in zip(source[lo:hi], encode(text.slice(lo, hi - lo).to_pylist())):
-                    got = np.frombuffer(raw, "<u4")
+                b, place = batch.slice(lo, hi - lo), []
+                got, n = encode(text.slice(lo, hi - lo))
+                for s, m in zip(source[lo:hi], n.tolist()):
                     place.append(before.get(s, 0))
-                    before[s] = place[-1] + len(got)
-                    n.append(len(got))
-                    ids.append((got.astype("<u2") if got.max() < 65536 else got).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "place", "doc_id", "source", "n", "ids"])
+                    before[s] = place[-1] + m
+                got = got.astype("<u2") if got.max() < 65536 else got.astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(n * got.itemsize)]).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(got.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(place, pa.int64()), b.column(0), b.column(1), pa.array(n, pa.int64()), ids], ["part", "place", "doc_id", "source", "n", "ids"])
 
     return docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, "part int, place long, doc_id long, source string, n long, ids binary")
 

@@ -568,10 +568,29 @@ def test_packing_targets_are_checked(docs):
 
 
 def test_encoder_equals_tokenizer():
+    import pyarrow as pa
+
     e = packing.Encoder(packing.default_tokenizer(), cache=500)
     hard = ["İstanbul ΣΑΣ don't I'LL x's   a b café CAFÉ a)b). \"q\" it's!! 's", "", " ", "A\tB\x0bc\u00a0d\u2028e", "12 3a4 ²½", "'re''ve", "<|endoftext|> x", "e\u0301 \u0301 가\u1100\u1161", "日本語 ok?!"] + [t or "" for _, t, _ in DOCS]
-    want = [np.array(x.ids + [1], "<u4").tobytes() for x in e.tokenizer.encode_batch(hard, add_special_tokens=False)]
-    assert e(hard) == want and e(hard) == want
+    hard += ["x <|EndOfText|>y", "a--b_c (d) e/f1g2h3, 4.5% ×÷ ÀÞß ÿ Ÿ ªº µ", "ĲÅÃ\u00c3\u0301 \u00c3A", "é", "\u00c3", "a" * 3000 + " " + "ü" * 3000, "no.1's 2nd-3rd"]
+    want = [x.ids + [1] for x in e.tokenizer.encode_batch(hard, add_special_tokens=False)]
+    for texts in (hard, hard, hard[5:9], hard[::-1][:40][::-1]):
+        ids, n = e(pa.array(texts))
+        at = hard.index(texts[0]) if len(texts) == 4 else len(hard) - len(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[at : at + len(texts)]
+
+
+def test_encoder_on_every_character():
+    """Each character of the first plane, alone, after a letter and before one."""
+    import pyarrow as pa
+
+    e = packing.Encoder(packing.default_tokenizer())
+    chars = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c} a{c} {c}b A{c}1" for c in chars]
+    ids, n = e(pa.array(texts))
+    want = [x.ids + [1] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    bad = [hex(ord(c)) for c, x, y in zip(chars, np.split(ids, np.cumsum(n)[:-1]), want) if x.tolist() != y]
+    assert not bad
 
 
 MIT = "MIT License\n\nCopyright (c) someone\n\n" + next(s for i, s in licenses.SENTENCES if i == "mit-grant") + ":\n\n" + next(s for i, s in licenses.SENTENCES if i == "mit-keep") + "."
