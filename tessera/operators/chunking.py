@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import re
-from typing import Iterator
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 CHUNK = "start_line int, end_line int, kind string, name string, content string"
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 BOUNDARY = re.compile(r"^\s*(def |class |async def |function |export |public |private |func |fn |impl |struct )")
-MAX_TOKENS, OVERLAP = 512, 50
+MAX_TOKENS, LINES_AGAIN, SENTENCES_AGAIN = 512, 5, 2
 IMPORT = re.compile(r"^\s*(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import\s+(.+)|.*require\(['\"]([^'\"]+)['\"]\))", re.M)
 
 
@@ -29,39 +31,40 @@ def line_chunks(docs: DataFrame, key: str, size: int = 50) -> DataFrame:
     return g.select(key, "chunk", (F.col("chunk") * size + 1).alias("start_line"), F.size("l").cast("long").alias("n_lines"), F.md5(text).alias("hash"), F.length(text).cast("long").alias("n_chars"), (F.trim(text) == "").alias("blank")).where("not blank").drop("blank")
 
 
+def ranges(costs: list[int], limit: int, overlap: Callable[[int], int], ends: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Greedy index ranges whose costs add up to at most ``limit``; each has at least one item that the range before has not.
+
+    A range ends early at the first place of ``ends`` where it costs over half the limit.  The next one starts ``overlap(length)`` items before its end.
+    """
+    total = [0, *accumulate(costs)]
+    start = stop = 0
+    while stop < len(costs):
+        least = stop + 1
+        full = max(least, bisect_right(total, total[start] + limit) - 1)
+        early = (e for e in (ends or ())[bisect_left(ends or (), least) :] if total[e] - total[start] > limit // 2)
+        stop = min(full, next(early, full))
+        yield start, stop
+        start = stop - overlap(stop - start)
+
+
 def code_chunks(text: str, limit: int = MAX_TOKENS) -> Iterator[tuple]:
-    """Flush above ``limit`` tokens, or at a definition once half full; a few lines overlap."""
-    lines, held, start, size = text.split("\n"), [], 1, 0
-    for i, line in enumerate(lines, 1):
-        cost = estimate(line + "\n") or 1
-        if held and (size + cost > limit or (BOUNDARY.match(line) and size > limit // 2)):
-            yield start, i - 1, "code", "", "\n".join(held)
-            keep = min(OVERLAP // 10, len(held) // 4, 5)
-            held = held[-keep:] if keep else []
-            start, size = i - len(held), sum(estimate(x + "\n") or 1 for x in held)
-        held.append(line)
-        size += cost
-    if held:
-        yield start, len(lines), "code", "", "\n".join(held)
+    """Lines up to ``limit`` tokens, ending at a definition once half full; up to ``LINES_AGAIN`` lines overlap, a quarter at most."""
+    lines = text.split("\n")
+    costs = [max(1, estimate(x + "\n")) for x in lines]
+    starts = [i for i, x in enumerate(lines) if BOUNDARY.match(x)]
+    for a, b in ranges(costs, limit, lambda n: min(LINES_AGAIN, n // 4), starts):
+        yield a + 1, b, "code", "", "\n".join(lines[a:b])
 
 
 def sentence_chunks(text: str, limit: int = MAX_TOKENS) -> Iterator[tuple]:
-    """Sentences up to ``limit`` tokens, two of them or half overlapping; lines are estimated."""
-    held, size, line = [], 0, 1
-    for s in SENTENCE.split(text):
-        cost = estimate(s)
-        if held and size + cost > limit:
-            chunk = " ".join(held)
-            yield line, line + chunk.count("\n"), "text", "", chunk
-            line += chunk.count("\n")
-            keep = min(OVERLAP // 20, len(held) // 2)
-            held = held[-keep:] if keep else []
-            size = sum(map(estimate, held))
-        held.append(s)
-        size += cost
-    if held:
-        chunk = " ".join(held)
-        yield line, line + chunk.count("\n"), "text", "", chunk
+    """Sentences up to ``limit`` tokens; up to ``SENTENCES_AGAIN`` of them overlap, half at most; line numbers are estimated from the chunks' own breaks."""
+    sentences = SENTENCE.split(text)
+    line = 1
+    for a, b in ranges([estimate(x) for x in sentences], limit, lambda n: min(SENTENCES_AGAIN, n // 2)):
+        chunk = " ".join(sentences[a:b])
+        last = line + chunk.count("\n")
+        yield line, last, "text", "", chunk
+        line = last
 
 
 def python_chunks(text: str) -> Iterator[tuple]:

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold ``Q``, a dict name -> (function, SQL or None).
-MODULES: tuple[str, ...] = ("corpus", "events", "graph", "retrieval", "streams")
+MODULES: tuple[str, ...] = ("code", "corpus", "events", "graph", "jobs", "retrieval", "streams")
 
 
 def _all() -> dict:
