@@ -6,7 +6,7 @@ import ast
 import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
-from typing import Callable, Iterator
+from typing import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ def line_chunks(docs: DataFrame, key: str, size: int = 50) -> DataFrame:
     return g.select(key, "chunk", (F.col("chunk") * size + 1).alias("start_line"), F.size("l").cast("long").alias("n_lines"), F.md5(text).alias("hash"), F.length(text).cast("long").alias("n_chars"), (F.trim(text) == "").alias("blank")).where("not blank").drop("blank")
 
 
-def ranges(costs: list[int], limit: int, overlap: Callable[[int], int], ends: list[int] | None = None) -> Iterator[tuple[int, int]]:
+def ranges(costs: list[int], limit: int, overlap: Callable[[int], int], ends: Sequence[int] = ()) -> Iterator[tuple[int, int]]:
     """Greedy index ranges whose costs add up to at most ``limit``; each has at least one item that the range before has not.
 
     A range ends early at the first place of ``ends`` where it costs over half the limit.  The next one starts ``overlap(length)`` items before its end.
@@ -41,8 +41,9 @@ def ranges(costs: list[int], limit: int, overlap: Callable[[int], int], ends: li
     while stop < len(costs):
         least = stop + 1
         full = max(least, bisect_right(total, total[start] + limit) - 1)
-        early = (e for e in (ends or ())[bisect_left(ends or (), least) :] if total[e] - total[start] > limit // 2)
-        stop = min(full, next(early, full))
+        half = bisect_right(total, total[start] + limit // 2)
+        at = bisect_left(ends, max(least, half))
+        stop = min(full, ends[at]) if at < len(ends) else full
         yield start, stop
         start = stop - overlap(stop - start)
 

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def floor_index_percentile(values: Column, p: float) -> Column:
-    """``sorted[int(n * p)]``: an element, never interpolated."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.count(values) * p) + 1).cast("int"))
+def elements(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, n and, for each name, the element of the sorted values at a place (from 1) that may depend on n; null values do not count.
+
+    Equal values are counted before they meet, and a running sum over them finds the elements, so no group is held in memory.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    c = c.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    c = c.join(c.groupBy(*keys).agg(F.sum("_c").alias("n")), keys)
+    at = lambda i: F.max(F.when((F.col("_to") >= i) & (F.col("_to") - F.col("_c") < i), F.col(value)))
+    return c.groupBy(*keys, "n").agg(*[at(place(F.col("n"))).alias(name) for name, place in places.items()])
+
+
+def floor_index_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``sorted[int(n * p)]`` for each named share: an element, never interpolated."""
+    return elements(df, keys, value, {name: (lambda n, p=p: F.floor(n * p) + 1) for name, p in shares.items()})
 
 
-def exclusive_percentile(values: Column, p: float) -> Column:
+def exclusive_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
     """Position p * (n + 1) with linear interpolation; null for fewer than two values."""
-    n = F.count(values)
-    s = F.array_sort(F.collect_list(values))
-    pos = F.lit(p) * (n + 1)
-    j = F.greatest(F.lit(1), F.least(F.floor(pos), n - 1)).cast("int")
-    return F.when(n >= 2, F.element_at(s, j) + (pos - j) * (F.element_at(s, j + 1) - F.element_at(s, j)))
+    place = lambda n: F.greatest(F.lit(1), F.least(F.floor(F.lit(p) * (n + 1)), n - 1))
+    e = elements(df, keys, value, {"_a": place, "_b": lambda n: place(n) + 1})
+    n = F.col("n")
+    return e.select(*keys, F.when(n >= 2, F.col("_a") + (F.lit(p) * (n + 1) - place(n)) * (F.col("_b") - F.col("_a"))).alias(name))
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:

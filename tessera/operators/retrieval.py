@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
+from tessera.sources.shared import stored
 
 #: Status and component factors of the metadata boost.
 STATUS = {"archived": 0.2, "deprecated": 0.3, "experimental": 0.8}
@@ -44,18 +45,24 @@ def bm25_tf(tf: Column, length: Column, average=100.0) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def term_table(docs: DataFrame, terms: list[str], key: str, text: str = "text") -> DataFrame:
+    """(key, len, tf): length and the count of each term in one pass over the text, stored; texts without any term keep their length only."""
+    t = F.lower(text)
+    count = lambda x: F.when(t.contains(x), F.regexp_count(t, F.lit(f"(?<![a-z0-9_]){x}(?![a-z0-9_])"))).otherwise(0)
+    size = F.coalesce(F.regexp_count(t, F.lit("[a-z0-9_]+")), F.lit(0))
+    return stored(docs.select(key, size.alias("len"), F.array(*[F.coalesce(count(x), F.lit(0)) for x in terms]).alias("tf")), "terms")
+
+
 def bm25(docs: DataFrame, terms: list[str], key: str, text: str = "text") -> DataFrame:
     """(key, score) of documents that hold a query term, with inverse document frequencies and the true mean length.
 
-    Only query terms are exploded; lengths come from the token array.
+    Statistics and scores both read the narrow term table, so the texts are read once; ``terms`` are single tokens.
     """
-    d = docs.select(key, tokens(text).alias("t")).withColumn("len", F.size("t"))
-    stats = F.broadcast(d.agg(F.count("*").alias("n"), F.avg("len").alias("avg")))
-    hits = d.select(key, "len", F.explode(F.filter("t", lambda x: x.isin(*terms))).alias("token")).groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
-    df = F.broadcast(hits.groupBy("token").agg(F.count("*").alias("df")))
-    s = hits.join(df, "token").crossJoin(stats)
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return s.groupBy(key).agg(F.round(F.sum(idf * bm25_tf(F.col("tf"), F.col("len"), F.col("avg"))), 6).alias("score"))
+    d = term_table(docs, terms, key, text)
+    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"))
+    s = d.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    parts = F.zip_with("tf", "df", lambda tf, df: F.when(tf > 0, F.ln(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * bm25_tf(tf, F.col("len"), F.col("avg"))).otherwise(0.0))
+    return s.select(key, F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
 
 def ranked(hits: DataFrame, source: str, key: str) -> DataFrame:
@@ -131,10 +138,29 @@ def mmr(hits: DataFrame, per: str, k: int, lam: float = 0.85) -> DataFrame:
 
 
 def first_stage(*stages: DataFrame) -> DataFrame:
-    """Rows of the first stage that has any: a cascade without driver-side tests."""
+    """Rows of the first stage that has any: a cascade without driver-side tests.  Every stage is evaluated once; stages are cut to their best hits beforehand, so little is stored."""
     out = None
     for i, s in enumerate(stages):
         s = s.withColumn("stage", F.lit(i))
         out = s if out is None else out.unionByName(s)
+    out = stored(out, "stages")
     low = F.broadcast(out.agg(F.min("stage").alias("low")))
     return out.join(low, F.col("stage") == F.col("low")).drop("low")
+
+
+def scored(hits: DataFrame, score: Column, k: int, per: list[str], key: str, cache: DataFrame | None = None, fallback: Column | None = None) -> DataFrame:
+    """The best k of each list by a pluggable scorer, as (per, key, score, model_score, source).
+
+    Candidates are the first max(3k, min(n, 50)) of a list.  ``cache(per, key, cached)`` holds scores by tenant and query; a candidate that is in it is not scored again.  Where the scorer gives null
+    (it had no time, or failed), ``fallback`` stands in.  Ties go to the first-stage score, then the key.
+    """
+    w = Window.partitionBy(*per)
+    order = w.orderBy(F.desc("score"), key)
+    c = hits.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(w)}).where(F.col("_r") <= F.greatest(F.lit(3 * k), F.least("_n", F.lit(50))))
+    c = c.withColumn("cached", F.lit(None).cast("double")) if cache is None else c.join(cache, [*per, key], "left")
+    model = F.when(F.col("cached").isNull(), score)
+    source = F.when(F.col("cached").isNotNull(), "cache").when(model.isNotNull(), "model").otherwise("fallback")
+    value = F.coalesce("cached", model, fallback if fallback is not None else F.col("score"))
+    c = c.withColumns({"model_score": F.round(value, 6), "source": source})
+    place = F.row_number().over(w.orderBy(F.desc("model_score"), F.desc("score"), key))
+    return c.withColumn("place", place.cast("long")).where(F.col("place") <= k).select(*per, key, "score", "model_score", "source", "place")

@@ -86,9 +86,11 @@ p AS (SELECT *, 0.95 * (total + 1) AS pos, greatest(1, least(floor(0.95 * (total
 SELECT user_id, total, ok, round(100.0 * ok / total, 6) AS success, round(mean, 6) AS mean, CASE WHEN total >= 2 THEN round(v[j] + (pos - j) * (v[j + 1] - v[j]), 6) END AS p95 FROM p""")
 def load_sessions(spark, sf):
     n = F.count("*")
-    return ev(spark, sf).groupBy("user_id").agg(
+    rest = M.exclusive_percentile(ev(spark, sf), ["user_id"], "value", 0.95, "_p")
+    s = ev(spark, sf).groupBy("user_id").agg(
         n.alias("total"), F.count_if(F.col("event_type") != "error").alias("ok"), r6(M.ratio(F.count_if(F.col("event_type") != "error") * 100, n)).alias("success"),
-        r6(F.avg("value")).alias("mean"), r6(M.exclusive_percentile(F.col("value"), 0.95)).alias("p95"))
+        r6(F.avg("value")).alias("mean"))
+    return s.join(rest, "user_id", "left").withColumn("p95", r6("_p")).drop("_p")
 
 
 @q("load_rollup", """
@@ -103,8 +105,8 @@ def load_rollup(spark, sf):
 WITH s AS (SELECT event_type, count(*) AS n, list_sort(list(value)) AS v FROM events GROUP BY 1)
 SELECT event_type, n, round(v[floor(n * 0.5)::INT + 1], 6) AS p50, round(v[floor(n * 0.95)::INT + 1], 6) AS p95, round(v[floor(n * 0.99)::INT + 1], 6) AS p99 FROM s""")
 def latency_percentiles(spark, sf):
-    v = F.col("value")
-    return ev(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), *[r6(M.floor_index_percentile(v, p)).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    shares = {f"p{int(p * 100)}": p for p in (0.5, 0.95, 0.99)}
+    return M.floor_index_percentiles(ev(spark, sf), ["event_type"], "value", shares).select("event_type", "n", *[r6(x).alias(x) for x in shares])
 
 
 @q("error_rates", """

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
 from tessera.operators import retrieval as R
+from tessera.sources.shared import stored
 from tessera.sources.tables import scoped, table
 
 Q: dict = {}
@@ -224,7 +225,7 @@ def hits(spark, sf) -> DataFrame:
     top = lambda df, src, w: df.orderBy(F.desc("score"), "doc_id").limit(40).select(F.lit(src).alias("src"), F.lit(w).alias("w"), "doc_id", "score")
     h = top(dense(spark, sf), "dense", 0.7).unionByName(top(lexical(spark, sf), "lexical", 0.3))
     d = docs(spark, sf).select("doc_id", F.concat_ws("/", "source", "lang").alias("file"))
-    return d.join(F.broadcast(h), "doc_id")
+    return stored(d.join(F.broadcast(h), "doc_id"), "hits")
 
 
 @q("rrf_files", HITS + " SELECT file, round(sum(1.0 / (60 + rank)), 9) AS rrf, count(DISTINCT src) AS num_sources, max_by(doc_id, (score, -rank, -doc_id)) AS best FROM rk GROUP BY 1 ORDER BY rrf DESC, file LIMIT 50")
@@ -308,8 +309,9 @@ def knee_trim(spark, sf):
 @q("heuristic_rerank", HITS + KNEE + """, hr AS (SELECT rk.src, rk.doc_id, score, score + 0.01 * len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), ['license', 'version', 'released'])) AS rerank FROM rk JOIN kn ON rk.src = kn.src JOIN documents d ON rk.doc_id = d.doc_id WHERE rank <= greatest(k, 5))
 SELECT src, doc_id, round(rerank, 6) AS rerank, row_number() OVER (PARTITION BY src ORDER BY rerank DESC, score DESC, doc_id) AS place FROM hr""")
 def heuristic_rerank(spark, sf):
-    r = R.ranked(hits(spark, sf), "src", "doc_id")
-    k = F.broadcast(R.knee(hits(spark, sf), ["src"], "doc_id"))
+    h = hits(spark, sf)
+    r = R.ranked(h, "src", "doc_id")
+    k = F.broadcast(R.knee(h, ["src"], "doc_id"))
     r = r.join(k, "src").where(F.col("rank") <= F.greatest("k", F.lit(5)))
     terms = F.array(*[F.lit(x) for x in TERMS if len(x) > 3])
     d = docs(spark, sf).join(F.broadcast(r.select("src", "doc_id", "score")), "doc_id")
@@ -371,7 +373,7 @@ def snippets(spark, sf):
     return docs(spark, sf).select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("snippet"), F.substring("text", 1, 1000).alias("content"))
 
 
-UNIFIED = HITS + """, us AS (SELECT 0 AS stage, doc_id, score FROM den WHERE score >= 0.9 AND doc_id <> 0 UNION ALL SELECT 1, doc_id, round(sum(1.0 / (60 + rank)), 9) FROM rk GROUP BY 2),
+UNIFIED = HITS + """, us AS (SELECT 0 AS stage, doc_id, score FROM (SELECT * FROM den WHERE score >= 0.9 AND doc_id <> 0 ORDER BY score DESC, doc_id LIMIT 1000) UNION ALL SELECT 1, doc_id, round(sum(1.0 / (60 + rank)), 9) FROM rk GROUP BY 2),
 uc AS (SELECT s.doc_id, s.score FROM us s JOIN documents d ON s.doc_id = d.doc_id WHERE stage = (SELECT min(stage) FROM us)),
 ctx AS (SELECT d.doc_id, (SELECT count(*) FROM documents e WHERE e.source = d.source AND e.lang = d.lang) AS siblings FROM documents d),
 b AS (SELECT c.doc_id, c.score, CASE WHEN siblings > 10 THEN .15 WHEN siblings > 5 THEN .08 WHEN siblings > 2 THEN .04 ELSE 0 END AS boost FROM uc c JOIN ctx ON c.doc_id = ctx.doc_id)
@@ -380,13 +382,15 @@ SELECT doc_id, round(score, 9) AS score, boost::DOUBLE AS boost, round(least(sco
 
 def unified(spark, sf) -> DataFrame:
     """Cascade: strong dense hits, else fused lists; then context counts and the graph boost."""
-    strong = dense(spark, sf).where("score >= 0.9 and doc_id <> 0")
+    strong = dense(spark, sf).where("score >= 0.9 and doc_id <> 0").orderBy(F.desc("score"), "doc_id").limit(1000)
     fused = R.ranked(hits(spark, sf), "src", "doc_id").groupBy("doc_id").agg(F.round(F.sum(1 / (R.RRF_K + F.col("rank"))), 9).alias("score"))
     c = F.broadcast(R.first_stage(strong, fused).select("doc_id", "score"))
     d = docs(spark, sf).select("doc_id", "source", "lang")
-    siblings = F.broadcast(d.groupBy("source", "lang").agg(F.count("*").alias("siblings")))
+    x = stored(d.join(c, "doc_id"), "candidates")
+    mine = F.broadcast(x.select("source", "lang").distinct())
+    siblings = d.join(mine, ["source", "lang"], "left_semi").groupBy("source", "lang").agg(F.count("*").alias("siblings"))
     boost = R.graph_boost(F.col("siblings"), F.lit(0), F.lit(0), F.lit(0))
-    x = d.join(c, "doc_id").join(siblings, ["source", "lang"]).withColumn("boost", boost)
+    x = x.join(siblings, ["source", "lang"]).withColumn("boost", boost)
     return x.select("doc_id", F.round("score", 9).alias("score"), "boost", F.round(R.boosted(F.col("score"), F.col("boost")), 9).alias("final")).orderBy(F.desc("final"), "doc_id").limit(10)
 
 

@@ -61,10 +61,12 @@ def test_quantize(spark):
 
 
 def test_percentiles(spark):
-    d = spark.range(1, 101).select(F.col("id").cast("double").alias("v"))
-    assert d.agg(M.floor_index_percentile(F.col("v"), 0.95)).first()[0] == 96
-    assert d.agg(M.exclusive_percentile(F.col("v"), 0.95)).first()[0] == pytest.approx(95.95)
-    assert d.limit(1).agg(M.exclusive_percentile(F.col("v"), 0.95)).first()[0] is None
+    d = spark.range(1, 101).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
+    assert M.floor_index_percentiles(d, ["g"], "v", {"p": 0.95}).first()["p"] == 96
+    assert M.exclusive_percentile(d, ["g"], "v", 0.95, "p").first()["p"] == pytest.approx(95.95)
+    assert M.exclusive_percentile(d.limit(1), ["g"], "v", 0.95, "p").first()["p"] is None
+    same = spark.createDataFrame([("g", 5.0)] * 9 + [("g", None), ("h", 1.0), ("h", 2.0)], "g string, v double")
+    assert {r["g"]: (r["n"], r["p"]) for r in M.floor_index_percentiles(same, ["g"], "v", {"p": 0.5}).collect()} == {"g": (9, 5.0), "h": (2, 2.0)}
 
 
 def test_drift(spark):
