@@ -14,7 +14,8 @@ the counts of its distinct words and pairs and gets them back in its own order:
 
 Blocks combine before they send, so a frequent word or pair costs one entry a block, whatever share of the corpus it has.
 
-Defined cases: a null or empty text is one end token; a null id counts as the text '' for the hold-out rule; rows with one id and different texts are scored apart; with no training tokens
+Defined cases: a null or empty text is one end token; a null id counts as the text '' for the hold-out rule; every row, repeated ones too, counts and is scored for itself, also where ids are equal; a very long text is a block of its own,
+since a block ends after a whole document; scores depend on counts only, so no tie matters; other columns, whatever their names, are ignored; with no training tokens
 all mass is the unknown word's; an empty table gives an empty table.
 """
 

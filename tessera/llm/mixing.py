@@ -9,7 +9,7 @@ words still owed.  An optional ``propensity`` column makes p unequal within a so
 No task gathers a source: sizes are summed by (source, slice of the order), the slice in which the sample ends is found among at most
 ``SLICES`` sums, and only its rows are ordered one by one.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are taken 0 words; equal rows
+Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are taken 0 words; a very long text is counted whole and is an item like any other; other columns, whatever their names, are ignored; ties in the order go by id and text, and equal rows
 share one u and are told apart by nothing, so they are taken or left together; an empty table gives an empty table.
 """
 

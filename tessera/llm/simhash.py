@@ -6,10 +6,10 @@ fingerprints that differ in at most ``radius`` bits agree on some choice, so eac
 ``k`` grows with the number of fingerprints, so shards stay small.  A shard is one BK-tree: children keyed by the Hamming distance
 to the parent; a search follows only edges within the radius.  A subtree known to be one class with the searched
 fingerprint is skipped, so a dense group costs links in proportion to its size, not all pairs.
-Shard trees sit beside their fingerprints instead of being broadcast: their size has no bound.
+Shard trees sit beside their fingerprints instead of being broadcast: a broadcast of bounded batches of trees would read all fingerprints once a batch, so its work would grow with their square.
 
 Defined cases: a null text, and a text without words, has fingerprint zero and is linked like any other; fewer than four words make one
-shingle; equal rows share a fingerprint; among rows with one id the class id is that id; a null id counts as the largest and
+shingle; a very long text is read whole, its shingles hashed in slices; a bit set in exactly half the shingles is 0; equal rows share a fingerprint; other columns, whatever their names, are ignored; among rows with one id the class id is that id; a null id counts as the largest and
 is returned as null; an empty table gives an empty table.
 """
 

@@ -12,9 +12,9 @@ place, so every repeat passes through two equal anchors.  An anchor serves a run
 4. For each offset of a window to its anchor, entries of one segment of the order (common prefix long enough) and with equal bytes to the left are repeats.
 
 Work in steps 3 and 4 is in proportion to the entries, never to pairs.  A gram with more than ``HOT`` different contexts takes another exact way: its
-windows are hashed and counted with partial sums, so that no task holds them together.
+windows are hashed and counted with partial sums, so that no task holds them together; the result is the same.
 
-Defined cases: a null text is empty; a text below ``length`` bytes loses nothing; rows with one id and different texts are different documents, and equal rows are
+Defined cases: a null text is empty; a very long text is read in overlapping pieces of ``PIECE`` bytes, every window in one of them; no order among ties matters; other columns, whatever their names, are carried or ignored; a text below ``length`` bytes loses nothing; rows with one id and different texts are different documents, and equal rows are
 copies of each other, so they are removed where they are long enough; an empty table gives an empty table.
 """
 

@@ -5,7 +5,7 @@ every (host suffix, path prefix) of a page, with the same result.  The deepest h
 ``allow`` before ``block`` for one rule given both ways.  A page that no rule fits gets ``DEFAULT_VERDICT``.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits only rules for the empty host and else
-gets the default; repeated rows are judged alike; an empty table gives an empty table; other columns are ignored.
+gets the default; repeated rows are judged alike; a very long url is judged whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

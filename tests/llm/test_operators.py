@@ -213,6 +213,25 @@ def classes_brute(fps):
     return {x: find(x) for x in d}
 
 
+def test_very_long_texts(spark):
+    """One text of over a megabyte among short ones, in the operators that read texts."""
+    rng = random.Random(11)
+    long = " ".join(rng.choice(WORDS) for _ in range(300_000))
+    rows = [(1, long, "a"), (2, "short text " + text(40), "a"), (3, None, None), (4, long + " end", "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    fp = {r["doc_id"]: r for r in simhash.near_duplicates(d).collect()}
+    assert {i: r["fp"] & (2**64 - 1) for i, r in fp.items()} == {i: simhash_brute(t) for i, t, _ in rows} and fp[4]["component_id"] == 1
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.digests(d).collect()} == {1: len(long.encode()), 2: 0, 3: 0, 4: len(long.encode())}
+    got = sorted((str(r[0]), *r[1:]) for r in katz.katz_scores(d, block_tokens=5000, part_keys=4000).collect())
+    want = katz_brute(rows)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]])
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(d).collect()} == {i: len(words(t)) for i, t, _ in rows}
+    e = packing.Encoder(packing.default_tokenizer())
+    size = {i: len(e.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t, _ in rows}
+    packed = packing.pack(d).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in packed} == size and sum(r["length"] for r in packed) == sum(size.values())
+
+
 def test_simhash(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     fp = [simhash_brute(t) for _, t, _ in DOCS]
