@@ -108,6 +108,10 @@ def idle_reset_counter(spark, sf):
     return s.select("event_id", n.alias("n"), (n <= 3).alias("allowed"))
 
 
+#: Different keys that a cache may see: each costs a column.
+MAX_KEYS = 1000
+
+
 @q("cache_outcomes", """
 WITH a AS (SELECT event_id, user_id, event_type AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 p AS (SELECT *, lag(ts) OVER w AS last_ts, lag(i) OVER w AS last_i FROM a WINDOW w AS (PARTITION BY user_id, key ORDER BY ts, event_id)),
@@ -123,7 +127,9 @@ def cache_outcomes(spark, sf):
     e = e.withColumn("i", F.row_number().over(order))
     same = Window.partitionBy("user_id", "key").orderBy("i")
     e = e.withColumns({"last_ts": F.lag("ts").over(same), "last_i": F.lag("i").over(same)})
-    keys = [r[0] for r in e.select("key").distinct().orderBy("key").limit(1000).collect()]
+    keys = [r[0] for r in e.select("key").distinct().limit(MAX_KEYS + 1).collect()]
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"over {MAX_KEYS} different keys")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     others = F.lit(0)
     for k in keys:
