@@ -110,18 +110,18 @@ def fused_pipeline(spark, sf):
 
 
 #: The largest limits a caller may ask for, the largest number of hops, the shortest query.
-LIMITS = {"semantic": 50, "graphrag": 25}
+LIMITS = {"semantic": 50, "hybrid": 25}
 MAX_HOPS, SHORTEST = 3, 3
 
 
 @q("clamped_arguments", """
-WITH a AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'semantic' ELSE 'graphrag' END AS tool, (item_id * 7 % 90 - 5)::INT AS asked, (item_id % 6)::INT AS hops, length(trim(text, ' ')) >= 3 AS valid FROM benchmark)
+WITH a AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'semantic' ELSE 'hybrid' END AS tool, (item_id * 7 % 90 - 5)::INT AS asked, (item_id % 6)::INT AS hops, length(trim(text, ' ')) >= 3 AS valid FROM benchmark)
 SELECT item_id, tool, greatest(1, least(asked, CASE tool WHEN 'semantic' THEN 50 ELSE 25 END)) AS n, greatest(0, least(hops, 3)) AS hops, valid FROM a""")
 def clamped_arguments(spark, sf):
     """Arguments of queries cut to their limits, and whether the query is long enough."""
     i = F.col("item_id")
-    tool = F.when(i % 2 == 0, "semantic").otherwise("graphrag")
-    most = F.when(i % 2 == 0, LIMITS["semantic"]).otherwise(LIMITS["graphrag"])
+    tool = F.when(i % 2 == 0, "semantic").otherwise("hybrid")
+    most = F.when(i % 2 == 0, LIMITS["semantic"]).otherwise(LIMITS["hybrid"])
     b = table(spark, sf, "benchmark")
     return b.select("item_id", tool.alias("tool"), F.greatest(F.lit(1), F.least((i * 7 % 90 - 5).cast("int"), most)).alias("n"), F.greatest(F.lit(0), F.least((i % 6).cast("int"), F.lit(MAX_HOPS))).alias("hops"), (F.length(F.trim("text")) >= SHORTEST).alias("valid"))
 
