@@ -26,33 +26,31 @@ def q(name: str, sql: str | None = None):
 
 
 E_SQL = """
-WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 45),
+WITH li AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
 imp AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber WHERE a.l_partkey <> b.l_partkey),
 sup AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM li)"""
 
 
-#: The edges of all lines, for the whole forms below.
-ALL_SQL = E_SQL.replace(" WHERE l_quantity >= 45", "")
+def lines(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def lines(spark, sf, whole: bool = False) -> DataFrame:
-    if whole:
-        return table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").where("l_quantity >= 45").drop("l_quantity")
+def imports(spark, sf) -> DataFrame:
+    a = lines(spark, sf).select("l_orderkey", F.col("l_linenumber").alias("la"), F.col("l_partkey").alias("src"))
+    b = lines(spark, sf).select("l_orderkey", F.col("l_linenumber").alias("lb"), F.col("l_partkey").alias("dst"))
+    return a.join(b, "l_orderkey").where("lb > la and src <> dst").select("src", "dst").distinct()
 
 
-def imports(spark, sf, whole: bool = False) -> DataFrame:
-    a = lines(spark, sf, whole).select("l_orderkey", F.col("l_linenumber").alias("la"), F.col("l_partkey").alias("src"))
-    b = lines(spark, sf, whole).select("l_orderkey", F.col("l_linenumber").alias("lb"), F.col("l_partkey").alias("dst"))
-    return a.join(b, "l_orderkey").where("lb > la and src <> dst").select("src", "dst").distinct()
+def supplies(spark, sf) -> DataFrame:
+    return lines(spark, sf).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
-def supplies(spark, sf, whole: bool = False) -> DataFrame:
-    return lines(spark, sf, whole).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+#: The starts of a traversal are its query set, a parameter: the parts up to this key.  Edges are those of all lines.
+SEEDS = 20
 
 
-def starts(spark, sf) -> DataFrame:
-    return table(spark, sf, "part", "p_partkey").where("p_partkey <= 20").select(F.col("p_partkey").alias("node"))
+def starts(spark, sf, seeds: int = SEEDS) -> DataFrame:
+    return table(spark, sf, "part", "p_partkey").where(F.col("p_partkey") <= seeds).select(F.col("p_partkey").alias("node"))
 
 
 @q("graph_neighbors", E_SQL + " SELECT 'imports' AS direction, dst AS node FROM imp WHERE src = 7 UNION ALL SELECT 'imported_by', src FROM imp WHERE dst = 7")
@@ -60,7 +58,7 @@ def graph_neighbors(spark, sf):
     return G.neighbours(imports(spark, sf), 7, "both")
 
 
-REACH = E_SQL + """, s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= 20), h1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN imp ON src = start),
+REACH = E_SQL + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= {SEEDS}), h1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN imp ON src = start),
 h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN imp ON src = node), h3 AS (SELECT DISTINCT start, dst AS node FROM h2 JOIN imp ON src = node),
 r AS (SELECT start, node, min(hop)::INT AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY 1, 2)"""
 
@@ -78,7 +76,7 @@ def reach_both_ways(spark, sf):
     return G.reach(G.both_ways(imports(spark, sf)), s, 2).where("node <> start").select("node", "hop")
 
 
-IMPACT = E_SQL + """, s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= 20), h1 AS (SELECT DISTINCT start, src AS node FROM s JOIN imp ON dst = start),
+IMPACT = E_SQL + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= {SEEDS}), h1 AS (SELECT DISTINCT start, src AS node FROM s JOIN imp ON dst = start),
 h2 AS (SELECT DISTINCT start, src AS node FROM h1 JOIN imp ON dst = node), h3 AS (SELECT DISTINCT start, src AS node FROM h2 JOIN imp ON dst = node),
 d AS (SELECT start, count(*) AS direct FROM h1 GROUP BY 1), t AS (SELECT start, count(*) AS transitive FROM (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3) GROUP BY 1),
 i AS (SELECT s.start AS node, coalesce(direct, 0) AS direct, coalesce(transitive, 0) AS transitive FROM s LEFT JOIN d ON s.start = d.start LEFT JOIN t ON s.start = t.start)"""
@@ -109,44 +107,65 @@ def subgraph(spark, sf):
     return G.induced(imports(spark, sf), nodes)
 
 
-@q("callers_callees", E_SQL + " SELECT 'callee' AS side, s_name, p_name FROM sup JOIN supplier ON src = s_suppkey JOIN part ON dst = p_partkey WHERE src <= 5 ORDER BY s_name, p_name LIMIT 100")
-def callers_callees(spark, sf):
-    s = F.broadcast(table(spark, sf, "supplier", "s_suppkey", "s_name").where("s_suppkey <= 5"))
-    e = supplies(spark, sf).join(s, F.col("src") == F.col("s_suppkey"))
-    return e.join(table(spark, sf, "part", "p_partkey", "p_name"), F.col("dst") == F.col("p_partkey")).select(F.lit("callee").alias("side"), "s_name", "p_name").orderBy("s_name", "p_name").limit(100)
+#: Edges to show of each side of a node: a report, so the limits are the feature.
+SIDES = (("callee", "src", 50), ("caller", "dst", 50), ("either", None, 100))
 
 
-CTX = E_SQL + """, c AS (SELECT p_partkey AS node, (SELECT count(*) FROM imp WHERE dst = p_partkey) AS imported_by, (SELECT count(*) FROM imp WHERE src = p_partkey) AS imports, (SELECT count(*) FROM sup WHERE dst = p_partkey) AS suppliers FROM part WHERE p_partkey <= 300)"""
+@q("callers_callees", E_SQL + """, n AS (SELECT src, dst, a.p_name AS caller, b.p_name AS callee FROM imp JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey)
+(SELECT 'callee' AS side, caller, callee FROM n WHERE src = 7 ORDER BY caller, callee LIMIT 50) UNION ALL (SELECT 'caller', caller, callee FROM n WHERE dst = 7 ORDER BY caller, callee LIMIT 50)
+UNION ALL (SELECT 'either', caller, callee FROM n WHERE src = 7 OR dst = 7 ORDER BY caller, callee LIMIT 100)""")
+def callers_callees(spark, sf, node: int = 7):
+    """The edges out of, into and on either side of one node, with the names of both ends."""
+    e = imports(spark, sf).where((F.col("src") == node) | (F.col("dst") == node))
+    name = lambda k, n: table(spark, sf, "part", F.col("p_partkey").alias(k), F.col("p_name").alias(n))
+    e, out = e.join(name("src", "caller"), "src").join(name("dst", "callee"), "dst"), None
+    for side, end, n in SIDES:
+        one = e.where(F.lit(True) if end is None else F.col(end) == node).orderBy("caller", "callee").limit(n).select(F.lit(side).alias("side"), "caller", "callee")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Every part over the edges of all lines, one grouped count a branch.
+CTX = E_SQL + """, ci AS (SELECT dst AS node, count(*) AS imported_by FROM imp GROUP BY 1), co AS (SELECT src AS node, count(*) AS imports FROM imp GROUP BY 1), cs AS (SELECT dst AS node, count(*) AS suppliers FROM sup GROUP BY 1),
+c AS (SELECT p_partkey AS node, coalesce(imported_by, 0) AS imported_by, coalesce(imports, 0) AS imports, coalesce(suppliers, 0) AS suppliers FROM part LEFT JOIN ci ON ci.node = p_partkey LEFT JOIN co ON co.node = p_partkey LEFT JOIN cs ON cs.node = p_partkey)"""
 
 
-def contexts(spark, sf, whole: bool = False) -> DataFrame:
-    nodes = table(spark, sf, "part", "p_partkey").where(F.lit(True) if whole else F.col("p_partkey") <= 300).select(F.col("p_partkey").alias("node"))
-    e = imports(spark, sf, whole)
-    c = G.context(nodes, G.counts_by(e, "dst", "imported_by"), G.counts_by(e, "src", "imports"), G.counts_by(supplies(spark, sf, whole), "dst", "suppliers"))
+def contexts(spark, sf) -> DataFrame:
+    nodes = table(spark, sf, "part", F.col("p_partkey").alias("node"))
+    e = imports(spark, sf)
+    c = G.context(nodes, G.counts_by(e, "dst", "imported_by"), G.counts_by(e, "src", "imports"), G.counts_by(supplies(spark, sf), "dst", "suppliers"))
     return c.na.fill(0)
 
 
 Q["graph_context"] = (contexts, CTX + " SELECT * FROM c")
 
-#: Every part over the edges of all lines, one grouped count a branch.
-CTX_ALL = ALL_SQL + """, ci AS (SELECT dst AS node, count(*) AS imported_by FROM imp GROUP BY 1), co AS (SELECT src AS node, count(*) AS imports FROM imp GROUP BY 1), cs AS (SELECT dst AS node, count(*) AS suppliers FROM sup GROUP BY 1),
-c AS (SELECT p_partkey AS node, coalesce(imported_by, 0) AS imported_by, coalesce(imports, 0) AS imports, coalesce(suppliers, 0) AS suppliers FROM part LEFT JOIN ci ON ci.node = p_partkey LEFT JOIN co ON co.node = p_partkey LEFT JOIN cs ON cs.node = p_partkey)"""
 
+@q("context_chain", E_SQL + """, nxt AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
+f AS (SELECT l_partkey AS node, count(DISTINCT l_orderkey) AS functions, count(DISTINCT l_suppkey) AS classes FROM li GROUP BY 1), k AS (SELECT src AS node, count(*) AS calls FROM nxt GROUP BY 1), r AS (SELECT dst AS node, count(*) AS callers FROM nxt GROUP BY 1),
+o AS (SELECT src AS node, count(*) AS imports FROM imp GROUP BY 1), i AS (SELECT dst AS node, count(*) AS importers FROM imp GROUP BY 1), b AS (SELECT p_brand, count(*) - 1 AS siblings FROM part GROUP BY 1)
+SELECT p_partkey AS node, coalesce(functions, 0) AS functions, coalesce(classes, 0) AS classes, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers, coalesce(imports, 0) AS imports, coalesce(importers, 0) AS importers, coalesce(siblings, 0) AS siblings
+FROM part p LEFT JOIN f ON f.node = p_partkey LEFT JOIN k ON k.node = p_partkey LEFT JOIN r ON r.node = p_partkey LEFT JOIN o ON o.node = p_partkey LEFT JOIN i ON i.node = p_partkey LEFT JOIN b ON b.p_brand = p.p_brand""")
+def context_chain(spark, sf):
+    """The seven branches of a node's context; a node with nothing on a branch stays with 0.
 
-@q("graph_context_whole", CTX_ALL + " SELECT * FROM c")
-def graph_context_whole(spark, sf):
-    return contexts(spark, sf, whole=True)
+    Orders stand for functions, suppliers for classes, the next line of an order for a call, parts of the brand for siblings.
+    """
+    part = table(spark, sf, "part", F.col("p_partkey").alias("node"), "p_brand")
+    a = lines(spark, sf).select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"))
+    b = lines(spark, sf).select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    calls, e = a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct(), imports(spark, sf)
+    own = lines(spark, sf).groupBy(F.col("l_partkey").alias("node")).agg(F.count_distinct("l_orderkey").alias("functions"), F.count_distinct("l_suppkey").alias("classes"))
+    branches = [own, *(G.counts_by(d, k, n) for d, k, n in ((calls, "src", "calls"), (calls, "dst", "callers"), (e, "src", "imports"), (e, "dst", "importers")))]
+    brand = part.groupBy("p_brand").agg((F.count("*") - 1).alias("siblings"))
+    return G.context(part, *branches).join(brand, "p_brand", "left").drop("p_brand").na.fill(0)
 
 
-@q("context_lists", E_SQL + " SELECT p_partkey AS node, list_sort(list_distinct(list(src)))[1:5] AS first_importers, p_name FROM part JOIN imp ON dst = p_partkey WHERE p_partkey <= 100 GROUP BY 1, 3")
+@q("context_lists", E_SQL + " SELECT p_partkey AS node, list_sort(list_distinct(list(src)))[1:5] AS first_importers, p_name FROM part JOIN imp ON dst = p_partkey GROUP BY 1, 3")
 def context_lists(spark, sf):
-    top = imports(spark, sf).where("dst <= 100").groupBy(F.col("dst").alias("node")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, 5).alias("first_importers"))
-    return table(spark, sf, "part", F.col("p_partkey").alias("node"), "p_name").join(F.broadcast(top), "node")
-
-
-@q("context_lists_whole", ALL_SQL + " SELECT p_partkey AS node, list_sort(list_distinct(list(src)))[1:5] AS first_importers, p_name FROM part JOIN imp ON dst = p_partkey GROUP BY 1, 3")
-def context_lists_whole(spark, sf):
-    top = imports(spark, sf, whole=True).groupBy(F.col("dst").alias("node")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, 5).alias("first_importers"))
+    """The first five importers of each node, ranked before they are listed, so no list of all importers is held."""
+    w = Window.partitionBy("dst").orderBy("src")
+    five = imports(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 5")
+    top = five.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_list("src")).alias("first_importers"))
     return table(spark, sf, "part", F.col("p_partkey").alias("node"), "p_name").join(top, "node")
 
 
@@ -154,25 +173,15 @@ BOOST = "CASE WHEN imported_by > 10 THEN .15 WHEN imported_by > 5 THEN .08 WHEN
 
 
 @q("graph_boost", CTX + f" SELECT node, round({BOOST}, 6)::DOUBLE AS boost, round(least((0.5 + node % 50 / 100.0) * (1 + {BOOST}), 0.99), 6)::DOUBLE AS score FROM c")
-def graph_boost(spark, sf, whole: bool = False):
+def graph_boost(spark, sf):
     b = R.graph_boost(F.col("imported_by"), F.col("imports"), F.col("imports") + F.col("imported_by"), F.col("suppliers"))
-    return contexts(spark, sf, whole).select("node", F.round(b, 6).alias("boost"), F.round(R.boosted(0.5 + F.col("node") % 50 / 100.0, b), 6).alias("score"))
-
-
-@q("graph_boost_whole", CTX_ALL + f" SELECT node, round({BOOST}, 6)::DOUBLE AS boost, round(least((0.5 + node % 50 / 100.0) * (1 + {BOOST}), 0.99), 6)::DOUBLE AS score FROM c")
-def graph_boost_whole(spark, sf):
-    return graph_boost(spark, sf, whole=True)
+    return contexts(spark, sf).select("node", F.round(b, 6).alias("boost"), F.round(R.boosted(0.5 + F.col("node") % 50 / 100.0, b), 6).alias("score"))
 
 
 @q("context_summary", CTX + " SELECT node, 'part ' || node || ': imported by ' || imported_by || ', imports ' || imports || CASE WHEN suppliers > 0 THEN ', suppliers ' || suppliers ELSE '' END AS summary FROM c")
-def context_summary(spark, sf, whole: bool = False):
+def context_summary(spark, sf):
     s = F.concat_ws(", ", F.format_string("part %d: imported by %d", "node", "imported_by"), F.format_string("imports %d", "imports"), F.when(F.col("suppliers") > 0, F.format_string("suppliers %d", "suppliers")))
-    return contexts(spark, sf, whole).select("node", s.alias("summary"))
-
-
-@q("context_summary_whole", CTX_ALL + " SELECT node, 'part ' || node || ': imported by ' || imported_by || ', imports ' || imports || CASE WHEN suppliers > 0 THEN ', suppliers ' || suppliers ELSE '' END AS summary FROM c")
-def context_summary_whole(spark, sf):
-    return context_summary(spark, sf, whole=True)
+    return contexts(spark, sf).select("node", s.alias("summary"))
 
 
 @q("indegree_prism", E_SQL + ", d AS (SELECT dst AS node, count(DISTINCT src) AS in_degree FROM imp GROUP BY 1) SELECT node, in_degree, round(1 / (1 + exp(-0.3 * (in_degree - 3))), 6) AS dependency FROM d")
@@ -225,7 +234,7 @@ def node_scan(spark, sf):
     return p.join(F.broadcast(p.agg(F.min("p_brand").alias("p_brand"))), "p_brand").orderBy("p_name", "p_partkey").limit(10).select("p_partkey", "p_name")
 
 
-@q("cross_project_edges", "SELECT n1.n_regionkey AS a, n2.n_regionkey AS b, count(*) AS n FROM (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45) JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_regionkey <> n2.n_regionkey GROUP BY 1, 2")
+@q("cross_project_edges", "SELECT n1.n_regionkey AS a, n2.n_regionkey AS b, count(*) AS n FROM (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_regionkey <> n2.n_regionkey GROUP BY 1, 2")
 def cross_project_edges(spark, sf):
     """Edges whose ends lie in different projects (regions)."""
     n = F.broadcast(table(spark, sf, "nation", "n_nationkey", "n_regionkey"))
@@ -250,7 +259,7 @@ def missing_owners(spark, sf):
     return table(spark, sf, "pages", "page_id", "url").join(table(spark, sf, "labels", "doc_id"), F.col("page_id") == F.col("doc_id"), "left_anti").select("url").distinct().orderBy("url").limit(100)
 
 
-SPANS = "WITH f AS (SELECT o_custkey AS file, o_orderkey AS fn, o_orderkey % 400 AS s, o_orderkey % 400 + 15 AS e FROM orders), c AS (SELECT c_custkey AS file, k AS chunk, k * 50 AS s, k * 50 + 49 AS e FROM customer, range(8) t(k) WHERE c_custkey % 3 = 0)"
+SPANS = "WITH f AS (SELECT o_custkey AS file, o_orderkey AS fn, o_orderkey % 400 AS s, o_orderkey % 400 + 15 AS e FROM orders), c AS (SELECT c_custkey AS file, k AS chunk, k * 50 AS s, k * 50 + 49 AS e FROM customer, range(8) t(k))"
 
 
 def functions(spark, sf) -> DataFrame:
@@ -258,61 +267,37 @@ def functions(spark, sf) -> DataFrame:
     return table(spark, sf, "orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("fn"), k.alias("s"), (k + 15).alias("e"))
 
 
-#: The chunks of every file, for the whole forms.
-ALL_SPANS = SPANS.replace(" WHERE c_custkey % 3 = 0", "")
-
-
-def spans(spark, sf, whole: bool = False) -> DataFrame:
-    c = table(spark, sf, "customer", "c_custkey").where(F.lit(True) if whole else F.col("c_custkey") % 3 == 0)
+def spans(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer", "c_custkey")
     return c.select(F.col("c_custkey").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("chunk")).withColumn("cs", F.col("chunk") * 50).withColumn("ce", F.col("chunk") * 50 + 49)
 
 
 @q("range_containment", SPANS + " SELECT f.file, chunk, fn FROM f JOIN c ON f.file = c.file AND f.s >= c.s AND f.e <= c.e")
-def range_containment(spark, sf, whole: bool = False):
+def range_containment(spark, sf):
     """The equality carries the join; the range is checked inside it."""
-    return functions(spark, sf).join(spans(spark, sf, whole), "file").where("s >= cs and e <= ce").select("file", "chunk", "fn")
-
-
-@q("range_containment_whole", ALL_SPANS + " SELECT f.file, chunk, fn FROM f JOIN c ON f.file = c.file AND f.s >= c.s AND f.e <= c.e")
-def range_containment_whole(spark, sf):
-    return range_containment(spark, sf, whole=True)
+    return functions(spark, sf).join(spans(spark, sf), "file").where("s >= cs and e <= ce").select("file", "chunk", "fn")
 
 
 @q("point_in_interval", SPANS + " SELECT f.file, chunk, count(*) AS symbols, min(fn) AS first_fn FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e GROUP BY 1, 2")
-def point_in_interval(spark, sf, whole: bool = False):
-    return functions(spark, sf).join(spans(spark, sf, whole), "file").where("s between cs and ce").groupBy("file", "chunk").agg(F.count("*").alias("symbols"), F.min("fn").alias("first_fn"))
-
-
-@q("point_in_interval_whole", ALL_SPANS + " SELECT f.file, chunk, count(*) AS symbols, min(fn) AS first_fn FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e GROUP BY 1, 2")
-def point_in_interval_whole(spark, sf):
-    return point_in_interval(spark, sf, whole=True)
+def point_in_interval(spark, sf):
+    return functions(spark, sf).join(spans(spark, sf), "file").where("s between cs and ce").groupBy("file", "chunk").agg(F.count("*").alias("symbols"), F.min("fn").alias("first_fn"))
 
 
 @q("call_edges", SPANS + " SELECT DISTINCT c.file AS caller_file, chunk, g.fn AS callee FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e JOIN f g ON g.file = f.file + 1 AND g.s = f.s")
-def call_edges(spark, sf, whole: bool = False):
+def call_edges(spark, sf):
     """Calls by interval, callees by name; ambiguous names give several edges, equal ones are one."""
-    at = functions(spark, sf).join(spans(spark, sf, whole), "file").where("s between cs and ce").select(F.col("file").alias("caller_file"), "chunk", "s")
+    at = functions(spark, sf).join(spans(spark, sf), "file").where("s between cs and ce").select(F.col("file").alias("caller_file"), "chunk", "s")
     g = functions(spark, sf).select((F.col("file") - 1).alias("caller_file"), "s", F.col("fn").alias("callee"))
     return at.join(g, ["caller_file", "s"]).select("caller_file", "chunk", "callee").distinct()
 
 
-@q("call_edges_whole", ALL_SPANS + " SELECT DISTINCT c.file AS caller_file, chunk, g.fn AS callee FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e JOIN f g ON g.file = f.file + 1 AND g.s = f.s")
-def call_edges_whole(spark, sf):
-    return call_edges(spark, sf, whole=True)
-
-
-@q("provider_join", E_SQL + " SELECT src, list_sort(list(DISTINCT coalesce(p_name, 'module-' || dst))) AS providers FROM imp LEFT JOIN part ON dst = p_partkey AND p_size > 25 WHERE src <= 50 GROUP BY 1")
-def provider_join(spark, sf, whole: bool = False):
+@q("provider_join", E_SQL + " SELECT src, list_sort(list(DISTINCT coalesce(p_name, 'module-' || dst))) AS providers FROM imp LEFT JOIN part ON dst = p_partkey AND p_size > 25 GROUP BY 1")
+def provider_join(spark, sf):
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_size").where("p_size > 25")
-    j = imports(spark, sf, whole).where(F.lit(True) if whole else F.col("src") <= 50).join(p, F.col("dst") == F.col("p_partkey"), "left")
+    j = imports(spark, sf).join(p, F.col("dst") == F.col("p_partkey"), "left")
     return j.groupBy("src").agg(F.array_sort(F.collect_set(F.coalesce("p_name", F.concat(F.lit("module-"), F.col("dst").cast("string"))))).alias("providers"))
 
 
-@q("provider_join_whole", ALL_SQL + " SELECT src, list_sort(list(DISTINCT coalesce(p_name, 'module-' || dst))) AS providers FROM imp LEFT JOIN part ON dst = p_partkey AND p_size > 25 GROUP BY 1")
-def provider_join_whole(spark, sf):
-    return provider_join(spark, sf, whole=True)
-
-
 @q("migrate_edges", E_SQL + " SELECT 'DEPENDS_ON' AS rel, dst AS src, src AS dst FROM imp WHERE src % 5 <> 0 UNION ALL SELECT 'IMPORTS', src, dst FROM imp WHERE src % 5 = 0")
 def migrate_edges(spark, sf):
     """Retype and turn round one kind of edge, keep the rest."""
