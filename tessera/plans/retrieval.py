@@ -171,16 +171,28 @@ def fulltext_by_label(spark, sf):
 
 
 @q("many_query_bm25", """
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2),
-b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS token FROM benchmark), s AS (SELECT item_id, doc_id, sum(tf) AS hits, count(*) AS terms FROM b JOIN c ON b.token = c.token GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY terms DESC, hits DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, terms, hits::BIGINT AS hits, rank FROM r WHERE rank <= 3""")
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents), l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1), g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM t)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
+b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS token FROM benchmark), c AS (SELECT doc_id, token, count(*) AS tf FROM t WHERE token IN (SELECT token FROM b) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM c GROUP BY 1),
+w AS (SELECT c.doc_id, c.token, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) AS weight FROM c JOIN df ON c.token = df.token JOIN l ON c.doc_id = l.doc_id, g),
+s AS (SELECT item_id, doc_id, count(*) AS terms, round(sum(weight), 6) AS score FROM b JOIN w ON b.token = w.token GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
 def many_query_bm25(spark, sf):
-    """All benchmark items against all documents through their shared terms."""
+    """BM25 of all benchmark items, a stated query set, against all documents.
+
+    Texts are read once into a stored table of the counts of query terms; terms of no query keep one row a document, so lengths and statistics come from that table too.
+    """
     b = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(R.tokens("text"))).alias("token"))
-    c = docs(spark, sf).select("doc_id", F.explode(R.tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    s = b.join(c, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("hits"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("terms"), F.desc("hits"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")
+    vocabulary = b.select(F.col("token").alias("word")).distinct()
+    t = docs(spark, sf).withColumn("tokens", R.tokens("text")).select("doc_id", F.greatest(F.size("tokens"), F.lit(0)).alias("len"), F.explode_outer("tokens").alias("word"))
+    terms = t.join(vocabulary.withColumn("token", F.col("word")), "word", "left")
+    c = stored(terms.groupBy("doc_id", "token").agg(F.first("len").alias("len"), F.count("word").alias("tf")), "postings")
+    stats = F.broadcast(c.agg(F.count_distinct("doc_id").alias("n"), F.sum("tf").alias("all")).select("n", (F.col("all") / F.col("n")).alias("mean")))
+    held = c.where("token is not null")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * R.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
+    w = held.join(df, "token").crossJoin(stats).select("doc_id", "token", weight.alias("weight"))
+    s = b.join(w, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("score"))
+    by = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return s.withColumn("rank", F.row_number().over(by).cast("long")).where("rank <= 3")
 
 
 @q("text_contains", "SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE contains(text, 'License') OR contains(source, 'src13') ORDER BY doc_id LIMIT 50")
@@ -337,10 +349,10 @@ def query_type(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", c.otherwise("general").alias("kind"))
 
 
-@q("query_expansion", "SELECT item_id, n, template || left(text, 60) AS text FROM benchmark, (VALUES (1, 'How to use: '), (2, 'Example of '), (3, 'Explanation of ')) v(n, template)")
+@q("query_expansion", "SELECT item_id, n, template || text AS text FROM benchmark, (VALUES (1, 'How to use: '), (2, 'Example of '), (3, 'Explanation of ')) v(n, template)")
 def query_expansion(spark, sf):
     t = spark.createDataFrame([(1, "How to use: "), (2, "Example of "), (3, "Explanation of ")], "n int, template string")
-    return table(spark, sf, "benchmark").crossJoin(F.broadcast(t)).select("item_id", "n", F.concat("template", F.substring("text", 1, 60)).alias("text"))
+    return table(spark, sf, "benchmark").crossJoin(F.broadcast(t)).select("item_id", "n", F.concat("template", "text").alias("text"))
 
 
 @q("hybrid_alpha", HITS + """, a AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.score, 0) AS ds, coalesce(l.score, 0) AS ls FROM (SELECT * FROM rk WHERE src = 'dense') d FULL JOIN (SELECT * FROM rk WHERE src = 'lexical') l ON d.doc_id = l.doc_id)
