@@ -40,7 +40,9 @@ def plain(x):
     """A value in a form that both engines share."""
     import math
 
-    if x is None or x != x if not hasattr(x, "__len__") else False:
+    import pandas as pd
+
+    if x is pd.NA or x is None or x != x if not hasattr(x, "__len__") else False:
         return "NULL"
     if hasattr(x, "tolist"):
         x = x.tolist()
