@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import cotraining, katz, knn, licenses, mixing, packing, quality_rules, simhash, suffix_dedup, url_filter
+from tessera.llm import cotraining, katz, knn, licenses, mixing, packing, prefix_trie, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_knn": knn.query,
     "op9_packing": packing.query,
     "op10_licenses": licenses.query,
+    "op11_prefix_trie": prefix_trie.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_quality_rules": quality_rules.SQL, "op4_url_filter": url_filter.SQL, "op8_knn": knn.SQL, "op10_licenses": licenses.SQL}
+ORACLES = {"op1_quality_rules": quality_rules.SQL, "op4_url_filter": url_filter.SQL, "op8_knn": knn.SQL, "op10_licenses": licenses.SQL, "op11_prefix_trie": prefix_trie.SQL}
