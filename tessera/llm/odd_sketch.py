@@ -1,13 +1,14 @@
 """Operator 12: near-duplicates by MinHash bands, verified by odd sketches, then on whole sets.
 
-A document's set holds hashes of 64 bits of its distinct shingles.  ``BANDS * ROWS`` MinHash samples are banded for candidates and folded into an odd sketch: each sample
-flips one of ``BITS`` bits.  The number of ones in the XOR of two sketches estimates how many samples differ, and is most precise where few do, so a
-candidate with more ones than a pair at the threshold shows (but once in ``1 / MISS``) is dropped without its sets.  The others are settled by the sizes of intersection and union of whole sets.  At a similarity of 0.85
-a pair meets in no band with a chance of 7e-9; nothing else is lost.
+A document's set holds hashes of 64 bits of its distinct shingles.  ``BANDS * ROWS`` MinHash values are banded for candidates.  The ``SAMPLES`` smallest hashes of a set, its
+MinHash samples, are folded into an odd sketch: each flips one of ``BITS`` bits.  The ones in the XOR of two sketches are at most the samples that differ, and
+nearly as many where few do.  For sets of up to ``SAMPLES`` shingles the samples are the set, so a pair with more ones than its sizes allow is surely below the threshold; for
+larger sets the bound is one that a pair at the threshold exceeds with a chance of at most ``MISS``.  Pairs within the bound are settled by intersection and union of whole sets.  At a
+similarity of 0.85 a pair meets in no band with a chance of 7e-9; nothing else is lost.
 
-Rows with equal sets are one set, so copies are never paired.  In a bucket nobody is paired with everybody: sets known to be one class are not compared again.
-First, of each bucket of the first ``FIRST`` bands, one leader (the set in the largest buckets) is compared with the others; what links makes classes.  Then buckets of all bands that still hold two classes are
-searched: in each, a leader outside the largest class is compared with all other classes while the pairs left are more than ``PAIRS`` times the rows, then the pairs of different classes that are left.  Sketches are compared inside those joins.
+Rows with equal sets are one set, so copies are never paired.  In a bucket nobody is paired with everybody: sets known to be one class are not compared again, and sketches are compared inside the join, so a pair that cannot link is never a row.
+First one leader of each bucket of the first ``FIRST`` bands (the set in the largest buckets) meets the others.  Then ``PASSES`` go over the buckets that still hold two classes, the closest pairs and few bands first, so that a
+dense group is one class before its looser pairs are looked at; the last pass takes all bands at the threshold itself.
 
 Defined cases: a null text and a text without words has the empty set and is linked with nothing; fewer words than a shingle make one shingle; a very long text is read whole; equal rows, and rows with one id, are rows of their own whose class is
 that of their set; component_id is the smallest doc_id of the class, a null id counts as the largest; an empty table gives an empty table; other columns are ignored.
@@ -15,7 +16,8 @@ that of their set; component_id is the smallest doc_id of the class, a null id c
 
 from __future__ import annotations
 
-from math import comb
+from functools import reduce
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ from tessera.llm.common import components, row_key, small_batches, work_table
 from tessera.llm.textkernel import Block, Hasher, U, blocks, lowered, mix
 
 SHINGLE, SIMILARITY = 5, 85
-BANDS, ROWS, BITS, FIRST = 32, 5, 256, 2
-MISS = 1e-9
-PAIRS, ROUNDS = 8, 8
+BANDS, ROWS, FIRST = 32, 5, 2
+SAMPLES, BITS, MISS = 512, 1024, 1e-9
+#: (bands, part of the way from the threshold to equality that a pair's sketches must reach) of each pass.
+PASSES = ((4, 0.5), (8, 0.0), (BANDS, 0.0))
 MAX_BROADCAST = 100_000
-SKETCH = ["s0", "s1", "s2", "s3"]
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
 def sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +75,32 @@ def bands(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(s: np.ndarray) -> np.ndarray:
-    """Odd sketches as ``BITS / 64`` numbers: each sample flips one bit."""
-    bit = mix(s.astype(U) * U(0x9E3779B97F4A7C15) + np.arange(s.shape[1], dtype=U)) % U(BITS)
-    flat = (np.arange(len(s), dtype=np.int64)[:, None] * BITS + bit.astype(np.int64)).ravel()
-    ones = np.bincount(flat, minlength=len(s) * BITS).reshape(len(s), BITS) & 1
-    return np.packbits(ones.astype(np.uint8), axis=1).view(np.int64)
+def sketches(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Odd sketches as ``BITS / 64`` numbers: each of the smallest ``SAMPLES`` hashes flips one bit."""
+    out = np.zeros((len(off) - 1, BITS // 64), np.int64)
+    for at in range(0, len(off) - 1, 1024):
+        o = off[at : at + 1025]
+        part, doc = h[o[0] : o[-1]], np.repeat(np.arange(len(o) - 1), np.diff(o))
+        on = np.arange(len(part)) + o[0] - o[:-1][doc] < SAMPLES
+        bit = (mix(part[on] + U(5)) % U(BITS)).astype(np.int64)
+        ones = np.bincount(doc[on] * BITS + bit, minlength=(len(o) - 1) * BITS) & 1
+        out[at : at + 1024] = np.packbits(ones.astype(np.uint8).reshape(-1, BITS), axis=1).view(np.int64)
+    return out
 
 
-def most_ones(similarity: float, count: int = BANDS * ROWS, bits: int = BITS, miss: float = MISS) -> int:
-    """The number of ones in the XOR of two odd sketches that a pair of this similarity exceeds with a chance of at most ``miss``."""
-    after = np.zeros(bits + 1)
-    after[0], z, total = 1.0, np.arange(bits + 1), np.zeros(bits + 1)
-    for differ in range(count + 1):
-        total += comb(count, differ) * (1 - similarity) ** differ * similarity ** (count - differ) * after
-        for _ in range(2):  # a differing sample flips a bit on either side
-            up, down = after * (bits - z) / bits, after * z / bits
-            after = np.append(0, up[:-1]) + np.append(down[1:], 0)
-    return int(np.argmax(np.cumsum(total) >= 1 - miss)) if total.sum() else bits
+def most_ones(a: F.Column, b: F.Column, similarity: float) -> F.Column:
+    """Ones in the XOR of the sketches of sets of ``a`` and ``b`` shingles that a pair of this similarity (of 1) does not exceed.
+
+    Above ``SAMPLES`` shingles the samples that differ are at most twice those of the larger set outside the other: draws without replacement, held by Bernstein's bound.
+    """
+    both, large, slack = a + b, F.greatest(a, b), F.lit(log(1 / MISS))
+    p = 1 - similarity / (1 + similarity) * both / large
+    drawn = SAMPLES * p + slack / 3 + F.sqrt((slack / 3) ** 2 + 2 * slack * SAMPLES * p * (1 - p))
+    return F.when(large <= SAMPLES, (1 - similarity) / (1 + similarity) * both + 1e-9).otherwise(2 * drawn)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, f1, f2, bands, s0..s3) of each row; f1 and f2 name its set."""
+    """(doc_id, key, n, f1, f2, bands, s0..) of each row; f1 and f2 name its set."""
     names = ["doc_id", "key", "n", "f1", "f2", "bands", *SKETCH]
 
     def run(batches):
@@ -107,12 +114,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     starts = off[:-1][on]
                     f[0, on], f[1, on] = np.add.reduceat(h, starts), np.bitwise_xor.reduceat(mix(h + U(1)), starts)
                     s = samples(h, np.append(starts, len(h)), BANDS * ROWS)
-                    band, sketch[on] = bands(s), sketches(s)
+                    band, sketch[on] = bands(s), sketches(h, np.append(starts, len(h)))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n > 0)) * BANDS, pa.int32()), pa.array(band.ravel()))
                 part = batch.slice(b.first, b.n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), *map(pa.array, f.view(np.int64)), lists, *(pa.array(sketch[:, i]) for i in range(len(SKETCH)))], names)
 
-    schema = "doc_id long, key long, n long, f1 long, f2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    schema = "doc_id long, key long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{x} long" for x in SKETCH)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
@@ -135,7 +142,7 @@ class Search:
     """The state of one search: ``sets`` (rid, n, names, bands, sketches), ``label`` (rid, comp) and the whole sets read so far."""
 
     def __init__(self, docs: DataFrame, found: DataFrame, similarity: int):
-        self.docs, self.similarity, self.ones = docs, similarity, most_ones(similarity / 100)
+        self.docs, self.similarity = docs, similarity
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("low"), "key")).alias("row")
         same = found.where("n > 0").groupBy("f1", "f2", "n").agg(first, *[F.first(c).alias(c) for c in ("bands", *SKETCH)])
         self.sets = work_table(same.withColumn("rid", F.monotonically_increasing_id()), "sets")
@@ -147,28 +154,30 @@ class Search:
         return self.sets.select("rid", F.explode(of("bands")).alias("key"))
 
     def open_buckets(self, rows: DataFrame, size: bool = False) -> DataFrame:
-        """(key, rid, comp, n, s0..s3) of the rows in buckets of two classes or more; with the bucket's size if asked for."""
+        """(key, rid, comp, n, s0..) of the rows in buckets of two classes or more; with the bucket's size if asked for."""
         placed = rows.select("key", "rid").join(self.label, "rid")
         keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", *(["members"] if size else []))
         return work_table(placed.join(keys, "key").join(self.sets.select("rid", "n", *SKETCH), "rid"), "buckets")
 
-    def near(self, a, b) -> F.Column:
-        ones = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH[1:]), F.bit_count(a(SKETCH[0]).bitwiseXOR(b(SKETCH[0]))))
-        return (a("comp") != b("comp")) & (100 * F.least(a("n"), b("n")) >= self.similarity * F.greatest(a("n"), b("n"))) & (ones <= self.ones)
+    def near(self, a, b, closer: float = 0.0) -> F.Column:
+        """Different classes, sizes that allow the similarity, and sketches that allow it, or ``closer`` of the way from it to equality."""
+        ones = reduce(lambda x, y: x + y, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH])
+        least = self.similarity / 100 + closer * (1 - self.similarity / 100)
+        return (a("comp") != b("comp")) & (100 * F.least(a("n"), b("n")) >= self.similarity * F.greatest(a("n"), b("n"))) & (ones <= most_ones(a("n"), b("n"), least))
 
     def led(self, rows: DataFrame, leaders: DataFrame) -> DataFrame:
         """Candidates: each row beside its bucket's leader."""
         pairs = rows.join(leaders, "key").where(self.near(lambda c: F.col(f"leader.{c}"), F.col))
         return pairs.select(F.least("rid", "leader.rid").alias("a"), F.greatest("rid", "leader.rid").alias("b"))
 
-    def left(self, rows: DataFrame) -> DataFrame:
-        """Candidates: the pairs of different classes within a bucket."""
+    def left(self, rows: DataFrame, closer: float) -> DataFrame:
+        """Candidates: the pairs of different classes within a bucket, at least so close by their sketches."""
         x, y = rows.alias("x"), rows.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & self.near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & self.near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), closer))
         return pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
 
-    def link(self, candidates: DataFrame) -> bool:
-        """Settle candidates on whole sets and merge the classes that they link; whether any did."""
+    def link(self, candidates: DataFrame) -> None:
+        """Settle candidates on whole sets and merge the classes that they link."""
         pairs = work_table(candidates.distinct(), "candidates")
         need = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         if self.whole is not None:
@@ -181,29 +190,17 @@ class Search:
         of = lambda c: self.label.select(F.col("rid").alias(c), F.col("comp").alias(f"c{c}"))
         edges = work_table(linked.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct(), "links")
         if edges.isEmpty():
-            return False
+            return
         merged = components(edges).select(F.col("node").alias("comp"), "root")
         self.label = work_table(self.label.join(merged, "comp", "left").select("rid", F.coalesce("root", "comp").alias("comp")), "classes")
-        return True
 
     def run(self) -> None:
         fields = ["rid", "comp", "n", *SKETCH]
         rows = self.open_buckets(self.bucketed(lambda b: F.slice(b, 1, FIRST)), size=True)
         score = rows.groupBy("rid").agg(F.sum("members").alias("score"))
         self.link(self.led(rows, rows.join(score, "rid").groupBy("key").agg(F.max(F.struct("score", *fields)).alias("leader"))))
-        rows = self.open_buckets(self.bucketed(F.col))
-        for turn in range(ROUNDS):
-            held = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            per = held.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max(F.struct("n", "comp")).alias("main"))
-            pairs, many = per.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.sum("m")).first()
-            if not many or pairs <= PAIRS * many:
-                break
-            outside = rows.join(per.select("key", F.col("main.comp").alias("main")), "key").where("comp <> main")
-            leaders = outside.groupBy("key").agg(F.max(F.struct(F.xxhash64("rid", F.lit(turn)).alias("score"), *fields)).alias("leader"))
-            if not self.link(self.led(rows, leaders)):
-                break
-            rows = self.open_buckets(rows)
-        self.link(self.left(rows))
+        for bands, closer in PASSES:
+            self.link(self.left(self.open_buckets(self.bucketed(lambda b: F.slice(b, 1, bands))), closer))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import cotraining, hard_negatives, katz, knn, licenses, mixing, packing, prefix_trie, quality_rules, simhash, suffix_dedup, url_filter
+from tessera.llm import cotraining, hard_negatives, katz, knn, licenses, mixing, odd_sketch, packing, prefix_trie, quality_rules, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_licenses": licenses.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_odd_sketch": odd_sketch.query,
     "op13_hard_negatives": hard_negatives.query,
     "pipeline": corpus_pipeline.run,
 }
