@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
 from tessera.operators import retrieval as R
+from tessera.operators import text_index as TI
 from tessera.sources.shared import stored
 from tessera.sources.tables import scoped, table
 
@@ -155,13 +156,23 @@ BM25 = TOK + """, st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT c
 lex AS (SELECT c.doc_id, round(sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM c JOIN d ON c.token = d.token JOIN n ON c.doc_id = n.doc_id, st GROUP BY 1)"""
 
 
+def text_index(spark, sf) -> TI.TextIndex:
+    return TI.index_of(table(spark, sf, "documents"), "doc_id")
+
+
+def terms_of_query(spark) -> DataFrame:
+    return spark.createDataFrame([(0, t) for t in TERMS], "item int, token string")
+
+
 def lexical(spark, sf) -> DataFrame:
-    return R.bm25(docs(spark, sf), TERMS, "doc_id")
+    """Scores of all documents that hold a term, from the stored index."""
+    index = text_index(spark, sf)
+    return index.scores(index.asked(terms_of_query(spark))).select(F.col("doc").alias("doc_id"), "score")
 
 
 @q("bm25_search", BM25 + " SELECT doc_id, score FROM lex ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_search(spark, sf):
-    return lexical(spark, sf).orderBy(F.desc("score"), "doc_id").limit(20)
+    return text_index(spark, sf).top_k(terms_of_query(spark), 20).select(F.col("doc").alias("doc_id"), "score")
 
 
 @q("fulltext_by_label", BM25 + " SELECT doc_id, lang, score FROM lex JOIN documents USING (doc_id) WHERE lang IN ('en', 'de') ORDER BY score DESC, doc_id LIMIT 15")
@@ -176,23 +187,9 @@ b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z
 w AS (SELECT c.doc_id, c.token, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) AS weight FROM c JOIN df ON c.token = df.token JOIN l ON c.doc_id = l.doc_id, g),
 s AS (SELECT item_id, doc_id, count(*) AS terms, round(sum(weight), 6) AS score FROM b JOIN w ON b.token = w.token GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
 def many_query_bm25(spark, sf):
-    """BM25 of all benchmark items, a stated query set, against all documents.
-
-    Texts are read once into a stored table of the counts of query terms; terms of no query keep one row a document, so lengths and statistics come from that table too.
-    """
-    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(R.tokens("text"))).alias("token"))
-    vocabulary = b.select(F.col("token").alias("word")).distinct()
-    t = docs(spark, sf).withColumn("tokens", R.tokens("text")).select("doc_id", F.greatest(F.size("tokens"), F.lit(0)).alias("len"), F.explode_outer("tokens").alias("word"))
-    terms = t.join(vocabulary.withColumn("token", F.col("word")), "word", "left")
-    c = stored(terms.groupBy("doc_id", "token").agg(F.first("len").alias("len"), F.count("word").alias("tf")), "postings")
-    stats = F.broadcast(c.agg(F.count_distinct("doc_id").alias("n"), F.sum("tf").alias("all")).select("n", (F.col("all") / F.col("n")).alias("mean")))
-    held = c.where("token is not null")
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
-    weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * R.bm25_tf(F.col("tf"), F.col("len"), F.col("mean"))
-    w = held.join(df, "token").crossJoin(stats).select("doc_id", "token", weight.alias("weight"))
-    s = b.join(w, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("score"))
-    by = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("rank", F.row_number().over(by).cast("long")).where("rank <= 3")
+    """BM25 of all benchmark items, a stated query set, against all documents, from the stored index."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.explode(F.array_distinct(R.tokens("text"))).alias("token"))
+    return text_index(spark, sf).top_k(b, 3).select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "terms", "score", "rank")
 
 
 @q("text_contains", "SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE contains(text, 'License') OR contains(source, 'src13') ORDER BY doc_id LIMIT 50")

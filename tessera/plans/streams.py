@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.events import SESSION
+from tessera.sources.tables import table
+from tessera.streaming import processors as P
 from tessera.streaming import states as A
 from tessera.streaming import streams as S
 
@@ -62,3 +65,58 @@ def stream_fixed_limit(spark, sf):
 @q("stream_breaker")
 def stream_breaker(spark, sf):
     return S.drain(A.stateful(S.event_stream(spark, sf), "user_id", A.breaker(2, 12 * 3600)))
+
+
+def until_the_end(spark, sf, gap: str) -> DataFrame:
+    """The event stream, and one row that only moves time past the last timeout."""
+    at = S.scratch(spark)
+    end = table(spark, sf, "events").agg(F.min("user_id").alias("user_id"), (F.max("ts").cast("timestamp") + F.expr(f"INTERVAL {gap}") + F.expr("INTERVAL 1 SECOND")).alias("ts")).where("ts is not null")
+    end.write.parquet(at)
+    tick = spark.readStream.schema("user_id long, ts timestamp").parquet(at).withColumn("tick", F.lit(True))
+    return S.event_stream(spark, sf).select("user_id", "ts", F.lit(False).alias("tick")).unionByName(tick)
+
+
+@q("stream_sessions", SESSION + " SELECT user_id AS key, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS n, 'idle' AS reason FROM s GROUP BY user_id, session")
+def stream_sessions(spark, sf):
+    """Sessions of a user end by a timer, six hours after their last event; their state goes with them."""
+    return S.drain(P.until_idle(until_the_end(spark, sf, "6 HOURS"), "user_id", "6 hours"))
+
+
+@q("stream_batches", SESSION.replace("6 HOUR", "30 HOUR") + """, b AS (SELECT *, (row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) - 1) // 10 AS batch FROM s)
+SELECT user_id AS key, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS n, CASE WHEN count(*) = 10 THEN 'full' ELSE 'idle' END AS reason FROM b GROUP BY user_id, session, batch""")
+def stream_batches(spark, sf):
+    """Batches of a user are flushed at ten events, or when none has come for thirty hours."""
+    return S.drain(P.until_idle(until_the_end(spark, sf, "30 HOURS"), "user_id", "30 hours", 10))
+
+
+#: Two versions of the files that ``documents`` stand for, and when each was seen.
+SNAPSHOTS = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+one AS (SELECT source || '/' || doc_id AS path, md5(text) AS hash FROM d WHERE doc_id % 10 <> 3),
+two AS (SELECT CASE WHEN doc_id % 13 = 4 THEN 'moved/' ELSE '' END || source || '/' || doc_id AS path, md5(CASE WHEN doc_id % 7 = 2 THEN text || ' edited' ELSE text END) AS hash FROM d WHERE doc_id % 11 <> 5)"""
+
+
+def observations(spark, sf) -> DataFrame:
+    """(path, hash, ts): what a scan saw at each of two times; paths that the second no longer has come with a null hash."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    one = d.where("doc_id % 10 <> 3").select("path", F.md5("text").alias("hash"))
+    two = d.where("doc_id % 11 <> 5").select(F.when(F.col("doc_id") % 13 == 4, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), F.md5(F.when(F.col("doc_id") % 7 == 2, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).alias("hash"))
+    gone = one.join(two, "path", "left_anti").select("path", F.lit(None).cast("string").alias("hash"))
+    at = lambda df, s: df.withColumn("ts", F.timestamp_seconds(F.lit(s)))
+    return at(one, 1000).unionByName(at(two.unionByName(gone), 2000))
+
+
+@q("stream_changes", SNAPSHOTS + """,
+c AS (SELECT two.path, two.hash, row_number() OVER (PARTITION BY two.hash ORDER BY two.path) AS k FROM two ANTI JOIN one ON one.path = two.path),
+g AS (SELECT one.path, one.hash, row_number() OVER (PARTITION BY one.hash ORDER BY one.path) AS k FROM one ANTI JOIN two ON one.path = two.path)
+SELECT coalesce(c.path, g.path) AS path, CASE WHEN c.path IS NOT NULL THEN g.path END AS from_path, CASE WHEN g.path IS NULL THEN 'created' WHEN c.path IS NULL THEN 'deleted' ELSE 'moved' END AS kind, coalesce(c.hash, g.hash) AS hash FROM c FULL JOIN g ON c.hash = g.hash AND c.k = g.k
+UNION ALL SELECT two.path, NULL, 'modified', two.hash FROM one JOIN two ON one.path = two.path WHERE one.hash <> two.hash""")
+def stream_changes(spark, sf):
+    """Changes of the second scan over the first, from a stream of what the scans saw."""
+    at = S.scratch(spark)
+    o = observations(spark, sf)
+    end = spark.createDataFrame([("", None, 3000)], "path string, hash string, s long").select("path", "hash", F.timestamp_seconds("s").alias("ts"))
+    for step in (o.where(F.unix_seconds("ts") == 1000), o.where(F.unix_seconds("ts") == 2000), end):
+        step.write.mode("append").parquet(at)
+    seen = spark.readStream.schema("path string, hash string, ts timestamp").parquet(at)
+    return S.drain(P.file_changes(seen)).where(F.col("us") == 2_000_000_000).select("path", "from_path", "kind", "hash")
