@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.retrieval import bm25_tf, tokens
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import shared_dir, stored
 
-BLOCK, PARTS, SEEDS = 256, 64, 4
+BLOCK, PARTS, SEEDS = 256, 16, 4
 #: Room for the rounding of scores to six decimals.
 SLACK = 1e-5
 
@@ -49,15 +49,16 @@ class TextIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.stats, self.terms, self.postings = (spark.read.parquet(f"{folder}/{x}") for x in ("stats", "terms", "postings"))
 
-    def asked(self, queries: DataFrame) -> DataFrame:
-        """(item, token, part, idf, mean) of the distinct tokens of ``queries(item, token)`` that the index holds."""
+    def asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(item, token, part, idf, mean) of the distinct tokens of ``queries(item, token)`` that the index holds, and the postings in their folders."""
         q = queries.select("item", "token", part_of("token").alias("part")).distinct()
         idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return self.terms.join(q, ["part", "token"]).crossJoin(F.broadcast(self.stats)).select("item", "token", "part", idf.alias("idf"), "mean")
+        asked = stored(self.terms.join(q, ["part", "token"]).crossJoin(F.broadcast(self.stats)).select("item", "token", "part", idf.alias("idf"), "mean"), "asked")
+        return asked, self.postings.where(F.col("part").isin([r[0] for r in asked.select("part").distinct().collect()]))  # at most PARTS
 
-    def scores(self, asked: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    def scores(self, asked: DataFrame, opened: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
         """(item, doc, terms, score) of all documents that hold a token, or those of ``blocks(item, block)``."""
-        rows = self.postings.join(asked, ["part", "token"])
+        rows = opened.join(asked, ["part", "token"])
         if blocks is not None:
             rows = rows.join(blocks.select("item", "block"), ["item", "block"], "left_semi")
         hit = rows.select("item", "idf", "mean", F.explode("docs").alias("d")).select("item", F.col("d.doc").alias("doc"), (F.col("idf") * bm25_tf(F.col("d.tf"), F.col("d.len"), F.col("mean"))).alias("w"))
@@ -68,15 +69,15 @@ class TextIndex:
 
         The blocks with the highest bounds are scored first; their k-th score then drops the blocks whose bound lies below it.
         """
-        asked = self.asked(queries)
-        bounds = self.postings.select("part", "token", "block", "most").join(asked, ["part", "token"]).groupBy("item", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-        bounds = bounds.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "block")))
+        asked, opened = self.asked(queries)
+        bounds = opened.select("part", "token", "block", "most").join(asked, ["part", "token"]).groupBy("item", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+        bounds = stored(bounds.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "block"))), "bounds")
         order = Window.partitionBy("item").orderBy(F.desc("score"), "doc")
         best = lambda s: s.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-        early = best(self.scores(asked, bounds.where(F.col("r") <= seeds)))
+        early = stored(best(self.scores(asked, opened, bounds.where(F.col("r") <= seeds))), "early")
         least = early.where(F.col("rank") == k).select("item", F.col("score").alias("least"))
         rest = bounds.where(F.col("r") > seeds).join(least, "item", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
-        return best(early.drop("rank").unionByName(self.scores(asked, rest)))
+        return best(early.drop("rank").unionByName(self.scores(asked, opened, rest)))
 
 
 _BUILT: dict = {}
@@ -91,5 +92,5 @@ def index_of(docs: DataFrame, key: str, text: str = "text") -> TextIndex:
     folder = f"{shared_dir(spark)}/tessera-stored/{app}/text-index-{name}"
     if folder not in _BUILT:
         build(docs, folder, key, text)
-        _BUILT[folder] = True
-    return TextIndex(spark, folder)
+        _BUILT[folder] = TextIndex(spark, folder)
+    return _BUILT[folder]

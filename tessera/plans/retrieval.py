@@ -167,7 +167,7 @@ def terms_of_query(spark) -> DataFrame:
 def lexical(spark, sf) -> DataFrame:
     """Scores of all documents that hold a term, from the stored index."""
     index = text_index(spark, sf)
-    return index.scores(index.asked(terms_of_query(spark))).select(F.col("doc").alias("doc_id"), "score")
+    return index.scores(*index.asked(terms_of_query(spark))).select(F.col("doc").alias("doc_id"), "score")
 
 
 @q("bm25_search", BM25 + " SELECT doc_id, score FROM lex ORDER BY score DESC, doc_id LIMIT 20")
