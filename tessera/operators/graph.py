@@ -1,6 +1,6 @@
 """Graph queries over an edge table (rel, src, dst).
 
-Traversals are hop-wise joins with a distinct per hop and an anti join against what was seen, so cycles end and a hop moves only its frontier.
+Traversals are hop-wise joins with a distinct per hop and an anti join against what was seen, so cycles end and a hop moves only its frontier.  Sizes of neighbourhoods of all nodes come from sketches.
 """
 
 from __future__ import annotations
@@ -10,26 +10,55 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import stored
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
+def steps(edges: DataFrame, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
+    """(src, dst), the steps that a traversal may take: edges of the listed types (all, if none are), along, against or either way."""
+    e = edges if rels is None else edges.where(F.col("rel").isin(*rels))
+    out, back = e.select("src", "dst"), e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
-def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(start, node, hop): nodes within ``hops`` steps along src -> dst, with the least number of steps; the start only if a cycle returns to it."""
-    e = edges.select("src", "dst").distinct()
-    front = start.select(F.col("node").alias("start"), "node")
-    seen = None
+
+def reach(edges: DataFrame, start: DataFrame, hops: int, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
+    """(start, node, hop): nodes within ``hops`` steps, with the least number of steps; the start only if a cycle returns to it.
+
+    Steps are stored once and each frontier when it is found, so a hop reads them and plans nothing again; it ends when a frontier is empty.
+    """
+    e = stored(steps(edges, rels, direction), "steps")
+    front, seen = start.select(F.col("node").alias("start"), "node"), None
     for hop in range(1, hops + 1):
         step = front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen, ["start", "node"], "left_anti")
-        step = step.withColumn("hop", F.lit(hop))
+        step = stored(step.withColumn("hop", F.lit(hop)), "frontier")
         seen = step if seen is None else seen.unionByName(step)
         front = step.select("start", "node")
+        if hop < hops and step.isEmpty():
+            break
     return seen
 
 
+#: Registers of a neighbourhood sketch, as a power of two, and the standard error of its count relative to the count.
+SKETCH_LG = 9
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG / 2)
+
+
+def reach_sizes(edges: DataFrame, hops: int, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
+    """(node, reached): for every node with a step, about how many nodes lie within ``hops`` steps; the standard error is ``SKETCH_ERROR``.
+
+    Each node holds a sketch of the nodes it reaches; a round passes sketches back along the steps and merges them, so a hop shuffles a sketch a step,
+    however many nodes are reached.
+    """
+    e = stored(steps(edges, rels, direction), "steps")
+    near = stored(e.groupBy(F.col("src").alias("node")).agg(F.hll_sketch_agg("dst", F.lit(SKETCH_LG)).alias("s")), "sketches")
+    far = near
+    for _ in range(hops - 1):
+        passed = e.join(far, e["dst"] == far["node"]).select(F.col("src").alias("node"), "s")
+        far = stored(passed.unionByName(near).groupBy("node").agg(F.hll_union_agg("s").alias("s")), "sketches")
+    return far.select("node", F.hll_sketch_estimate("s").alias("reached"))
+
+
 def neighbours(edges: DataFrame, node, direction: str) -> DataFrame:
     """(direction, node) one step from ``node``: imports, imported_by or both."""
     out = edges.where(F.col("src") == node).select(F.lit("imports").alias("direction"), F.col("dst").alias("node")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import intervals as I
 from tessera.operators import metrics as M
 from tessera.sources.tables import scoped, table
 
@@ -406,6 +407,21 @@ def asof_throughput(spark, sf):
     return d.groupBy("user_id").agg(F.count("*").alias("now_count"), then.alias("then_count"), (F.count("*") - then).alias("per_day"))
 
 
+SAMPLES = """
+WITH h AS (SELECT event_type, epoch_us(date_trunc('hour', ts)) + 3600000000 AS at_us, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2),
+e AS (SELECT event_id, event_type, epoch_us(ts) - 60000000 AS us FROM events)"""
+
+
+@q("asof_samples", SAMPLES + " SELECT event_id, e.event_type, h.at_us, h.n, h.mean FROM e ASOF JOIN h ON e.event_type = h.event_type AND e.us >= h.at_us")
+def asof_samples(spark, sf):
+    """Each event with the latest hourly sample of its type that was complete a minute before it."""
+    e = ev(spark, sf).withColumn("us", M.micros("ts"))
+    hour = F.floor(F.col("us") / 3_600_000_000).cast("long") * 3_600_000_000 + 3_600_000_000
+    samples = e.groupBy("event_type", hour.alias("sampled")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean")).withColumn("at_us", F.col("sampled"))
+    left = e.select("event_id", "event_type", (F.col("us") - 60_000_000).alias("us"))
+    return I.as_of(left, samples, ["event_type"], "us", "sampled", ["at_us", "n", "mean"], 86_400_000_000).drop("us").where("at_us is not null")
+
+
 @q("usage_percent", """
 WITH d AS (SELECT event_id, user_id, value - lag(value) OVER w AS dv, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS dt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT event_id, user_id, CASE WHEN dv > 0 AND dt > 0 THEN round(dv / dt * 1e6 * 100, 6) ELSE 0.0 END AS percent FROM d WHERE dt IS NOT NULL""")

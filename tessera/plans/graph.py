@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import graph as G
+from tessera.operators import intervals as I
 from tessera.operators import retrieval as R
 from tessera.operators import sync as S
+from tessera.sources.shared import stored
 from tessera.sources.tables import table
 
 Q: dict = {}
@@ -45,12 +47,13 @@ def supplies(spark, sf) -> DataFrame:
     return lines(spark, sf).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
-#: The starts of a traversal are its query set, a parameter: the parts up to this key.  Edges are those of all lines.
-SEEDS = 20
+#: The starts of a traversal are its query set, a parameter: the parts divisible by this number, so they grow with the parts.  Exact reach of three hops has a row
+#: for each start and nearly every part, so its starts are fewer; ``impact_sketches`` sizes the neighbourhoods of all parts.
+SEEDS, FAR_SEEDS = 100, 1000
 
 
-def starts(spark, sf, seeds: int = SEEDS) -> DataFrame:
-    return table(spark, sf, "part", "p_partkey").where(F.col("p_partkey") <= seeds).select(F.col("p_partkey").alias("node"))
+def starts(spark, sf, every: int = FAR_SEEDS) -> DataFrame:
+    return table(spark, sf, "part", "p_partkey").where(F.col("p_partkey") % every == 0).select(F.col("p_partkey").alias("node"))
 
 
 @q("graph_neighbors", E_SQL + " SELECT 'imports' AS direction, dst AS node FROM imp WHERE src = 7 UNION ALL SELECT 'imported_by', src FROM imp WHERE dst = 7")
@@ -58,9 +61,10 @@ def graph_neighbors(spark, sf):
     return G.neighbours(imports(spark, sf), 7, "both")
 
 
-REACH = E_SQL + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= {SEEDS}), h1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN imp ON src = start),
-h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN imp ON src = node), h3 AS (SELECT DISTINCT start, dst AS node FROM h2 JOIN imp ON src = node),
-r AS (SELECT start, node, min(hop)::INT AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY 1, 2)"""
+M_SQL = E_SQL.replace("imp AS (", "imp AS MATERIALIZED (")
+REACH = M_SQL + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % {FAR_SEEDS} = 0), h1 AS (SELECT DISTINCT start, dst AS node FROM s JOIN imp ON src = start),
+h2 AS MATERIALIZED (SELECT DISTINCT start, dst AS node FROM h1 JOIN imp ON src = node), h3 AS MATERIALIZED (SELECT DISTINCT start, dst AS node FROM h2 JOIN imp ON src = node),
+r AS MATERIALIZED (SELECT start, node, min(hop)::INT AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY 1, 2)"""
 
 
 @q("graph_reach3", REACH + " SELECT start, node, hop FROM r")
@@ -72,11 +76,11 @@ def graph_reach3(spark, sf):
 SELECT node, min(hop)::INT AS hop FROM (SELECT node, 1 AS hop FROM a UNION ALL SELECT node, 2 FROM b) GROUP BY 1""")
 def reach_both_ways(spark, sf):
     """Undirected; the start itself is left out."""
-    s = starts(spark, sf).where("node = 3")
-    return G.reach(G.both_ways(imports(spark, sf)), s, 2).where("node <> start").select("node", "hop")
+    s = table(spark, sf, "part", F.col("p_partkey").alias("node")).where("node = 3")
+    return G.reach(imports(spark, sf), s, 2, direction="both").where("node <> start").select("node", "hop")
 
 
-IMPACT = E_SQL + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey <= {SEEDS}), h1 AS (SELECT DISTINCT start, src AS node FROM s JOIN imp ON dst = start),
+IMPACT = M_SQL + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % {FAR_SEEDS} = 0), h1 AS (SELECT DISTINCT start, src AS node FROM s JOIN imp ON dst = start),
 h2 AS (SELECT DISTINCT start, src AS node FROM h1 JOIN imp ON dst = node), h3 AS (SELECT DISTINCT start, src AS node FROM h2 JOIN imp ON dst = node),
 d AS (SELECT start, count(*) AS direct FROM h1 GROUP BY 1), t AS (SELECT start, count(*) AS transitive FROM (SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3) GROUP BY 1),
 i AS (SELECT s.start AS node, coalesce(direct, 0) AS direct, coalesce(transitive, 0) AS transitive FROM s LEFT JOIN d ON s.start = d.start LEFT JOIN t ON s.start = t.start)"""
@@ -86,8 +90,7 @@ RISK = "CASE WHEN {0} = 0 THEN 'low' WHEN {0} < 5 THEN 'medium' WHEN {0} < 20 TH
 @q("impact_analysis", IMPACT + f" SELECT *, direct + transitive AS total_affected, {RISK.format('(direct + transitive)')} AS risk, {RISK.format('transitive')} AS distinct_risk FROM i")
 def impact_analysis(spark, sf):
     """``total_affected`` counts direct importers twice, ``distinct_risk`` once."""
-    back = imports(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    r = G.reach(back, starts(spark, sf), 3).groupBy(F.col("start").alias("node")).agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"))
+    r = G.reach(imports(spark, sf), starts(spark, sf), 3, direction="in").groupBy(F.col("start").alias("node")).agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     i = starts(spark, sf).join(r, "node", "left").select("node", z("direct"), z("transitive"))
     total = F.col("direct") + F.col("transitive")
@@ -100,11 +103,57 @@ def impact_advice(spark, sf):
     return impact_analysis(spark, sf).select("node", F.array_compact(a).alias("advice"))
 
 
-@q("subgraph", REACH + ", n AS (SELECT node FROM r WHERE hop <= 2 UNION SELECT start FROM s) SELECT src, dst FROM imp WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
+@q("impact_sketches")
+def impact_sketches(spark, sf):
+    """About how many parts a change of each part reaches within three hops against its imports; all parts at once."""
+    r = G.reach_sizes(imports(spark, sf), 3, direction="in")
+    return table(spark, sf, "part", F.col("p_partkey").alias("node")).join(r, "node", "left").select("node", F.coalesce("reached", F.lit(0)).alias("affected"))
+
+
+EXACT = IMPACT.replace(f"p_partkey % {FAR_SEEDS} = 0", f"p_partkey % {SEEDS} = 0")
+
+
+@q("impact_sketch_error", EXACT + " SELECT node, transitive AS exact, true AS within_bound FROM i")
+def impact_sketch_error(spark, sf):
+    """The exact number beside the sketch's, for parts divisible by ``SEEDS``: within four standard errors."""
+    s = starts(spark, sf, SEEDS)
+    exact = G.reach(imports(spark, sf), s, 3, direction="in").groupBy(F.col("start").alias("node")).agg(F.count("*").alias("exact"))
+    d = s.join(exact, "node", "left").join(impact_sketches(spark, sf), "node").select("node", F.coalesce("exact", F.lit(0)).alias("exact"), "affected")
+    return d.select("node", "exact", (F.abs(F.col("affected") - F.col("exact")) <= 4 * G.SKETCH_ERROR * F.col("exact")).alias("within_bound"))
+
+
+@q("subgraph", REACH.replace(f"p_partkey % {FAR_SEEDS} = 0", f"p_partkey % {SEEDS} = 0") + ", n AS MATERIALIZED (SELECT node FROM r WHERE hop <= 1 UNION SELECT start FROM s) SELECT src, dst FROM imp WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
 def subgraph(spark, sf):
-    s = starts(spark, sf)
-    nodes = G.reach(imports(spark, sf), s, 2).select("node").unionByName(s).distinct()
-    return G.induced(imports(spark, sf), nodes)
+    s = starts(spark, sf, SEEDS)
+    e = stored(imports(spark, sf), "edges")
+    nodes = G.reach(e, s, 1).select("node").unionByName(s).distinct()
+    return G.induced(e, nodes)
+
+
+#: Typed edges: parts import parts, suppliers (as negative numbers) supply parts.
+TYPED = M_SQL + ", e AS MATERIALIZED (SELECT 'IMPORTS' AS rel, src, dst FROM imp UNION ALL SELECT 'SUPPLIES', -src, dst FROM sup)"
+
+
+def typed_edges(spark, sf) -> DataFrame:
+    i = imports(spark, sf).select(F.lit("IMPORTS").alias("rel"), "src", "dst")
+    return i.unionByName(supplies(spark, sf).select(F.lit("SUPPLIES").alias("rel"), (-F.col("src")).alias("src"), "dst"))
+
+
+@q("typed_subgraph", TYPED + f""", s AS (SELECT p_partkey AS node FROM part WHERE p_partkey % {SEEDS} = 0), u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+n AS MATERIALIZED (SELECT node FROM s UNION SELECT u.dst FROM s JOIN u ON u.src = s.node) SELECT rel, src, dst FROM e WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)""")
+def typed_subgraph(spark, sf):
+    """Nodes one step either way from the starts over both types of edges, and the edges among them."""
+    s, e = starts(spark, sf, SEEDS), stored(typed_edges(spark, sf), "edges")
+    nodes = G.reach(e, s, 1, ["IMPORTS", "SUPPLIES"], "both").select("node").unionByName(s).distinct()
+    return G.induced(e, nodes).select("rel", "src", "dst")
+
+
+@q("typed_reach", TYPED + f""", s AS (SELECT p_partkey AS start FROM part WHERE p_partkey % {SEEDS} = 0), u AS MATERIALIZED (SELECT src, dst FROM e WHERE rel = 'SUPPLIES' UNION SELECT dst, src FROM e WHERE rel = 'SUPPLIES'),
+a AS MATERIALIZED (SELECT DISTINCT start, dst AS node FROM s JOIN u ON src = start), b AS (SELECT DISTINCT start, dst AS node FROM a JOIN u ON src = node)
+SELECT start, node, min(hop)::INT AS hop FROM (SELECT *, 1 AS hop FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY 1, 2""")
+def typed_reach(spark, sf):
+    """Parts that share a supplier with a start, over one type of edges either way."""
+    return G.reach(typed_edges(spark, sf), starts(spark, sf, SEEDS), 2, ["SUPPLIES"], "both")
 
 
 #: Edges to show of each side of a node: a report, so the limits are the feature.
@@ -272,21 +321,32 @@ def spans(spark, sf) -> DataFrame:
     return c.select(F.col("c_custkey").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("chunk")).withColumn("cs", F.col("chunk") * 50).withColumn("ce", F.col("chunk") * 50 + 49)
 
 
+#: Lines of a bin: about the length of a chunk.
+BIN = 50
+
+
+@q("overlapping_spans", SPANS + " SELECT f.file, chunk, fn, least(f.e, c.e) - greatest(f.s, c.s) + 1 AS lines FROM f JOIN c ON f.file = c.file AND f.s <= c.e AND c.s <= f.e")
+def overlapping_spans(spark, sf):
+    """Every function with every chunk that it shares a line with, and how many."""
+    met = I.overlapping(functions(spark, sf), spans(spark, sf), ["file"], ("s", "e"), ("cs", "ce"), BIN)
+    return met.select("file", "chunk", "fn", (F.least("e", "ce") - F.greatest("s", "cs") + 1).alias("lines"))
+
+
 @q("range_containment", SPANS + " SELECT f.file, chunk, fn FROM f JOIN c ON f.file = c.file AND f.s >= c.s AND f.e <= c.e")
 def range_containment(spark, sf):
-    """The equality carries the join; the range is checked inside it."""
-    return functions(spark, sf).join(spans(spark, sf), "file").where("s >= cs and e <= ce").select("file", "chunk", "fn")
+    """Functions by the bin of their start, chunks in every bin that they touch."""
+    return I.holding(functions(spark, sf), spans(spark, sf), ["file"], "s", "cs", "ce", BIN).where("e <= ce").select("file", "chunk", "fn")
 
 
 @q("point_in_interval", SPANS + " SELECT f.file, chunk, count(*) AS symbols, min(fn) AS first_fn FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e GROUP BY 1, 2")
 def point_in_interval(spark, sf):
-    return functions(spark, sf).join(spans(spark, sf), "file").where("s between cs and ce").groupBy("file", "chunk").agg(F.count("*").alias("symbols"), F.min("fn").alias("first_fn"))
+    return I.holding(functions(spark, sf), spans(spark, sf), ["file"], "s", "cs", "ce", BIN).groupBy("file", "chunk").agg(F.count("*").alias("symbols"), F.min("fn").alias("first_fn"))
 
 
 @q("call_edges", SPANS + " SELECT DISTINCT c.file AS caller_file, chunk, g.fn AS callee FROM f JOIN c ON f.file = c.file AND f.s BETWEEN c.s AND c.e JOIN f g ON g.file = f.file + 1 AND g.s = f.s")
 def call_edges(spark, sf):
     """Calls by interval, callees by name; ambiguous names give several edges, equal ones are one."""
-    at = functions(spark, sf).join(spans(spark, sf), "file").where("s between cs and ce").select(F.col("file").alias("caller_file"), "chunk", "s")
+    at = I.holding(functions(spark, sf), spans(spark, sf), ["file"], "s", "cs", "ce", BIN).select(F.col("file").alias("caller_file"), "chunk", "s")
     g = functions(spark, sf).select((F.col("file") - 1).alias("caller_file"), "s", F.col("fn").alias("callee"))
     return at.join(g, ["caller_file", "s"]).select("caller_file", "chunk", "callee").distinct()
 
