@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.retrieval import bm25_tf, tokens
-from tessera.sources.shared import shared_dir, stored
+from tessera.sources.shared import FOUND, shared_dir, stored
 
 BLOCK, PARTS, SEEDS = 256, 16, 4
 #: Room for the rounding of scores to six decimals.
@@ -80,9 +80,6 @@ class TextIndex:
         return best(early.drop("rank").unionByName(self.scores(asked, opened, rest)))
 
 
-_BUILT: dict = {}
-
-
 def index_of(docs: DataFrame, key: str, text: str = "text") -> TextIndex:
     """The index of these files, built by the first caller of an application and found again as long as no file changes."""
     spark = docs.sparkSession
@@ -90,7 +87,7 @@ def index_of(docs: DataFrame, key: str, text: str = "text") -> TextIndex:
     app = spark.sparkContext.applicationId
     name = hashlib.sha256(repr((app, key, text, [tuple(f) for f in files])).encode()).hexdigest()[:20]
     folder = f"{shared_dir(spark)}/tessera-stored/{app}/text-index-{name}"
-    if folder not in _BUILT:
+    if folder not in FOUND:
         build(docs, folder, key, text)
-        _BUILT[folder] = TextIndex(spark, folder)
-    return _BUILT[folder]
+        FOUND[folder] = TextIndex(spark, folder)
+    return FOUND[folder]

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import chunking as C
+from tessera.operators import hash_tree as H
 from tessera.operators import rules as X
 from tessera.sources.tables import scoped, table
 
@@ -226,18 +227,46 @@ def dir_prefix_join(spark, sf):
     return f.join(t, F.col("path").startswith(F.concat("dir", F.lit("/")))).groupBy("dir").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_id"))
 
 
-MERKLE = FILES + """, a AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha256(count(*) || '|' || sum(size) || '|' || max(doc_id)) AS h FROM files WHERE doc_id % 11 <> 3 GROUP BY 1), b AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha256(count(*) || '|' || sum(size) || '|' || max(doc_id)) AS h FROM files WHERE doc_id % 13 <> 5 GROUP BY 1)"""
+#: Two versions of the files of all projects: those of the first projects lose some files and have some edited.
+VERSIONS = FILES + """, v AS (SELECT path, suffix AS language, size, doc_id % 365 AS modified, len(string_split(text, chr(10))) AS lines, doc_id, starts_with(project, 'src1') AS moving FROM files),
+va AS (SELECT * FROM v WHERE NOT (moving AND doc_id % 11 = 3)), vb AS (SELECT * REPLACE (size + CASE WHEN moving AND doc_id % 17 = 1 THEN 1 ELSE 0 END AS size) FROM v WHERE NOT (moving AND doc_id % 13 = 5))"""
+OWN = """SELECT dir, sha256('{{"file_count": ' || count(path) || ', "languages": [' || coalesce(array_to_string(list_transform(list_sort(list(DISTINCT language) FILTER (language IS NOT NULL)), lambda x: '"' || x || '"'), ', '), '') || '], "last_modified": ' || coalesce(max(modified), 0) || ', "path": "' || dir || '", "size_bytes": ' || coalesce(sum(size), 0) || ', "total_lines": ' || coalesce(sum(lines), 0) || '}}') AS own
+FROM (SELECT unnest([regexp_replace(path, '/[^/]*$', ''), regexp_replace(path, '/[^/]*/[^/]*$', ''), split_part(path, '/', 1), '']) AS dir, unnest([path, NULL, NULL, NULL]) AS path, unnest([language, NULL, NULL, NULL]) AS language, unnest([modified, NULL, NULL, NULL]) AS modified, unnest([size, NULL, NULL, NULL]) AS size, unnest([lines, NULL, NULL, NULL]) AS lines FROM {0}) GROUP BY dir"""
+OWNS = VERSIONS + ", oa AS (" + OWN.format("va") + "), ob AS (" + OWN.format("vb") + ")"
 
 
-@q("merkle_diff", MERKLE + " SELECT coalesce(a.dir, b.dir) AS dir, CASE WHEN a.dir IS NULL THEN 'added' WHEN b.dir IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.dir = b.dir WHERE a.h IS DISTINCT FROM b.h")
+def versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    f = files(spark, sf)
+    v = f.select("path", F.col("suffix").alias("language"), "size", (F.col("doc_id") % 365).alias("modified"), F.size(F.split("text", "\n")).cast("long").alias("lines"), "doc_id", F.col("project").startswith("src1").alias("moving"))
+    moved = lambda n, r: F.col("moving") & (F.col("doc_id") % n == r)
+    return v.where(~moved(11, 3)), v.where(~moved(13, 5)).withColumn("size", F.col("size") + moved(17, 1).cast("long"))
+
+
+@q("merkle_diff", OWNS + " SELECT coalesce(oa.dir, ob.dir) AS dir, CASE WHEN oa.own IS NULL THEN 'added' WHEN ob.own IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM oa FULL JOIN ob ON oa.dir = ob.dir WHERE oa.own IS DISTINCT FROM ob.own")
 def merkle_diff(spark, sf):
-    def side(keep):
-        f = files(spark, sf).where(keep).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
-        return f.groupBy("dir").agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum("size").cast("string"), F.max("doc_id").cast("string")), 256).alias("h"))
+    """Changed directories: levels below equal hashes are not compared."""
+    a, b = versions(spark, sf)
+    return H.differing(H.tree(a), H.tree(b))
+
+
+@q("merkle_diff_under", OWNS + " SELECT coalesce(oa.dir, ob.dir) AS dir, CASE WHEN oa.own IS NULL THEN 'added' WHEN ob.own IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM oa FULL JOIN ob ON oa.dir = ob.dir WHERE oa.own IS DISTINCT FROM ob.own AND starts_with(coalesce(oa.dir, ob.dir) || '/', 'src1/')")
+def merkle_diff_under(spark, sf):
+    """As ``merkle_diff``, within one project."""
+    a, b = versions(spark, sf)
+    return H.differing(H.tree(a), H.tree(b), "src1")
+
+
+FOLD = "sha256(o.own || '|' || coalesce(k.kids, 0) || '|' || coalesce(k.s0, 0) || '|' || coalesce(k.s1, 0) || '|' || coalesce(k.s2, 0) || '|' || coalesce(k.s3, 0))"
+KIDS = "SELECT {1} AS dir, count(*) AS kids, " + ", ".join(f"sum(('0x' || substr(hash, {1 + 15 * i}, 15))::HUGEINT) AS s{i}" for i in range(4)) + " FROM {0} GROUP BY 1"
 
-    a, b = side(F.col("doc_id") % 11 != 3), side(F.col("doc_id") % 13 != 5)
-    j = a.withColumnRenamed("h", "ha").join(b.withColumnRenamed("h", "hb"), "dir", "full").where(~F.col("ha").eqNullSafe(F.col("hb")))
-    return j.select("dir", F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "deleted").otherwise("modified").alias("change"))
+
+@q("hash_tree", OWNS + f""", o AS (SELECT dir, own, CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS depth FROM oa), k AS (SELECT 0::BIGINT AS kids, 0::HUGEINT AS s0, 0::HUGEINT AS s1, 0::HUGEINT AS s2, 0::HUGEINT AS s3),
+l3 AS (SELECT dir, {FOLD} AS hash FROM o, k WHERE depth = 3), k2 AS ({KIDS.format('l3', "regexp_replace(dir, '/[^/]*$', '')")}), l2 AS (SELECT o.dir, {FOLD} AS hash FROM o JOIN k2 k USING (dir)),
+k1 AS ({KIDS.format('l2', "regexp_replace(dir, '/[^/]*$', '')")}), l1 AS (SELECT o.dir, {FOLD} AS hash FROM o JOIN k1 k USING (dir)), k0 AS ({KIDS.format('l1', "''")}), l0 AS (SELECT o.dir, {FOLD} AS hash FROM o JOIN k0 k USING (dir))
+SELECT * FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0""")
+def hash_tree(spark, sf):
+    """The tree hash of every directory."""
+    return H.tree(versions(spark, sf)[0]).select("dir", "hash")
 
 
 @q("page_links", "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))::BIGINT AS links, (len(html) - len(replace(html, chr(10), '')) + 1)::BIGINT AS lines, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS text_chars FROM pages")
@@ -286,17 +315,6 @@ def text_chunks(spark, sf):
     return C.chunked(files(spark, sf), "doc_id", "suffix")
 
 
-@q("code_structure")
-def code_structure(spark, sf):
-    """Imports, definitions and calls found in page sources."""
-
-    @F.pandas_udf("imports array<string>, functions array<string>, classes array<string>, calls array<string>, complexity int")
-    def parse(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([C.structure(x) | {"complexity": C.ast_complexity(x) or 0} for x in s])
-
-    return table(spark, sf, "pages", "page_id", "html").select("page_id", parse(F.coalesce("html", F.lit(""))).alias("s")).select("page_id", "s.*")
-
-
 @q("fallback_embeddings")
 def fallback_embeddings(spark, sf):
     """Deterministic unit vectors seeded by the text's md5."""

@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import vector_index as VI
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import FOUND, shared_dir
 from tessera.sources.tables import table
 
 Q: dict = {}
 EVERY, K = 100, 10
 #: Recall that the probed lists reach on the rows whose id is divisible by ``TUNED_ON``; the queries are other rows but for common multiples.
 RECALL, TUNED_ON = 0.95, 97
-_BUILT: dict = {}
 
 
 def q(name: str, sql: str | None = None):
@@ -40,9 +39,9 @@ def vector_index(spark, sf) -> VI.VectorIndex:
     app = spark.sparkContext.applicationId
     name = hashlib.sha256(repr((app, [tuple(f) for f in files])).encode()).hexdigest()[:20]
     folder = f"{shared_dir(spark)}/tessera-stored/{app}/vector-index-{name}"
-    if folder not in _BUILT:
+    if folder not in FOUND:
         VI.build(vectors(spark, sf), folder, "vec_id")
-        _BUILT[folder] = None
+        FOUND[folder] = None
     return VI.VectorIndex(spark, folder, "vec_id")
 
 
@@ -50,10 +49,10 @@ def probes(spark, sf) -> int:
     """Lists a query that reach ``RECALL`` on another set of queries, measured once against the exact result."""
     index = vector_index(spark, sf)
     folder = next(f for f in index.rows.inputFiles()).split("/rows/")[0]
-    if _BUILT.get(folder) is None:
+    if FOUND.get(folder) is None:
         tuned = queries(spark, sf, TUNED_ON)
-        _BUILT[folder] = index.probes_for(tuned, index.exact(tuned, K), RECALL)
-    return _BUILT[folder]
+        FOUND[folder] = index.probes_for(tuned, index.exact(tuned, K), RECALL)
+    return FOUND[folder]
 
 
 COS = """

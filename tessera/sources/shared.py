@@ -19,9 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, for plans that use it several times; a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder (in folders of the columns ``by``) and read back, for plans that use it several times; a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-stored/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder (stored tables and indexes, work tables, streams), once no result that reads them is needed."""
+    app = spark.sparkContext.applicationId
+    for root in ("tessera-stored", "tessera-work", "tessera-streams"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{root}/{app}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    FOUND.clear()
+
+
+#: Indexes of this application by folder.
+FOUND: dict = {}

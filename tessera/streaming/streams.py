@@ -13,7 +13,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tessera-streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tessera-streams/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 10) -> DataFrame:
