@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import chunking as C
+from tessera.operators import edits as E
 from tessera.operators import hash_tree as H
 from tessera.operators import rules as X
 from tessera.sources.tables import scoped, table
@@ -269,6 +270,41 @@ def hash_tree(spark, sf):
     return H.tree(versions(spark, sf)[0]).select("dir", "hash")
 
 
+#: A second version of each document: lines edited, dropped and put in, by their number and the document's.
+EDITED = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, list_filter(list_transform(l, lambda x, i: CASE WHEN (i + doc_id) % 11 = 5 THEN NULL WHEN (i + doc_id) % 7 = 3 THEN x || ' edited' WHEN (i + doc_id) % 13 = 1 THEN x || chr(10) || 'a new line' ELSE x END), lambda x: x IS NOT NULL) AS l FROM d)"""
+
+
+def edited(spark, sf) -> DataFrame:
+    """(doc_id, old, new)."""
+    at = lambda i, n, r: (i + 1 + F.col("doc_id")) % n == r
+    line = lambda x, i: F.when(at(i, 11, 5), None).when(at(i, 7, 3), F.concat(x, F.lit(" edited"))).when(at(i, 13, 1), F.concat(x, F.lit("\na new line"))).otherwise(x)
+    d = table(spark, sf, "documents", "doc_id", "text").where("text is not null")
+    return d.select("doc_id", F.col("text").alias("old"), F.array_join(F.array_compact(F.transform(F.split("text", "\n", -1), line)), "\n").alias("new"))
+
+
+@q("edited_texts", EDITED + " SELECT doc_id, md5(array_to_string(l, chr(10))) AS hash FROM n")
+def edited_texts(spark, sf):
+    """The old texts with the shortest edit scripts applied give the new ones."""
+    v = edited(spark, sf)
+    scripts = E.edit_scripts(v, "doc_id")
+    return E.apply_scripts(v.select("doc_id", "old"), scripts, "doc_id").select("doc_id", F.md5("new").alias("hash"))
+
+
+@q("edit_scripts")
+def edit_scripts(spark, sf):
+    """Hunks of a shortest script between two versions of each document."""
+    s = E.edit_scripts(edited(spark, sf), "doc_id")
+    return s.select("doc_id", "a", "b", "c", "d", F.size("put").alias("put"))
+
+
+@q("rechunked")
+def rechunked(spark, sf):
+    """Chunks of the second version, and whether each was kept from the first."""
+    return E.rechunk(edited(spark, sf), "doc_id", 400)
+
+
 @q("page_links", "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))::BIGINT AS links, (len(html) - len(replace(html, chr(10), '')) + 1)::BIGINT AS lines, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS text_chars FROM pages")
 def page_links(spark, sf):
     p = table(spark, sf, "pages", "page_id", "html")
