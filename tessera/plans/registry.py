@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold ``Q``, a dict name -> (function, SQL or None).
-MODULES: tuple[str, ...] = ("code", "corpus", "events", "graph", "indexes", "jobs", "retrieval", "search", "streams")
+MODULES: tuple[str, ...] = ("code", "corpus", "edges", "events", "graph", "indexes", "jobs", "retrieval", "search", "streams")
 
 
 def _all() -> dict:
