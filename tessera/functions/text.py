@@ -14,8 +14,18 @@ MARKERS = {
     "security": "password|secret|token|api[_-]?key",
     "license": "license|copyright",
 }
-#: Prompt-injection patterns.
-INJECTION = ["ignore (all )?(previous|above) instructions", "system prompt", "you are now", "<script", "drop table", "union select"]
+#: Prompt-injection patterns, met without regard to case; other detectors must find the same texts.
+INJECTION = [
+    r"ignore\s+(?:previous|prior|all|your)\s+instructions?", r"disregard\s+(?:previous|prior|all|your)\s+(?:instructions?|prompts?)", r"forget\s+(?:everything|all|your)\s+(?:above|before|prior)",
+    r"system\s*(?:prompt|message|instruction)", r"you\s+are\s+(?:now|actually)\s+a?\s*(?:different|new)", r"your\s+(?:role|purpose|function)\s+is\s+(?:now|actually)",
+    r"(?:pretend|imagine|roleplay)\s+(?:you|to)\s+(?:are|be)", r"act\s+(?:as|like)\s+(?:a|an)?", r"simulate\s+(?:a|an|being)\s+",
+    r"developer\s+mode", r"debug\s+mode", r"admin\s+mode", r"sudo\s+mode",
+    r"what\s+(?:are|were)\s+(?:your|the)\s+(?:instructions|prompts?)", r"show\s+me\s+(?:your|the)\s+(?:system|original)\s+prompt", r"repeat\s+(?:your|the)\s+(?:instructions|prompt)",
+    r"<\s*script\s*>", r"javascript\s*:", r"eval\s*\(", r"exec\s*\(",
+    r"union\s+select", r"drop\s+table", r"delete\s+from", r"insert\s+into",
+    r";\s*(?:rm|cat|ls|pwd|whoami)", r"\|\s*(?:nc|netcat|curl|wget)", r"`[^`]*`",
+    r"\{\{.*\}\}", r"\{%.*%\}", r"\$\{.*\}",
+]
 #: Suffix to language.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "md": "markdown", "html": "html", "txt": "text"}
 

@@ -44,3 +44,13 @@ def penalties(files: DataFrame, rules: DataFrame, key: str, path: str = "path")
     d = rules.where("action = 'deprioritize'").select("regex", "weight")
     fits = files.select(key, path).join(d, F.rlike(F.col(path), F.col("regex"))).groupBy(key).agg(F.max("weight").alias("penalty"))
     return files.join(fits, key, "left").withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """(line, project, action, kind, pattern, weight) of ``lines(line, project, text)``: comments and blanks go; a penalty without a weight is a half."""
+    text = F.trim("text")
+    soft, rest = text.startswith("!deprioritize:"), F.regexp_replace(text, "^(!deprioritize:|regex:)", "")
+    given = F.try_element_at(F.split(rest, ","), F.lit(2)).cast("double")
+    return lines.where((text != "") & ~text.startswith("#")).select(
+        "line", "project", F.when(soft, "deprioritize").otherwise("exclude").alias("action"), F.when(text.startswith("regex:"), "regex").otherwise("glob").alias("kind"),
+        F.substring_index(rest, ",", 1).alias("pattern"), F.when(soft, F.coalesce(given, F.lit(0.5))).otherwise(1.0).alias("weight"))

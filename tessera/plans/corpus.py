@@ -66,11 +66,6 @@ def rule_penalty(spark, sf):
     return X.penalties(files(spark, sf).select("doc_id", "path"), X.rule_table(spark, RULES), "doc_id").select("doc_id", "penalty")
 
 
-@q("rule_counts", "SELECT 'exclude' AS action, 3::BIGINT AS n UNION ALL SELECT 'deprioritize', 2")
-def rule_counts(spark, sf):
-    return X.rule_table(spark, RULES).groupBy("action").agg(F.count("*").alias("n"))
-
-
 @q("penalty_rerank", FILES + f", r AS (SELECT doc_id, round(size / 1000.0 * (1 - {PEN}), 6) AS score FROM files WHERE NOT ({EXCL})) SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 25")
 def penalty_rerank(spark, sf):
     """Exclude, penalise, order."""

@@ -455,9 +455,11 @@ def purged_project(spark, sf):
     return S.delete(table(spark, sf, "customer", "c_custkey", "c_nationkey"), gone, ["c_nationkey"])
 
 
-@q("stable_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 10")
+@q("stable_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= greatest(10, least(n // 100, 1000))")
 def stable_sample(spark, sf):
-    return S.stable_sample(table(spark, sf, "documents", "doc_id"), "doc_id", 10)
+    """A hundredth of the documents, within 10 and 1,000."""
+    d = table(spark, sf, "documents", "doc_id")
+    return S.stable_sample(d, "doc_id", S.sample_size(d.count()))
 
 
 @q("zip_by_id", "SELECT d.doc_id, e.label, left(d.text, 20) AS head FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
@@ -489,6 +491,26 @@ def schema_conformance(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(missing).alias("failed"))
 
 
+#: Relationships of the catalog: type, label of the source, label of the target.
+RELATIONS = [("SUPPLIES", "supplier", "part"), ("CONTAINS", "order", "part"), ("PLACED", "customer", "order")]
+
+
+@q("relation_conformance", "WITH c(rel, a, b) AS (VALUES " + ", ".join(map(str, RELATIONS)) + """),
+e AS (SELECT 'SUPPLIES' AS rel, CASE WHEN l_linenumber = 7 THEN 'order' ELSE 'supplier' END AS a, 'part' AS b FROM lineitem UNION ALL SELECT 'CONTAINS', 'order', 'part' FROM lineitem
+  UNION ALL SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'OWNS' ELSE 'PLACED' END, 'customer', CASE WHEN o_orderkey % 40 = 1 THEN 'part' ELSE 'order' END FROM orders)
+SELECT e.rel, e.a AS source, e.b AS target, count(*) AS n, e.rel IN (SELECT rel FROM c) AS declared, bool_or(c.rel IS NOT NULL) AS allowed FROM e LEFT JOIN c ON c.rel = e.rel AND c.a = e.a AND c.b = e.b GROUP BY e.rel, e.a, e.b""")
+def relation_conformance(spark, sf):
+    """Edges by type and labels of their ends: whether the type is declared, and allowed between these labels."""
+    c = F.broadcast(spark.createDataFrame(RELATIONS, "rel string, source string, target string"))
+    line, order = table(spark, sf, "lineitem", "l_linenumber"), table(spark, sf, "orders", "o_orderkey")
+    edge = lambda df, r, a, b: df.select(r.alias("rel"), a.alias("source"), b.alias("target"))
+    e = edge(line, F.lit("SUPPLIES"), F.when(F.col("l_linenumber") == 7, "order").otherwise("supplier"), F.lit("part")).unionByName(edge(line, F.lit("CONTAINS"), F.lit("order"), F.lit("part")))
+    e = e.unionByName(edge(order, F.when(F.col("o_orderkey") % 50 == 0, "OWNS").otherwise("PLACED"), F.lit("customer"), F.when(F.col("o_orderkey") % 40 == 1, "part").otherwise("order")))
+    known, pair = c.select("rel").distinct().withColumn("declared", F.lit(True)), c.withColumn("allowed", F.lit(True))
+    d = e.groupBy("rel", "source", "target").agg(F.count("*").alias("n")).join(F.broadcast(known), "rel", "left").join(F.broadcast(pair), ["rel", "source", "target"], "left")
+    return d.select("rel", "source", "target", "n", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("allowed", F.lit(False)).alias("allowed"))
+
+
 @q("schema_diff", "WITH d(name) AS (VALUES ('signup'), ('click'), ('view'), ('refund')), a AS (SELECT DISTINCT event_type AS name FROM events) SELECT name, 'undeclared' AS kind FROM a WHERE name NOT IN (SELECT name FROM d) UNION ALL SELECT name, 'unused' FROM d WHERE name NOT IN (SELECT name FROM a)")
 def schema_diff(spark, sf):
     d = spark.createDataFrame([("signup",), ("click",), ("view",), ("refund",)], "name string")

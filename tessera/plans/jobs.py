@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators import metrics as M
+from tessera.operators import rules as X
 from tessera.operators import sync as S
+from tessera.operators.numbering import numbered
 from tessera.sources.tables import table
 
 Q: dict = {}
@@ -172,21 +174,22 @@ def merged_edges(spark, sf):
 
 
 @q("dual_write_outcomes", """
-WITH w AS (SELECT doc_id, text IS NOT NULL AND text <> '' AS graph_ok, n_chars <= 5000 AS vector_ok FROM documents)
-SELECT doc_id, CASE WHEN NOT graph_ok THEN 'graph_failed' WHEN vector_ok THEN 'written' ELSE 'rolled_back' END AS outcome, CASE WHEN NOT graph_ok THEN 1 WHEN vector_ok THEN 2 ELSE 3 END AS steps, graph_ok AND vector_ok AS in_graph, graph_ok AND vector_ok AS in_vectors FROM w""")
+WITH w AS (SELECT doc_id, text IS NOT NULL AND text <> '' AS graph_ok, EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id) AS vector_ok FROM documents)
+SELECT doc_id, CASE WHEN NOT graph_ok THEN 'graph_failed' WHEN vector_ok THEN 'written' ELSE 'rolled_back' END AS outcome, CASE WHEN NOT graph_ok THEN 1 WHEN vector_ok THEN 2 ELSE 3 END::BIGINT AS steps, graph_ok AND vector_ok AS in_graph, graph_ok AND vector_ok AS in_vectors FROM w""")
 def dual_write_outcomes(spark, sf):
-    """Graph first, vector second; a vector failure takes the graph row back.  Both stores come from the rows that passed both checks."""
-    graph = F.col("text").isNotNull() & (F.col("text") != "")
-    vector, both = F.col("n_chars") <= 5000, (F.col("text").isNotNull() & (F.col("text") != "") & (F.col("n_chars") <= 5000))
-    return table(spark, sf, "documents", "doc_id", "text", "n_chars").select(
-        "doc_id", F.when(~graph, "graph_failed").when(vector, "written").otherwise("rolled_back").alias("outcome"), F.when(~graph, 1).when(vector, 2).otherwise(3).alias("steps"), both.alias("in_graph"), both.alias("in_vectors"))
+    """Chunks written to two stores, the graph first: what the event log and both stores hold afterwards.  A chunk without text fails in the graph, one without a vector in the second store."""
+    rows = table(spark, sf, "documents", "doc_id", "text").join(table(spark, sf, "embeddings", F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    graph, vectors, events = S.dual_write(rows, "doc_id", F.col("text").isNotNull() & (F.col("text") != ""), F.col("embedding").isNotNull(), ["text"], ["embedding"])
+    held = lambda t, n: t.select("doc_id", F.lit(True).alias(n))
+    d = events.groupBy("doc_id").agg(F.max_by("status", "step").alias("outcome"), F.count("*").alias("steps")).join(held(graph, "in_graph"), "doc_id", "left").join(held(vectors, "in_vectors"), "doc_id", "left")
+    return d.select("doc_id", "outcome", "steps", F.coalesce("in_graph", F.lit(False)).alias("in_graph"), F.coalesce("in_vectors", F.lit(False)).alias("in_vectors"))
 
 
 @q("upsert_batches", "SELECT (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 100 AS batch, label, vec_id FROM embeddings")
 def upsert_batches(spark, sf):
     """Points of a collection in batches of a hundred."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf, "embeddings", "vec_id", "label").select(F.floor((F.row_number().over(w) - 1) / 100).alias("batch"), "label", "vec_id")
+    n = numbered(table(spark, sf, "embeddings", "vec_id", "label"), ["label"], ["vec_id"], ["vec_id"])
+    return n.select(F.floor((F.col("n") - 1) / 100).alias("batch"), "label", "vec_id")
 
 
 @q("deleted_by_ids", "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -223,8 +226,8 @@ def repair_batches(spark, sf):
     a = table(spark, sf, "documents", "doc_id", "n_chars").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 10).cast("string").alias("h"))
     b = table(spark, sf, "embeddings", "vec_id", "label").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("h"))
     plan = S.repair_plan(S.compare(a, b, "id", "h"), "id")
-    batch = F.floor((F.row_number().over(Window.partitionBy("action").orderBy("id")) - 1) / 50)
-    return plan.select("id", "action", batch.alias("batch"), F.floor(batch / 4).alias("minute"))
+    batch = F.floor((F.col("n") - 1) / 50)
+    return numbered(plan, ["action"], ["id"], ["id"]).select("id", "action", batch.alias("batch"), F.floor(batch / 4).alias("minute"))
 
 
 COMMITS = "WITH c AS (SELECT event_type || '/' || (user_id % 9) AS path, ts, user_id AS author, left(md5(event_id::VARCHAR), 8) AS sha, event_id FROM events), n AS (SELECT max(ts) AS now FROM events)"
@@ -241,18 +244,45 @@ def commit_metrics(spark, sf):
 
 #: Canon levels and their weights.
 LEVELS = [("primary", 1.0), ("secondary", 0.7), ("reference", 0.4), ("deprecated", 0.1), ("experimental", 0.3)]
-RULE_LINES = ["# comment", "", "dist/**", "regex:^build/.*", "!deprioritize:*.md,0.4", "!deprioritize:docs/*"]
 
 
-@q("parsed_rules", "SELECT * FROM (VALUES (3, 'exclude', 'glob', 'dist/**', 1.0::DOUBLE), (4, 'exclude', 'regex', '^build/.*', 1.0), (5, 'deprioritize', 'glob', '*.md', 0.4), (6, 'deprioritize', 'glob', 'docs/*', 0.5)) v(line, action, kind, pattern, weight)")
+#: Rule files of projects: a line a supplier.
+RULE_LINES = """
+WITH r AS (SELECT s_suppkey AS line, 'project-' || s_nationkey AS project, CASE s_suppkey % 6 WHEN 0 THEN '# rule ' || s_suppkey WHEN 1 THEN '  ' WHEN 2 THEN 'dist/v' || s_suppkey || '/**' WHEN 3 THEN 'regex:^build/' || s_suppkey || '/.*'
+  WHEN 4 THEN ' !deprioritize:*/p' || s_suppkey || '.md,0.' || (s_suppkey % 9 + 1) ELSE '!deprioritize:docs/' || s_suppkey || '/*' END AS text FROM supplier),
+p AS (SELECT line, project, CASE WHEN starts_with(trim(text), '!deprioritize:') THEN 'deprioritize' ELSE 'exclude' END AS action, CASE WHEN starts_with(trim(text), 'regex:') THEN 'regex' ELSE 'glob' END AS kind,
+  regexp_replace(trim(text), '^(!deprioritize:|regex:)', '') AS rest FROM r WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')),
+parsed AS (SELECT line, project, action, kind, split_part(rest, ',', 1) AS pattern, CASE WHEN action = 'exclude' THEN 1.0 ELSE coalesce(nullif(split_part(rest, ',', 2), '')::DOUBLE, 0.5) END::DOUBLE AS weight FROM p)"""
+
+
+def rule_lines(spark, sf) -> DataFrame:
+    """(line, project, text) of the projects' rule files."""
+    k = F.col("s_suppkey").cast("string")
+    soft = F.concat(F.lit(" !deprioritize:*/p"), k, F.lit(".md,0."), (F.col("s_suppkey") % 9 + 1).cast("string"))
+    n = F.col("s_suppkey") % 6
+    text = F.when(n == 0, F.concat(F.lit("# rule "), k)).when(n == 1, "  ").when(n == 2, F.concat(F.lit("dist/v"), k, F.lit("/**"))).when(n == 3, F.concat(F.lit("regex:^build/"), k, F.lit("/.*"))).when(n == 4, soft).otherwise(F.concat(F.lit("!deprioritize:docs/"), k, F.lit("/*")))
+    return table(spark, sf, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("project-"), F.col("s_nationkey").cast("string")).alias("project"), text.alias("text"))
+
+
+@q("parsed_rules", RULE_LINES + " SELECT * FROM parsed")
 def parsed_rules(spark, sf):
-    """Lines of a rule file as rules: comments and blanks go; a penalty without a weight is a half."""
-    t = spark.createDataFrame(list(enumerate(RULE_LINES, 1)), "line int, text string").where("trim(text) <> '' and not startswith(text, '#')")
-    soft, pattern = F.col("text").startswith("!deprioritize:"), F.regexp_replace("text", "^(!deprioritize:|regex:)", "")
-    weight = F.when(soft, F.coalesce(F.try_element_at(F.split(pattern, ","), F.lit(2)).cast("double"), F.lit(0.5))).otherwise(1.0)
-    return t.select("line", F.when(soft, "deprioritize").otherwise("exclude").alias("action"), F.when(F.col("text").startswith("regex:"), "regex").otherwise("glob").alias("kind"), F.substring_index(pattern, ",", 1).alias("pattern"), weight.alias("weight"))
+    """Lines of rule files as rules: comments and blanks go; a penalty without a weight is a half."""
+    return X.parsed(rule_lines(spark, sf))
+
+
+@q("rule_counts", RULE_LINES + " SELECT project, action, count(*) AS n FROM parsed GROUP BY 1, 2")
+def rule_counts(spark, sf):
+    """Rules of each project by action."""
+    return parsed_rules(spark, sf).groupBy("project", "action").agg(F.count("*").alias("n"))
 
 
-@q("canon_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {w}::DOUBLE)" for k, w in LEVELS) + ") v(level, weight)")
+@q("canon_weights", """
+WITH l(level, usual) AS (VALUES """ + ", ".join(f"('{k}', {w}::DOUBLE)" for k, w in LEVELS) + """), e AS (SELECT s_suppkey AS entry, 'src/p' || s_suppkey || '/**' AS pattern, (['primary', 'secondary', 'reference', 'deprecated', 'experimental', 'unknown'])[s_suppkey % 6 + 1] AS level, CASE WHEN s_suppkey % 4 = 1 THEN (s_suppkey % 10) / 10.0::DOUBLE END AS weight FROM supplier)
+SELECT entry, pattern, e.level, round(coalesce(weight, usual, 0.5), 6)::DOUBLE AS weight FROM e LEFT JOIN l ON e.level = l.level""")
 def canon_weights(spark, sf):
-    return spark.createDataFrame(LEVELS, "level string, weight double")
+    """Entries of canon configurations with their weights: their own, else that of the level, else a half."""
+    levels = F.broadcast(spark.createDataFrame(LEVELS, "level string, usual double"))
+    k = F.col("s_suppkey")
+    level = F.element_at(F.array(*[F.lit(x) for x, _ in LEVELS], F.lit("unknown")), (k % 6 + 1).cast("int"))
+    e = table(spark, sf, "supplier", "s_suppkey").select(k.alias("entry"), F.concat(F.lit("src/p"), k.cast("string"), F.lit("/**")).alias("pattern"), level.alias("level"), F.when(k % 4 == 1, (k % 10) / 10.0).alias("weight"))
+    return e.join(levels, "level", "left").select("entry", "pattern", "level", F.round(F.coalesce("weight", "usual", F.lit(0.5)), 6).alias("weight"))

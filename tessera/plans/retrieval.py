@@ -416,13 +416,17 @@ def memory_search(spark, sf):
 
 
 @q("batch_rerank", """
-WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), x AS (SELECT vec_id AS query_id, e AS q FROM p WHERE vec_id < 5),
-s AS (SELECT query_id, vec_id, round(list_dot_product(e, q), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e, q), 6) DESC, vec_id) AS r FROM p, x WHERE vec_id <> query_id)
+WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), x AS (SELECT vec_id AS query_id, e AS q FROM p WHERE vec_id % 100 = 0),
+c AS (SELECT query_id, vec_id, list_dot_product(e, q) AS dot, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) DESC, vec_id) AS near FROM p, x),
+s AS (SELECT query_id, vec_id, round(dot, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 6) DESC, vec_id) AS r FROM c WHERE near <= 9 AND vec_id <> query_id)
 SELECT query_id, vec_id, score, r AS place FROM s WHERE r <= 4""")
 def batch_rerank(spark, sf):
     """Over-fetch per query, score, cut."""
-    x = F.broadcast(points(spark, sf).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    s = points(spark, sf).join(x, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(V.dot("embedding", "q"), 6).alias("score"))
+    from tessera.plans.indexes import queries, vector_index
+
+    near = vector_index(spark, sf).exact(queries(spark, sf), 9).where("vec_id <> qid").select(F.col("qid").alias("query_id"), "vec_id")
+    point = lambda i, v: points(spark, sf).select(F.col("vec_id").alias(i), F.col("embedding").alias(v))
+    s = near.join(point("vec_id", "e"), "vec_id").join(point("query_id", "q"), "query_id").select("query_id", "vec_id", F.round(V.dot("e", "q"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 4")
 

@@ -9,6 +9,7 @@ from tessera.functions import vectors as V
 from tessera.operators import retrieval as R
 from tessera.operators import rules as X
 from tessera.plans.corpus import EXCL, FILES, PEN, RULES, files
+from tessera.plans.indexes import queries, vector_index
 from tessera.plans.retrieval import HITS, TERMS, dense, docs, hits, lexical, points
 from tessera.sources.shared import stored
 from tessera.sources.tables import table
@@ -28,15 +29,26 @@ def best(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("score"), "doc_id").limit(n)
 
 
-CASCADE = HITS + """, dirs AS (SELECT d.source AS dir, avg(score) AS m FROM den JOIN documents d USING (doc_id) GROUP BY 1), top AS (SELECT dir FROM dirs WHERE m >= {dir} ORDER BY m DESC, dir LIMIT 3),
+CASCADE = HITS + """, dirs AS (SELECT d.source AS dir, avg(score) AS m FROM den JOIN documents d USING (doc_id) GROUP BY 1), xm AS (SELECT i, avg(x) AS m FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM p JOIN embeddings USING (vec_id) WHERE label = 3) GROUP BY 1),
+xq AS (SELECT list(0.5 * pq.q[i] + 0.5 * m ORDER BY i) AS q FROM xm, pq), wide AS (SELECT vec_id AS doc_id, round(list_dot_product(e, q), 6) AS score FROM p, xq),
+top AS (SELECT dir FROM dirs WHERE m >= {dir} ORDER BY m DESC, dir LIMIT 3),
 sg AS (SELECT 0 AS stage, doc_id, score FROM (SELECT den.doc_id, score FROM den JOIN documents d USING (doc_id) JOIN top ON d.source = top.dir WHERE score >= {hit} ORDER BY score DESC, doc_id LIMIT 10)
-UNION ALL SELECT 1, doc_id, score FROM (SELECT * FROM den WHERE score >= {strong} ORDER BY score DESC, doc_id LIMIT 10)
+UNION ALL SELECT 1, doc_id, score FROM (SELECT * FROM wide WHERE score >= {strong} ORDER BY score DESC, doc_id LIMIT 10)
 UNION ALL SELECT 2, doc_id, score FROM (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM rk WHERE score >= {fused} GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10)
 UNION ALL SELECT 3, doc_id, score FROM (SELECT * FROM den WHERE score >= {plain} ORDER BY score DESC, doc_id LIMIT 10)
 UNION ALL SELECT 4, doc_id, score FROM (SELECT doc_id, 0.5 AS score FROM documents WHERE contains(text, 'License') ORDER BY doc_id LIMIT 10))
 SELECT stage, doc_id, score::DOUBLE AS score FROM sg WHERE stage = (SELECT min(stage) FROM sg)"""
 
 
+def expanded(spark, sf) -> DataFrame:
+    """Scores of all points for the expanded query: half the query and half the mean of its synthetic documents (here: the vectors of one label), by dimension."""
+    own = points(spark, sf).where("vec_id = 0").select(F.posexplode("embedding").alias("i", "x"))
+    mean = points(spark, sf).where("label = 3").select(F.posexplode("embedding").alias("i", "y")).groupBy("i").agg(F.avg(F.col("y").cast("double")).alias("m"))
+    both = own.join(mean, "i").select("i", (0.5 * F.col("x").cast("double") + 0.5 * F.col("m")).alias("v"))
+    one = both.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("q"))  # as many values as a vector has
+    return points(spark, sf).crossJoin(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), F.round(V.dot("embedding", "q"), 6).alias("score"))
+
+
 def cascade(spark, sf, dir: float, hit: float, strong: float, fused: float, plain: float) -> DataFrame:
     """Five stages, the first with any hit wins: files of the best directories, expanded query, fused lists, plain vectors, text in the graph."""
     d = dense(spark, sf)
@@ -45,7 +57,7 @@ def cascade(spark, sf, dir: float, hit: float, strong: float, fused: float, plai
     by_dir = d.where(F.col("score") >= hit).join(owner, "doc_id").join(top, "dir").select("doc_id", "score")
     lists = R.ranked(hits(spark, sf), "src", "doc_id").where(F.col("score") >= fused).groupBy("doc_id").agg(F.round(F.sum(1 / (R.RRF_K + F.col("rank"))), 9).alias("score"))
     text = docs(spark, sf).where(F.col("text").contains("License")).select("doc_id", F.lit(0.5).alias("score"))
-    return R.first_stage(*[best(x, 10) for x in (by_dir, d.where(F.col("score") >= strong), lists, d.where(F.col("score") >= plain), text)]).select("stage", "doc_id", "score")
+    return R.first_stage(*[best(x, 10) for x in (by_dir, expanded(spark, sf).where(F.col("score") >= strong), lists, d.where(F.col("score") >= plain), text)]).select("stage", "doc_id", "score")
 
 
 #: Thresholds under which each stage in turn is the first with a hit.
@@ -70,18 +82,18 @@ def memory_modes(spark, sf):
 
 
 @q("similar_functions", """
-WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), x AS (SELECT vec_id AS qid, e AS q FROM p WHERE vec_id < 5),
-s AS (SELECT qid, vec_id, round(list_dot_product(e, q), 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(e, q), 6) DESC, vec_id) AS r FROM p, x WHERE vec_id <> qid),
-f AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS place FROM s WHERE r <= 20 AND vec_id IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)) SELECT qid, vec_id, score, place FROM f WHERE place <= 10""")
+WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), x AS (SELECT vec_id AS qid, e AS q FROM p WHERE vec_id % 100 = 0),
+c AS (SELECT qid, vec_id, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS score FROM p, x),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM c),
+f AS (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS place FROM s WHERE r <= 21 AND vec_id <> qid AND vec_id IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)) SELECT qid, vec_id, score, place FROM f WHERE place <= 10""")
 def similar_functions(spark, sf):
-    """For each query function twice the wanted hits, then those that are functions (here: parts of even size)."""
+    """For each query function twice the wanted hits from the vector index, then those that are functions (here: parts of even size)."""
     from pyspark.sql.window import Window
 
-    x = F.broadcast(points(spark, sf).where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
-    s = points(spark, sf).join(x, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", F.round(V.dot("embedding", "q"), 6).alias("score"))
+    s = vector_index(spark, sf).exact(queries(spark, sf), 21).where("vec_id <> qid").drop("rank")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     functions = table(spark, sf, "part", "p_partkey", "p_size").where("p_size % 2 = 0").select(F.col("p_partkey").alias("vec_id"))
-    near = s.withColumn("r", F.row_number().over(w)).where("r <= 20").drop("r").join(functions, "vec_id", "left_semi")
+    near = s.join(functions, "vec_id", "left_semi")
     return near.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("qid", "vec_id", "score", "place")
 
 

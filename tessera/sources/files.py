@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tessera.operators.rules import parse_rules
 
 #: Suffixes of files taken in, folders left out, and the default weights of canon levels.
-SUFFIXES = ("py", "js", "jsx", "ts", "tsx", "go", "rs", "java", "c", "cpp", "h", "rb", "php", "md", "txt", "html", "css", "json", "yaml", "yml", "toml", "sql", "sh")
+SUFFIXES = (
+    "py", "js", "ts", "jsx", "tsx", "java", "go", "rs", "cpp", "c", "h", "hpp", "cs", "rb", "php", "dart", "swift", "kt", "m", "vue", "svelte", "astro", "scala", "r", "jl", "perl", "lua",
+    "md", "yaml", "yml", "json", "toml", "txt", "sql", "xml", "ini", "env", "graphql", "prisma", "rst", "adoc",
+)
 IGNORED = ("node_modules", ".git", "__pycache__", "build", "dist", "target", ".venv")
 CANON_WEIGHTS = {"primary": 1.0, "secondary": 0.7, "reference": 0.4, "deprecated": 0.1, "experimental": 0.3}
 MAX_BYTES = 10 * 1024 * 1024
