@@ -431,7 +431,12 @@ def batch_rerank(spark, sf):
     return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 4")
 
 
-@q("mmr")
+@q("mmr", HITS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, h AS MATERIALIZED (SELECT src, doc_id AS id, score, rank, n_chars::DOUBLE AS size FROM rk JOIN documents USING (doc_id)),
+g AS (SELECT src, 1 AS place, [rank] AS taken, [size] AS sizes, id, score FROM h WHERE rank = 1
+UNION ALL SELECT src, place, taken, sizes, id, score FROM (SELECT h.src, g.place + 1 AS place, list_append(g.taken, h.rank) AS taken, list_append(g.sizes, h.size) AS sizes, h.id, h.score,
+  row_number() OVER (PARTITION BY h.src ORDER BY 0.85::DOUBLE * h.score + (1 - 0.85::DOUBLE) * list_min(list_transform(g.sizes, lambda x: abs(h.size - x) / greatest(h.size, x, 1.0::DOUBLE))) DESC, h.rank) AS best
+  FROM g JOIN h ON h.src = g.src AND NOT list_contains(g.taken, h.rank) WHERE g.place < 10) WHERE best = 1)
+SELECT src, id, score, place::BIGINT AS place FROM g""")
 def mmr(spark, sf):
     h = docs(spark, sf).select("doc_id", "n_chars").join(F.broadcast(hits(spark, sf)), "doc_id")
     return R.mmr(h.select("src", F.col("doc_id").alias("id"), "score", F.col("n_chars").alias("size")), "src", 10)

@@ -47,22 +47,41 @@ def stream_pipeline(spark, sf):
     return S.drain(s).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
-@q("stream_cooldown")
+#: State machines as recursive SQL: one step an event of a user.
+STEP = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, {start}, ''::VARCHAR AS answer FROM (SELECT DISTINCT user_id FROM e) UNION ALL SELECT e.user_id, e.i, e.event_id, {step} AS answer FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, user_id, answer FROM r WHERE i > 0"""
+
+
+@q("stream_cooldown", STEP.format(start="NULL::DOUBLE AS last", step="CASE WHEN e.t - last < 10800 THEN last ELSE e.t END, CASE WHEN e.t - last < 10800 THEN 'ignored' ELSE 'accepted' END"))
 def stream_cooldown(spark, sf):
     return S.drain(A.stateful(S.event_stream(spark, sf), "user_id", A.cooldown(3 * 3600)))
 
 
-@q("stream_rate_limit")
+_LIVE = "list_filter(held, lambda x: x > e.t - 21600)"
+
+
+@q("stream_rate_limit", STEP.format(start="[]::DOUBLE[] AS held", step=f"CASE WHEN len({_LIVE}) >= 2 THEN {_LIVE} ELSE list_append({_LIVE}, e.t) END, CASE WHEN len({_LIVE}) >= 2 THEN 'rejected' ELSE 'allowed' END"))
 def stream_rate_limit(spark, sf):
     return S.drain(A.stateful(S.event_stream(spark, sf), "user_id", A.sliding_limit(2, 6 * 3600)))
 
 
-@q("stream_fixed_limit")
+_NEW = "(began IS NULL OR e.t - began >= 21600)"
+
+
+@q("stream_fixed_limit", STEP.format(start="NULL::DOUBLE AS began, 0 AS n", step=f"CASE WHEN {_NEW} THEN e.t ELSE began END, CASE WHEN {_NEW} THEN 1 WHEN n >= 2 THEN n ELSE n + 1 END, CASE WHEN {_NEW} OR n < 2 THEN 'allowed' ELSE 'rejected' END"))
 def stream_fixed_limit(spark, sf):
     return S.drain(A.stateful(S.event_stream(spark, sf), "user_id", A.fixed_limit(2, 6 * 3600)))
 
 
-@q("stream_breaker")
+_OPEN = "(mode = 2 AND e.t - x < 43200)"
+_HALF = "(mode = 2 AND e.t - x >= 43200)"
+_TRIPS = f"(e.event_type = 'error' AND ({_HALF} OR x + 1 >= 2))"
+
+
+@q("stream_breaker", STEP.format(start="0 AS mode, 0::DOUBLE AS x", step=f"""CASE WHEN {_OPEN} OR {_TRIPS} THEN 2 ELSE 0 END, CASE WHEN {_OPEN} THEN x WHEN {_TRIPS} THEN e.t WHEN e.event_type = 'error' THEN x + 1 ELSE 0 END,
+CASE WHEN {_OPEN} OR {_TRIPS} THEN 'open' ELSE 'closed' END"""))
 def stream_breaker(spark, sf):
     return S.drain(A.stateful(S.event_stream(spark, sf), "user_id", A.breaker(2, 12 * 3600)))
 
