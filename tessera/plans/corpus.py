@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text as T
 from tessera.operators import chunking as C
 from tessera.operators import edits as E
+from tessera.operators import embedding as B
 from tessera.operators import hash_tree as H
 from tessera.operators import rules as X
 from tessera.sources.tables import scoped, table
@@ -348,14 +347,5 @@ def text_chunks(spark, sf):
 
 @q("fallback_embeddings")
 def fallback_embeddings(spark, sf):
-    """Deterministic unit vectors seeded by the text's md5."""
-
-    @F.pandas_udf("array<float>")
-    def embed(seed: pd.Series) -> pd.Series:
-        out = []
-        for s in seed:
-            v = np.random.default_rng(int(s[:8], 16)).standard_normal(64)
-            out.append((v / np.linalg.norm(v)).astype("float32"))
-        return pd.Series(out)
-
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", embed(F.md5(F.coalesce("text", F.lit("")))).alias("embedding"))
+    """Unit vectors of all documents by the stand-in model."""
+    return B.embedded(table(spark, sf, "documents", "doc_id", "text"), "doc_id")
