@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as C
-from tessera.operators import source as S
+from tessera.operators import layout as L
 from tessera.sources.tables import table
 
 Q: dict = {}
@@ -103,7 +103,7 @@ UNION ALL SELECT k, 'function', '_hidden', '_hidden', 28, 30, 'token, *args, **k
 @q("code_symbols", SYMBOLS + " SELECT * FROM sym")
 def code_symbols(spark, sf):
     """Symbols with qualified names, parameters and docstrings."""
-    return S.symbol_table(sources(spark, sf), "k", "source")
+    return L.symbols(sources(spark, sf), "k", "source")
 
 
 @q("definition_chunks", SYMBOLS + """, c AS (SELECT k, path, kind, name, start_line, end_line, array_to_string(list_slice(string_split(source, chr(10)), start_line, end_line), chr(10)) AS content FROM sym JOIN src USING (k))
@@ -112,19 +112,14 @@ def definition_chunks(spark, sf):
     """A chunk for each definition; the line is part of the id, so methods of one name stay apart."""
     s = sources(spark, sf)
     lines = F.slice(F.split("source", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    c = S.symbol_table(s, "k", "source").join(s.select("k", "path", "source"), "k").withColumn("content", F.array_join(lines, "\n"))
+    c = L.symbols(s, "k", "source").join(s.select("k", "path", "source"), "k").withColumn("content", F.array_join(lines, "\n"))
     return c.select("k", "kind", "start_line", "end_line", F.substring(F.sha2(F.concat_ws(":", "path", "kind", "name", F.col("start_line").cast("string")), 256), 1, 32).alias("chunk_id"), F.md5("content").alias("hash"), F.length("content").cast("long").alias("n_chars"))
 
 
 @q("tree_complexities", SOURCES + " SELECT k, CASE WHEN k % 3 = 0 THEN 15 ELSE 12 END AS nested, 5 AS steps FROM src")
 def tree_complexities(spark, sf):
     """Branches, definitions, operands and nesting; and one for each branching or looping statement."""
-
-    @F.pandas_udf("nested int, steps int")
-    def measure(source: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"nested": [C.ast_complexity(x) for x in source], "steps": [S.tree_complexity(x) for x in source]})
-
-    return sources(spark, sf).select("k", measure("source").alias("m")).select("k", "m.*")
+    return L.complexities(sources(spark, sf), "k", "source")
 
 
 @q("block_chunks", SOURCES + """ SELECT k, 'function' AS kind, 'run' || k AS name, 1 AS start_line, 5 AS end_line FROM src UNION ALL SELECT k, 'class', 'Store' || k, 6, 8 FROM src""")

@@ -1,4 +1,4 @@
-"""Python source read as a syntax tree: symbols, definition chunks, complexities."""
+"""Python source read as a syntax tree by the standard parser: the truth that layout is compared with."""
 
 from __future__ import annotations
 
