@@ -9,14 +9,12 @@ Defined cases: a null text has no tokens but counts as a document; keys are take
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.retrieval import bm25_tf, tokens
-from tessera.sources.shared import FOUND, shared_dir, stored
+from tessera.sources.shared import FOUND, kept, stored
 
 BLOCK, PARTS, SEEDS = 256, 16, 4
 #: Room for the rounding of scores to six decimals.
@@ -81,13 +79,8 @@ class TextIndex:
 
 
 def index_of(docs: DataFrame, key: str, text: str = "text") -> TextIndex:
-    """The index of these files, built by the first caller of an application and found again as long as no file changes."""
-    spark = docs.sparkSession
-    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()  # a row a file
-    app = spark.sparkContext.applicationId
-    name = hashlib.sha256(repr((app, key, text, [tuple(f) for f in files])).encode()).hexdigest()[:20]
-    folder = f"{shared_dir(spark)}/tessera-stored/{app}/text-index-{name}"
-    if folder not in FOUND:
-        build(docs, folder, key, text)
-        FOUND[folder] = TextIndex(spark, folder)
+    """The index of these files, kept for the application."""
+    folder = kept(docs, f"text-index-{key}-{text}", lambda at: build(docs, at, key, text))
+    if FOUND[folder] is None:
+        FOUND[folder] = TextIndex(docs.sparkSession, folder)
     return FOUND[folder]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import vector_index as VI
-from tessera.sources.shared import FOUND, shared_dir
+from tessera.sources.shared import FOUND, kept
 from tessera.sources.tables import table
 
 Q: dict = {}
@@ -34,22 +32,14 @@ def queries(spark, sf, every: int = EVERY) -> DataFrame:
 
 
 def vector_index(spark, sf) -> VI.VectorIndex:
-    """The index of these files, built by the first caller of an application and found again as long as no file changes."""
-    files = vectors(spark, sf).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
-    app = spark.sparkContext.applicationId
-    name = hashlib.sha256(repr((app, [tuple(f) for f in files])).encode()).hexdigest()[:20]
-    folder = f"{shared_dir(spark)}/tessera-stored/{app}/vector-index-{name}"
-    if folder not in FOUND:
-        VI.build(vectors(spark, sf), folder, "vec_id")
-        FOUND[folder] = None
-    return VI.VectorIndex(spark, folder, "vec_id")
+    """The index of these files, kept for the application."""
+    return VI.VectorIndex(spark, kept(vectors(spark, sf), "vector-index", lambda at: VI.build(vectors(spark, sf), at, "vec_id")), "vec_id")
 
 
 def probes(spark, sf) -> int:
     """Lists a query that reach ``RECALL`` on another set of queries, measured once against the exact result."""
-    index = vector_index(spark, sf)
-    folder = next(f for f in index.rows.inputFiles()).split("/rows/")[0]
-    if FOUND.get(folder) is None:
+    index, folder = vector_index(spark, sf), kept(vectors(spark, sf), "vector-index", lambda at: None)
+    if FOUND[folder] is None:
         tuned = queries(spark, sf, TUNED_ON)
         FOUND[folder] = index.probes_for(tuned, index.exact(tuned, K), RECALL)
     return FOUND[folder]

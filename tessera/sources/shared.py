@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,5 +38,18 @@ def clear_stored(spark: SparkSession) -> None:
     FOUND.clear()
 
 
-#: Indexes of this application by folder.
+#: What ``kept`` has built in this application, by folder.
 FOUND: dict = {}
+
+
+def kept(source: DataFrame, name: str, build: Callable[[str], None]) -> str:
+    """The folder of something derived from the files of ``source``: built by the first caller of an application, and found again as long as no file changes."""
+    spark = source.sparkSession
+    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()  # a row a file
+    app = spark.sparkContext.applicationId
+    digest = hashlib.sha256(repr((name, [tuple(f) for f in files])).encode()).hexdigest()[:20]
+    folder = f"{shared_dir(spark)}/tessera-stored/{app}/{name}-{digest}"
+    if folder not in FOUND:
+        build(folder)
+        FOUND[folder] = None
+    return folder
