@@ -77,7 +77,7 @@ def rendered_sql(template: str) -> str:
     return " || ".join(f"{x}::VARCHAR" if field else "'" + x.replace("'", "''") + "'" for x, field in pieces(template))
 
 
-PATH = "CASE WHEN k % 17 = 0 THEN 'src/.archive/m' || k || '.py' WHEN k % 13 = 0 THEN 'src/p' || k || '/main.py' WHEN k % 5 = 0 THEN 'config/m' || k || '.py' ELSE 'src/m' || k || '.py' END"
+PATH = "CASE WHEN k % 17 = 0 THEN 'src/.archive/m' || k || '.py' WHEN k % 19 = 0 THEN 'src/.Deprecated/m' || k || '.py' WHEN k % 11 = 1 THEN 'test/m' || k || '.py' WHEN k % 11 = 2 THEN 'src/m' || k || '_test.py' WHEN k % 11 = 3 THEN 'docs/m' || k || '.md' WHEN k % 11 = 4 THEN 'src/app.config.' || k || '.py' WHEN k % 13 = 0 THEN 'src/p' || k || '/main.py' WHEN k % 5 = 0 THEN 'config/m' || k || '.py' ELSE 'src/m' || k || '.py' END"
 SOURCES = f"""
 WITH p AS (SELECT p_partkey AS k, p_partkey % 7 AS a, p_partkey % 5 AS b, p_size AS size FROM part),
 src AS (SELECT k, size, {PATH} AS path, {rendered_sql(MODULE)} || CASE WHEN k % 3 = 0 THEN {rendered_sql(HIDDEN)} ELSE '' END AS source FROM p)"""
@@ -88,7 +88,10 @@ def sources(spark, sf) -> DataFrame:
     p = table(spark, sf, "part", "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 7).alias("a"), (F.col("p_partkey") % 5).alias("b"), F.col("p_size").alias("size"))
     source = F.concat(rendered(MODULE), F.when(F.col("k") % 3 == 0, F.lit(HIDDEN)).otherwise(""))
     k = F.col("k").cast("string")
-    path = F.when(F.col("k") % 17 == 0, F.concat(F.lit("src/.archive/m"), k, F.lit(".py"))).when(F.col("k") % 13 == 0, F.concat(F.lit("src/p"), k, F.lit("/main.py"))).when(F.col("k") % 5 == 0, F.concat(F.lit("config/m"), k, F.lit(".py"))).otherwise(F.concat(F.lit("src/m"), k, F.lit(".py")))
+    named = lambda a, b=".py": F.concat(F.lit(a), k, F.lit(b))
+    path = F.when(F.col("k") % 17 == 0, named("src/.archive/m")).when(F.col("k") % 19 == 0, named("src/.Deprecated/m"))
+    path = path.when(F.col("k") % 11 == 1, named("test/m")).when(F.col("k") % 11 == 2, named("src/m", "_test.py")).when(F.col("k") % 11 == 3, named("docs/m", ".md")).when(F.col("k") % 11 == 4, named("src/app.config."))
+    path = path.when(F.col("k") % 13 == 0, F.concat(F.lit("src/p"), k, F.lit("/main.py"))).when(F.col("k") % 5 == 0, F.concat(F.lit("config/m"), k, F.lit(".py"))).otherwise(F.concat(F.lit("src/m"), k, F.lit(".py")))
     return p.select("k", "size", path.alias("path"), source.alias("source"))
 
 
@@ -191,7 +194,7 @@ def source_complexity(spark, sf):
 
 
 #: Concepts and questions of a file, by pattern, in order.
-CONCEPTS = {"async": r"\basync\b", "embeddings": "embedd?ing", "api": r"\bapi\b", "database": "(database|db|sql|neo4j|qdrant)", "cache": "(cache|redis)", "queue": "(queue|worker|task)", "auth": "(auth|jwt|oauth|token)", "rest": "(rest|http|endpoint)"}
+CONCEPTS = {"async": r"\basync\b", "embeddings": "embedd?ing", "mcp": r"\bmcp\b", "api": r"\bapi\b", "database": "(database|db|sql|neo4j|qdrant)", "cache": "(cache|redis)", "queue": "(queue|worker|task)", "auth": "(auth|jwt|oauth|token)", "websocket": "websocket", "rest": "(rest|http|endpoint)"}
 QUESTIONS = {"How to generate embeddings?": "embedd?ing", "How to search data?": "search", "How to index content?": "index", "How to handle authentication?": "(auth|jwt|oauth)", "How to cache data?": "cache", "How to process queues?": "(queue|worker)", "How to connect to database?": "(connect|database|neo4j|qdrant)", "How to handle errors?": "(try|except|error|exception)", "How to run the application?": "__main__|def main"}
 ENTRY = ["main.py", "app.py", "__main__.py", "cli.py", "server.py"]
 IO = r"\bopen\s*\(|\.read\s*\(|\.write\s*\(|\brequests\.|\baiohttp\.|\bcursor\.|\.execute\s*\(|\bredis\.|\bsocket\.|\bfile\s*="
@@ -202,25 +205,32 @@ def _list(values: dict) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(source), '{p}') THEN '{n}' END" for n, p in values.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@q("source_metadata", SOURCES + f""", i AS (SELECT k, generate_subscripts(m, 1) AS n, unnest(m) AS imp FROM (SELECT k, regexp_extract_all(source, '{IMPORT}', 1) AS m FROM src)),
+#: Some files are one function without a class, so that every type of component is met.
+PLAIN = "import asyncio\nfrom mcp import client\n\n\nasync def go_{k}(websocket):\n    return await websocket.open({size})"
+MIXED = SOURCES.replace("src AS (", "full_src AS (") + f", src AS (SELECT * REPLACE (CASE WHEN k % 4 = 1 THEN {rendered_sql(PLAIN)} ELSE source END AS source) FROM full_src)"
+
+
+@q("source_metadata", MIXED + f""", i AS (SELECT k, generate_subscripts(m, 1) AS n, unnest(m) AS imp FROM (SELECT k, regexp_extract_all(source, '{IMPORT}', 1) AS m FROM src)),
 f AS (SELECT k, string_split(imp, '.')[1] AS package, min(n) AS n, min_by(imp, n) AS imp FROM i GROUP BY 1, 2), dep AS (SELECT k, list_slice(list(imp ORDER BY n), 1, 10) AS dependencies FROM f WHERE package NOT IN ('__future__', 'typing') GROUP BY 1),
-m AS (SELECT src.*, dependencies, contains(path, '.archive/') AS archived, list_bool_or([{", ".join(f"ends_with(path, '{e}')" for e in ENTRY)}]) OR contains(source, '__main__') OR contains(source, 'def main(') AS entrypoint,
+m AS (SELECT src.*, dependencies, contains(lower(path), '.archive/') OR contains(lower(path), '.deprecated/') AS archived, list_bool_or([{", ".join(f"ends_with(path, '{e}')" for e in ENTRY)}]) OR contains(source, '__main__') OR contains(source, 'def main(') AS entrypoint,
 list_concat(regexp_extract_all(source, '{NAMES}', 1), regexp_extract_all(source, '(?m)^class\\s+(\\w+)', 1)) AS exported FROM src LEFT JOIN dep USING (k))
-SELECT k, CASE WHEN archived THEN 'archived' WHEN contains(lower(left(source, 500)), 'deprecated') THEN 'deprecated' WHEN contains(lower(left(source, 500)), 'experimental') THEN 'experimental' ELSE 'active' END AS status,
-CASE WHEN archived THEN 'archived_code' WHEN contains(left(source, 1000), 'class ') THEN CASE WHEN contains(left(source, 1000), 'Service') THEN 'service' WHEN contains(left(source, 1000), 'Model') THEN 'model' WHEN contains(left(source, 1000), 'Server') THEN 'server' ELSE 'class' END WHEN entrypoint THEN 'entrypoint' WHEN contains(path, 'config/') THEN 'config' ELSE 'utility' END AS component,
+SELECT k, CASE WHEN archived AND contains(lower(path), '.archive/') THEN 'archived' WHEN archived OR contains(lower(left(source, 500)), 'deprecated') THEN 'deprecated' WHEN contains(lower(left(source, 500)), 'experimental') THEN 'experimental' WHEN contains(path, '.test.') OR contains(path, '_test.') THEN 'test' ELSE 'active' END AS status,
+CASE WHEN archived THEN 'archived_code' WHEN contains(left(source, 1000), 'class ') THEN CASE WHEN contains(left(source, 1000), 'Service') THEN 'service' WHEN contains(left(source, 1000), 'Model') THEN 'model' WHEN contains(left(source, 1000), 'Server') THEN 'server' ELSE 'class' END WHEN entrypoint THEN 'entrypoint' WHEN contains(path, '.config.') OR contains(path, 'config/') THEN 'config' WHEN contains(path, '.test.') OR contains(path, 'test/') THEN 'test' WHEN contains(path, '.md') THEN 'documentation' ELSE 'utility' END AS component,
 CASE WHEN archived THEN [] ELSE dependencies END AS dependencies, CASE WHEN archived THEN [] ELSE list_slice(list_filter(exported, lambda x: NOT starts_with(x, '_')), 1, 10) END AS public_api,
 CASE WHEN archived THEN [] ELSE list_concat(list_slice({_list(CONCEPTS)}, 1, 8), CASE WHEN entrypoint THEN ['entrypoint'] ELSE [] END) END AS concepts, CASE WHEN archived THEN [] ELSE list_slice({_list(QUESTIONS)}, 1, 5) END AS questions,
 CASE WHEN archived THEN 0 ELSE len(regexp_extract_all(source, '(?i)#.*(TODO|FIXME|HACK|XXX|WIP|REFACTOR)')) END::BIGINT AS todo_count, NOT archived AND regexp_matches(source, '{IO}') AS has_io,
 NOT archived AND 2 * len(regexp_extract_all(source, '(?m)^async\\s+def\\s+')) > len(regexp_extract_all(source, '(?m)^(?:async\\s+)?def\\s+')) AS async_heavy, CASE WHEN archived THEN 0 ELSE {COMPLEXITY_SQL} END::DOUBLE AS complexity FROM m""")
 def source_metadata(spark, sf):
     """Status, component, dependencies, public names, concepts, questions and counts of each file; archived paths get the status only."""
-    d, src, low = sources(spark, sf), F.col("source"), F.lower("source")
+    d = sources(spark, sf).withColumn("source", F.when(F.col("k") % 4 == 1, rendered(PLAIN)).otherwise(F.col("source")))
+    src, low, path = F.col("source"), F.lower("source"), F.col("path")
     head, start = F.lower(F.substring("source", 1, 500)), F.substring("source", 1, 1000)
-    archived = F.col("path").contains(".archive/")
+    archive = F.lower("path").contains(".archive/")
+    archived = archive | F.lower("path").contains(".deprecated/")
     entry = F.col("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in ENTRY) + ")$") | src.contains("__main__") | src.contains("def main(")
-    status = F.when(archived, "archived").when(head.contains("deprecated"), "deprecated").when(head.contains("experimental"), "experimental").otherwise("active")
+    status = F.when(archive, "archived").when(archived | head.contains("deprecated"), "deprecated").when(head.contains("experimental"), "experimental").when(path.contains(".test.") | path.contains("_test."), "test").otherwise("active")
     of_class = F.when(start.contains("Service"), "service").when(start.contains("Model"), "model").when(start.contains("Server"), "server").otherwise("class")
-    component = F.when(archived, "archived_code").when(start.contains("class "), of_class).when(entry, "entrypoint").when(F.col("path").contains("config/"), "config").otherwise("utility")
+    component = F.when(archived, "archived_code").when(start.contains("class "), of_class).when(entry, "entrypoint").when(path.contains(".config.") | path.contains("config/"), "config").when(path.contains(".test.") | path.contains("test/"), "test").when(path.contains(".md"), "documentation").otherwise("utility")
     found = F.regexp_extract_all("source", F.lit(IMPORT), F.lit(1))
     package = lambda x: F.substring_index(x, ".", 1)
     once = F.filter(found, lambda x, i: ~package(x).isin("__future__", "typing") & ~F.exists(F.slice(found, F.lit(1), i), lambda y: package(y) == package(x)))
