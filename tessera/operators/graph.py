@@ -84,3 +84,8 @@ def counts_by(edges: DataFrame, key: str, name: str) -> DataFrame:
 def context(nodes: DataFrame, *branches: DataFrame) -> DataFrame:
     """Left join of branches that are each one row a node, so that no branch multiplies another."""
     return reduce(lambda a, b: a.join(b, "node", "left"), branches, nodes)
+
+
+def relabel(nodes: DataFrame, label: str, old: str, new: str, key: str, keys: list[str]) -> DataFrame:
+    """Nodes with ``old`` labels under ``new`` ones, and a key from the first of ``keys`` that is there; called with the labels swapped it undoes itself."""
+    return nodes.withColumn(key, F.coalesce(*keys)).withColumn(label, F.when(F.col(label) == old, new).otherwise(F.col(label)))

@@ -12,6 +12,8 @@ from tessera.operators import edits as E
 from tessera.operators import embedding as B
 from tessera.operators import hash_tree as H
 from tessera.operators import rules as X
+from tessera.operators import sync as S
+from tessera.sources.sinks import backfill
 from tessera.sources.tables import scoped, table
 
 Q: dict = {}
@@ -204,6 +206,23 @@ def hierarchy_totals(spark, sf):
     return directories(spark, sf).agg(F.sum("file_count").alias("files"), F.count("*").alias("dirs"), F.sum("total_lines").alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("languages")))).alias("languages"))
 
 
+@q("stored_hierarchy", DIRS + " SELECT dir, file_count, total_lines, size_bytes, 'Directory: ' || dir || ' | Files: ' || file_count AS summary FROM dirs")
+def stored_hierarchy(spark, sf):
+    """Directories written to both stores, counts to the graph and summaries to the vectors' side, and read back from the two."""
+    rows = directories(spark, sf).withColumn("summary", F.concat(F.lit("Directory: "), "dir", F.lit(" | Files: "), F.col("file_count").cast("string")))
+    graph, vectors, _ = S.dual_write(rows, "dir", F.col("file_count") > 0, F.col("summary").isNotNull(), ["file_count", "total_lines", "size_bytes"], ["summary"])
+    return graph.join(vectors, "dir").select("dir", "file_count", "total_lines", "size_bytes", "summary")
+
+
+@q("backfilled_metadata", FILES + " SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.9 ELSE round(least(1.0, size / 10000.0), 4) END::DOUBLE AS canon_weight, CASE WHEN doc_id % 4 = 0 THEN 'known' ELSE suffix END AS language FROM files")
+def backfilled_metadata(spark, sf):
+    """Nulls of stored metadata filled from what is computed now; values that are there stay."""
+    f = files(spark, sf)
+    old = f.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0.9).alias("canon_weight"), F.when(F.col("doc_id") % 4 == 0, "known").alias("language"))
+    now = f.select("doc_id", F.round(F.least(F.lit(1.0), F.col("size") / 10000.0), 4).alias("canon_weight"), F.col("suffix").alias("language"))
+    return backfill(old, now, ["doc_id"], ["canon_weight", "language"])
+
+
 @q("dir_summary_text", DIRS + " SELECT dir, 'Directory: ' || dir || ' | Files: ' || file_count || ' | Lines: ' || total_lines || ' | Languages: ' || array_to_string(languages, ', ') AS summary FROM dirs")
 def dir_summary_text(spark, sf):
     s = F.concat_ws(" | ", F.concat(F.lit("Directory: "), "dir"), F.concat(F.lit("Files: "), F.col("file_count").cast("string")), F.concat(F.lit("Lines: "), F.col("total_lines").cast("string")), F.concat(F.lit("Languages: "), F.array_join("languages", ", ")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import vectors as V
 from tessera.operators import graph as G
 from tessera.operators import intervals as I
 from tessera.operators import retrieval as R
@@ -461,6 +462,28 @@ def purged_project(spark, sf):
     return S.delete(table(spark, sf, "customer", "c_custkey", "c_nationkey"), gone, ["c_nationkey"])
 
 
+@q("relabelled_nodes", """
+WITH n AS (SELECT vec_id, CASE WHEN label < 5 THEN 'Chunk' ELSE 'Doc' END AS kind, CASE WHEN vec_id % 3 = 0 THEN 'c' || vec_id END AS chunk_id, CASE WHEN vec_id % 3 = 1 THEN 'i' || vec_id END AS id FROM embeddings)
+SELECT coalesce(chunk_id, id, vec_id::VARCHAR) AS key, CASE kind WHEN 'Chunk' THEN 'CodeChunk' ELSE kind END AS kind, kind AS undone FROM n""")
+def relabelled_nodes(spark, sf):
+    """Nodes of one label under a new one, each with a key repaired from the first of three that it has, and the label after the change is undone."""
+    v = F.col("vec_id").cast("string")
+    n = table(spark, sf, "embeddings", "vec_id", "label").select(F.when(F.col("label") < 5, "Chunk").otherwise("Doc").alias("kind"), F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("c"), v)).alias("chunk_id"), F.when(F.col("vec_id") % 3 == 1, F.concat(F.lit("i"), v)).alias("id"), v.alias("qdrant_id"))
+    done = G.relabel(n, "kind", "Chunk", "CodeChunk", "key", ["chunk_id", "id", "qdrant_id"])
+    undone = G.relabel(done, "kind", "CodeChunk", "Chunk", "key", ["key"]).select("key", F.col("kind").alias("undone"))
+    return done.select("key", "kind").join(undone, "key")
+
+
+@q("migrated_collection", """
+WITH e AS (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, 'project-' || label AS project, 2 AS version, len(v)::INT AS dims, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 5) AS total FROM e""")
+def migrated_collection(spark, sf):
+    """A vector collection under a new schema: a field renamed and one added, vectors made anew with half the dimensions, at unit length."""
+    half = F.slice("embedding", 1, 32)
+    m = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("project-"), F.col("label").cast("string")).alias("project"), F.lit(2).alias("version"), F.transform(half, lambda x: x.cast("double") / V.norm(half)).alias("v"))
+    return m.select("vec_id", "project", "version", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
 @q("stable_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= greatest(10, least(n // 100, 1000))")
 def stable_sample(spark, sf):
     """A hundredth of the documents, within 10 and 1,000."""

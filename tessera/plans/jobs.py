@@ -233,13 +233,13 @@ def repair_batches(spark, sf):
 COMMITS = "WITH c AS (SELECT event_type || '/' || (user_id % 9) AS path, ts, user_id AS author, left(md5(event_id::VARCHAR), 8) AS sha, event_id FROM events), n AS (SELECT max(ts) AS now FROM events)"
 
 
-@q("commit_metrics", COMMITS + " SELECT path, max(ts) AS last_modified, count(*) FILTER (ts >= now - INTERVAL 7 DAY) AS recent, count(DISTINCT author) AS authors, max_by(sha, (ts, event_id)) AS last_commit FROM c, n GROUP BY 1")
+@q("commit_metrics", COMMITS + " SELECT path, max(ts) AS last_modified, count(*) FILTER (ts >= now - INTERVAL 30 DAY) AS recent, count(DISTINCT author) AS authors, max_by(sha, (ts, event_id)) AS last_commit FROM c, n GROUP BY 1")
 def commit_metrics(spark, sf):
     """Last change, recent commits, authors and last commit of each path of a commit log."""
     e = events(spark, sf)
     now = F.broadcast(e.agg(F.max("ts").alias("now")))
     c = e.select(F.concat_ws("/", "event_type", (F.col("user_id") % 9).cast("string")).alias("path"), "ts", "user_id", F.substring(F.md5(F.col("event_id").cast("string")), 1, 8).alias("sha"), "event_id").crossJoin(now)
-    return c.groupBy("path").agg(F.max("ts").alias("last_modified"), F.count_if(F.col("ts") >= F.col("now") - F.expr("INTERVAL 7 DAY")).alias("recent"), F.count_distinct("user_id").alias("authors"), F.max_by("sha", F.struct("ts", "event_id")).alias("last_commit"))
+    return c.groupBy("path").agg(F.max("ts").alias("last_modified"), F.count_if(F.col("ts") >= F.col("now") - F.expr("INTERVAL 30 DAY")).alias("recent"), F.count_distinct("user_id").alias("authors"), F.max_by("sha", F.struct("ts", "event_id")).alias("last_commit"))
 
 
 #: Canon levels and their weights.

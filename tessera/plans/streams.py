@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.events import SESSION
+from tessera.sources.files import enqueue, queue
 from tessera.sources.tables import table
 from tessera.streaming import processors as P
 from tessera.streaming import states as A
@@ -108,6 +109,15 @@ def stream_batches(spark, sf):
     return S.drain(P.until_idle(until_the_end(spark, sf, "30 HOURS"), "user_id", "30 hours", 10))
 
 
+@q("queue_roundtrip", "SELECT event_id, user_id, event_type, (props->>'$.k')::INT AS k FROM events WHERE event_type <> 'view'")
+def queue_roundtrip(spark, sf):
+    """Jobs put on a queue as JSON, one message a line, and taken off it by a stream."""
+    at = S.scratch(spark)
+    e = table(spark, sf, "events").where("event_type <> 'view'")
+    enqueue(e.select("event_id", "user_id", "event_type", F.from_json("props", "k int")["k"].alias("k")), at)
+    return S.drain(queue(spark, at, "event_id long, user_id long, event_type string, k int")).drop("raw")
+
+
 #: Two versions of the files that ``documents`` stand for, and when each was seen.
 SNAPSHOTS = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),

@@ -71,6 +71,11 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(p[3].alias("path"), p[0].alias("sha"), p[1].alias("email"), F.timestamp_seconds(p[2].cast("long")).alias("ts"))
 
 
+def enqueue(jobs: DataFrame, folder: str) -> None:
+    """Put rows on a queue: one JSON message a line, in new files of a folder; a file is there whole or not at all."""
+    jobs.select(F.to_json(F.struct(*jobs.columns)).alias("value")).write.mode("append").text(folder)
+
+
 def queue(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 10) -> DataFrame:
     """A stream of JSON messages, one a line, from files that land in a folder."""
     raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
