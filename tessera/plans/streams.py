@@ -142,10 +142,23 @@ SELECT coalesce(c.path, g.path) AS path, CASE WHEN c.path IS NOT NULL THEN g.pat
 UNION ALL SELECT two.path, NULL, 'modified', two.hash FROM one JOIN two ON one.path = two.path WHERE one.hash <> two.hash""")
 def stream_changes(spark, sf):
     """Changes of the second scan over the first, from a stream of what the scans saw."""
+    return watched(spark, sf, S.scratch(spark)).where(F.col("us") == 2_000_000_000).select("path", "from_path", "kind", "hash")
+
+
+@q("stream_state", SNAPSHOTS + " SELECT path, hash FROM two")
+def stream_state(spark, sf):
+    """The hashes that the change stream has saved: those of the files of the second scan, read from its checkpoint."""
+    at = S.scratch(spark)
+    watched(spark, sf, at)
+    return S.saved_state(spark, at, 1, "last").select(F.col("key.path").alias("path"), F.col("value.hash").alias("hash")).where("path <> ''")
+
+
+def watched(spark, sf, run: str) -> DataFrame:
+    """All changes of both scans, by a run whose checkpoint lies at ``run``."""
     at = S.scratch(spark)
     o = observations(spark, sf)
     end = spark.createDataFrame([("", None, 3000)], "path string, hash string, s long").select("path", "hash", F.timestamp_seconds("s").alias("ts"))
     for step in (o.where(F.unix_seconds("ts") == 1000), o.where(F.unix_seconds("ts") == 2000), end):
         step.write.mode("append").parquet(at)
     seen = spark.readStream.schema("path string, hash string, ts timestamp").parquet(at)
-    return S.drain(P.file_changes(seen)).where(F.col("us") == 2_000_000_000).select("path", "from_path", "kind", "hash")
+    return S.drain(P.file_changes(seen), at=run)

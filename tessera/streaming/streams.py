@@ -21,9 +21,9 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 10) -> Dat
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of the input into a parquet folder, and read it."""
-    spark, at = stream.sparkSession, scratch(stream.sparkSession)
+def drain(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run to the end of the input into a parquet folder, and read it; a run with the ``at`` of an earlier one goes on from its checkpoint."""
+    spark, at = stream.sparkSession, at or scratch(stream.sparkSession)
     if mode == "append":
         w = stream.writeStream.format("parquet").option("path", f"{at}/out")
     else:
@@ -32,6 +32,11 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def saved_state(spark: SparkSession, at: str, operator: int, variable: str) -> DataFrame:
+    """What the checkpoint of a run at ``at`` holds of one variable of a keyed processor: (key, value) structs, one row a key."""
+    return spark.read.format("statestore").option("path", f"{at}/checkpoint").option("operatorId", operator).option("stateVarName", variable).load().select("key", "value")
+
+
 def debounce(events: DataFrame, keys: list[str], gap: str, late: str = "1 day", sticky: str = "error") -> DataFrame:
     """One row for each quiet period: its last event type, and ``sticky`` if it occurred at all."""
     last = F.when(F.bool_or(F.col("event_type") == sticky), sticky).otherwise(F.max_by("event_type", F.struct("ts", "event_id")))
