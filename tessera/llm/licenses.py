@@ -1,6 +1,6 @@
 """Operator 10: licence recognition by sentences.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only, single spaces) and looked up among known licence sentences.
+A text loses the marks that lead comment lines and is cut into sentences; each is normalised (lower case, letters and digits only, single spaces) and looked up among known licence sentences.
 A known sentence that holds an end mark itself is cut by the same rule, and its pieces must follow each other; the longest that fits is taken.
 The identifiers found, in order, are then matched against ordered rules: at each place the first rule whose identifiers follow each other there wins, and its identifiers are used up.
 Known sentences and rules are fixed lists in this file, so they are small and travel with the function.  The SQL is made from the same lists.
@@ -68,6 +68,11 @@ SENTENCES = [
     ("lgpl-title", "GNU Lesser General Public License"),
     ("lgpl-2-1-version", "Version 2.1, February 1999"),
     ("lgpl-2-1-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-2-1-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("lgpl-3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-details", "See the GNU Lesser General Public License for more details"),
+    ("agpl-3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl-details", "See the GNU Affero General Public License for more details"),
     ("mpl-2-title", "Mozilla Public License Version 2.0"),
     ("cc0-title", "CC0 1.0 Universal"),
 ]
@@ -89,7 +94,12 @@ RULES = [
     ("AGPL-3.0-only", ("agpl-title", "agpl-3-version")),
     ("LGPL-3.0-only", ("lgpl-title", "gpl-3-version")),
     ("LGPL-2.1-only", ("lgpl-title", "lgpl-2-1-version")),
+    ("LGPL-3.0-or-later", ("lgpl-3-free", "gpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl-2-1-free", "lgpl-2-1-hope", "lgpl-details")),
+    ("AGPL-3.0-or-later", ("agpl-3-free", "gpl-hope", "agpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",)),
     ("LGPL-2.1-or-later", ("lgpl-2-1-free",)),
+    ("AGPL-3.0-or-later", ("agpl-3-free",)),
     ("ISC", ("isc-grant", "isc-warranty")),
     ("Unlicense", ("unlicense", "unlicense-use")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
@@ -117,6 +127,8 @@ RULES = [
 ]
 #: A sentence ends at a mark before white space or the end, or at an empty line.
 SENTENCE_END = re.compile(r"[.!?;:](?=\s|$)|\n[ \t\r]*\n")
+#: What leads a line of a comment; it goes before the text is cut, so that an empty comment line is an empty line.
+LEADER = r"(?m)^[ \t]*(//+|#+|/[*]+|[*]+/?|--+|;+|<!--)[ \t]*"
 NOT_WORD = re.compile(r"[^a-z0-9]+")
 
 
@@ -155,7 +167,7 @@ class Recogniser:
         return out
 
     def identifiers(self, text: str) -> list[str]:
-        lower = text.lower()
+        lower = re.sub(LEADER, "", text.lower())
         if not any(m in lower for m in self.marks):
             return []
         units = []
@@ -227,7 +239,7 @@ def sql(sentences=SENTENCES, rules=RULES) -> str:
     return f"""
 WITH k(s, c) AS (VALUES {", ".join(f"({quoted(p)}, {quoted(c)})" for p, c in piece.items())}),
 p AS (SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (
-  SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[.!?;:]((?:\\s)|$)', chr(1) || '\\1', 'g'), chr(1) || '|\\n[ \\t\\r]*\\n') AS a FROM documents)),
+  SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '{LEADER}', '', 'g'), '[.!?;:]((?:\\s)|$)', chr(1) || '\\1', 'g'), chr(1) || '|\\n[ \\t\\r]*\\n') AS a FROM documents)),
 l AS (SELECT doc_id, i, generate_subscripts(b, 1) AS j, unnest(b) AS x FROM (
   SELECT doc_id, i, CASE WHEN contains(x, chr(10)) AND {norm.format("x")} NOT IN (SELECT s FROM k) THEN string_split(x, chr(10)) ELSE [x] END AS b FROM p)),
 u AS (SELECT doc_id, string_agg(coalesce(c, '.'), '' ORDER BY i, j) AS u FROM (SELECT doc_id, i, j, {norm.format("x")} AS n FROM l) LEFT JOIN k ON n = s WHERE n <> '' GROUP BY 1),
