@@ -139,6 +139,37 @@ class WordMerger:
         return ids[ragged(start[order], size[order])], size[order]
 
 
+#: The rules that ``Encoder`` follows: normalizers, the pattern that parts words, the model's marks; ids lie below 2**16.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def has_known_rules(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, parts = d["model"], (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split, level = parts[0], parts[-1]
+    return (
+        (d.get("normalizer") or {}).get("normalizers") == NORMALIZERS and len(parts) == 2 and (split.get("pattern") or {}).get("Regex") == PATTERN and split.get("behavior") == "Removed" and split.get("invert") is True
+        and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) and max(model["vocab"].values()) < 1 << 16 and 2 * len(model["merges"]) <= WordMerger.SLOTS
+    )
+
+
+class LibraryEncoder:
+    """Ids of whole texts by the library, for a tokenizer of any rules."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``Encoder``: ids of all texts, each with the end token, and their number in each."""
+        got = [np.array([*e.ids, END_ID], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate(got or [np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -158,11 +189,11 @@ class Encoder:
         self._learnt(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     @classmethod
-    def of_worker(cls, path: str) -> "Encoder":
-        """One encoder a worker process, so that tasks share its table."""
+    def of_worker(cls, path: str) -> "Encoder | LibraryEncoder":
+        """One encoder a worker process, so that tasks share its table; the library's own for a tokenizer of other rules."""
         state = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
         if path not in state:
-            state[path] = cls(path)
+            state[path] = cls(path) if has_known_rules(path) else LibraryEncoder(path)
         return state[path]
 
     def _learnt(self, keys, at, size, pool) -> None:
