@@ -148,6 +148,13 @@ def first_stage(*stages: DataFrame) -> DataFrame:
     return out.join(low, F.col("stage") == F.col("low")).drop("low")
 
 
+def ranking(answer: Column, n: int) -> Column:
+    """The order of n candidates that a model's answer names: numbers from 1 to n, each once, then those not named; an answer without any keeps the first order."""
+    named = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(answer, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.between(1, n)))
+    every = F.sequence(F.lit(1), F.lit(n))
+    return F.coalesce(F.concat(named, F.array_except(every, named)), every)
+
+
 def scored(hits: DataFrame, score: Column, k: int, per: list[str], key: str, cache: DataFrame | None = None, fallback: Column | None = None) -> DataFrame:
     """The best k of each list by a pluggable scorer, as (per, key, score, model_score, source).
 

@@ -11,7 +11,8 @@ from tessera.operators import rules as X
 from tessera.plans.corpus import EXCL, FILES, PEN, RULES, files
 from tessera.plans.indexes import queries, vector_index
 from tessera.plans.retrieval import HITS, TERMS, dense, docs, hits, lexical, points
-from tessera.sources.shared import stored
+from tessera.sources.cache import ResultCache
+from tessera.sources.shared import FOUND, stored
 from tessera.sources.tables import table
 
 Q: dict = {}
@@ -109,6 +110,30 @@ def scored_rerank(spark, sf):
     return R.scored(h, F.when(F.col("doc_id") % 7 != 3, share), 5, ["src"], "doc_id", cache, F.col("score") / 10)
 
 
+#: Seconds that a result is good for, and how many are held.
+CACHE_TTL, CACHE_MOST = 300, 50
+
+
+@q("cached_search", HITS + " SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM rk GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 15")
+def cached_search(spark, sf):
+    """A fused search whose result is kept: asked again within its time, it is read, not searched for."""
+    cache = FOUND.setdefault(("results", spark.sparkContext.applicationId), ResultCache(spark, CACHE_TTL, CACHE_MOST))
+    fused = lambda: R.ranked(hits(spark, sf), "src", "doc_id").groupBy("doc_id").agg(F.round(F.sum(1 / (R.RRF_K + F.col("rank"))), 9).alias("score"))
+    return cache.get(("fused", sf, *TERMS), lambda: best(fused(), 15))
+
+
+@q("parsed_rankings", """
+WITH a AS (SELECT doc_id, 'Best is ' || (doc_id % 7) || ', then [' || (doc_id % 5 + 1) || '] and ' || (doc_id % 7) || '; not 12' AS answer FROM documents),
+n AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(answer, '[0-9]+'), lambda x: x::INT), lambda x: x BETWEEN 1 AND 5) AS l FROM a),
+d AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM n)
+SELECT doc_id, list_concat(l, list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(l, x))) AS ranking FROM d""")
+def parsed_rankings(spark, sf):
+    """Rankings read from a model's answers: the numbers named, each once, then the candidates not named in their first order."""
+    k = F.col("doc_id")
+    answer = F.concat(F.lit("Best is "), (k % 7).cast("string"), F.lit(", then ["), (k % 5 + 1).cast("string"), F.lit("] and "), (k % 7).cast("string"), F.lit("; not 12"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", R.ranking(answer, 5).alias("ranking"))
+
+
 @q("fused_pipeline", HITS + f""", fl AS (SELECT doc_id, path FROM ({FILES.strip().removeprefix("WITH files AS (").removesuffix(")")}) files),
 k AS (SELECT src, h.doc_id, path, score * (1 - {PEN}) AS score FROM hits h JOIN fl USING (doc_id) WHERE NOT ({EXCL})), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, doc_id) AS rank FROM k),
 f AS (SELECT path, sum(1.0 / (60 + rank)) AS rrf, min(doc_id) AS doc_id FROM r GROUP BY 1) SELECT path, round(rrf * CASE WHEN doc_id % 4 = 0 THEN 1.1 ELSE 1.0 END, 9) AS final FROM f ORDER BY final DESC, path LIMIT 20""")
