@@ -360,8 +360,11 @@ def match_line_numbers(spark, sf):
 
 @q("text_chunks")
 def text_chunks(spark, sf):
-    """Dispatcher over all files: whole, by definition, or by sentence."""
-    return C.chunked(files(spark, sf), "doc_id", "suffix")
+    """Dispatcher over all files, and over modules (under negative ids) of a part eight times over: whole, by definition, by lines or by sentence."""
+    from tessera.plans.code import sources
+
+    one = sources(spark, sf).select((-F.col("k")).alias("doc_id"), F.array_join(F.array_repeat(F.concat("source", F.lit("\n\n")), 8), "\n").alias("text"), F.lit("py").alias("suffix"))
+    return C.chunked(files(spark, sf).select("doc_id", "text", "suffix").unionByName(one), "doc_id", "suffix")
 
 
 @q("fallback_embeddings")
