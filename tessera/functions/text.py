@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +34,10 @@ LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go",
 
 
 def marker_counts(text) -> list[Column]:
-    return [F.regexp_count(F.lower(text), F.lit(p)).cast("long").alias(f"{name}_count") for name, p in MARKERS.items()]
+    """Counts of each marker; a text is searched by pattern only where it holds the literal start of one of its words."""
+    low = F.lower(text)
+    held = lambda p: reduce(lambda x, y: x | y, [low.contains(re.match("[a-z]+", word)[0]) for word in p.split("|")])
+    return [F.when(low.isNotNull(), F.when(held(p), F.regexp_count(low, F.lit(p))).otherwise(0)).cast("long").alias(f"{name}_count") for name, p in MARKERS.items()]
 
 
 def complexity(lines, sentences, capitals) -> Column:
