@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 from tessera.sources.shared import stored
 
 
-def steps(edges: DataFrame, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
-    """(src, dst), the steps that a traversal may take: edges of the listed types (all, if none are), along, against or either way."""
+def steps(edges: DataFrame, rels: list[str] | None = None, direction: str = "out", ready: bool = False) -> DataFrame:
+    """(src, dst), the steps that a traversal may take: edges of the listed types (all, if none are), along, against or either way; stored, each once.
+
+    ``ready`` edges are stored and distinct already, so along or against them nothing is written again.
+    """
     e = edges if rels is None else edges.where(F.col("rel").isin(*rels))
     out, back = e.select("src", "dst"), e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    if ready and rels is None and direction != "both":
+        return out if direction == "out" else back
+    return stored({"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct(), "steps")
 
 
-def reach(edges: DataFrame, start: DataFrame, hops: int, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, hops: int, rels: list[str] | None = None, direction: str = "out", ready: bool = False) -> DataFrame:
     """(start, node, hop): nodes within ``hops`` steps, with the least number of steps; the start only if a cycle returns to it.
 
     Steps are stored once and each frontier when it is found, so a hop reads them and plans nothing again; it ends when a frontier is empty.
     """
-    e = stored(steps(edges, rels, direction), "steps")
+    e = steps(edges, rels, direction, ready)
     front, seen = start.select(F.col("node").alias("start"), "node"), None
     for hop in range(1, hops + 1):
         step = front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
@@ -44,13 +49,13 @@ SKETCH_LG = 9
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LG / 2)
 
 
-def reach_sizes(edges: DataFrame, hops: int, rels: list[str] | None = None, direction: str = "out") -> DataFrame:
+def reach_sizes(edges: DataFrame, hops: int, rels: list[str] | None = None, direction: str = "out", ready: bool = False) -> DataFrame:
     """(node, reached): for every node with a step, about how many nodes lie within ``hops`` steps; the standard error is ``SKETCH_ERROR``.
 
     Each node holds a sketch of the nodes it reaches; a round passes sketches back along the steps and merges them, so a hop shuffles a sketch a step,
     however many nodes are reached.
     """
-    e = stored(steps(edges, rels, direction), "steps")
+    e = steps(edges, rels, direction, ready)
     near = stored(e.groupBy(F.col("src").alias("node")).agg(F.hll_sketch_agg("dst", F.lit(SKETCH_LG)).alias("s")), "sketches")
     far = near
     for _ in range(hops - 1):

@@ -76,7 +76,7 @@ r AS MATERIALIZED (SELECT start, node, min(hop)::INT AS hop FROM (SELECT *, 1 AS
 
 @q("graph_reach3", REACH + " SELECT start, node, hop FROM r")
 def graph_reach3(spark, sf):
-    return G.reach(imports(spark, sf), starts(spark, sf), 3)
+    return G.reach(imports(spark, sf), starts(spark, sf), 3, ready=True)
 
 
 @q("reach_both_ways", E_SQL + """, u AS (SELECT src, dst FROM imp UNION SELECT dst, src FROM imp), a AS (SELECT DISTINCT dst AS node FROM u WHERE src = 3), b AS (SELECT DISTINCT u.dst AS node FROM a JOIN u ON u.src = a.node WHERE u.dst <> 3)
@@ -97,7 +97,7 @@ RISK = "CASE WHEN {0} = 0 THEN 'low' WHEN {0} < 5 THEN 'medium' WHEN {0} < 20 TH
 @q("impact_analysis", IMPACT + f" SELECT *, direct + transitive AS total_affected, {RISK.format('(direct + transitive)')} AS risk, {RISK.format('transitive')} AS distinct_risk FROM i")
 def impact_analysis(spark, sf):
     """``total_affected`` counts direct importers twice, ``distinct_risk`` once."""
-    r = G.reach(imports(spark, sf), starts(spark, sf), 3, direction="in").groupBy(F.col("start").alias("node")).agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"))
+    r = G.reach(imports(spark, sf), starts(spark, sf), 3, direction="in", ready=True).groupBy(F.col("start").alias("node")).agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     i = starts(spark, sf).join(r, "node", "left").select("node", z("direct"), z("transitive"))
     total = F.col("direct") + F.col("transitive")
@@ -113,7 +113,7 @@ def impact_advice(spark, sf):
 @q("impact_sketches")
 def impact_sketches(spark, sf):
     """About how many parts a change of each part reaches within three hops against its imports; all parts at once."""
-    r = G.reach_sizes(imports(spark, sf), 3, direction="in")
+    r = G.reach_sizes(imports(spark, sf), 3, direction="in", ready=True)
     return table(spark, sf, "part", F.col("p_partkey").alias("node")).join(r, "node", "left").select("node", F.coalesce("reached", F.lit(0)).alias("affected"))
 
 
@@ -124,7 +124,7 @@ EXACT = IMPACT.replace(f"p_partkey % {FAR_SEEDS} = 0", f"p_partkey % {SEEDS} = 0
 def impact_sketch_error(spark, sf):
     """The exact number beside the sketch's, for parts divisible by ``SEEDS``: within four standard errors."""
     s = starts(spark, sf, SEEDS)
-    exact = G.reach(imports(spark, sf), s, 3, direction="in").groupBy(F.col("start").alias("node")).agg(F.count("*").alias("exact"))
+    exact = G.reach(imports(spark, sf), s, 3, direction="in", ready=True).groupBy(F.col("start").alias("node")).agg(F.count("*").alias("exact"))
     d = s.join(exact, "node", "left").join(impact_sketches(spark, sf), "node").select("node", F.coalesce("exact", F.lit(0)).alias("exact"), "affected")
     return d.select("node", "exact", (F.abs(F.col("affected") - F.col("exact")) <= 4 * G.SKETCH_ERROR * F.col("exact")).alias("within_bound"))
 
@@ -132,8 +132,8 @@ def impact_sketch_error(spark, sf):
 @q("subgraph", REACH.replace(f"p_partkey % {FAR_SEEDS} = 0", f"p_partkey % {SEEDS} = 0") + ", n AS MATERIALIZED (SELECT node FROM r WHERE hop <= 1 UNION SELECT start FROM s) SELECT src, dst FROM imp WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)")
 def subgraph(spark, sf):
     s = starts(spark, sf, SEEDS)
-    e = stored(imports(spark, sf), "edges")
-    nodes = G.reach(e, s, 1).select("node").unionByName(s).distinct()
+    e = imports(spark, sf)
+    nodes = G.reach(e, s, 1, ready=True).select("node").unionByName(s).distinct()
     return G.induced(e, nodes)
 
 
