@@ -364,6 +364,8 @@ def text_chunks(spark, sf):
     from tessera.plans.code import sources
 
     one = sources(spark, sf).select((-F.col("k")).alias("doc_id"), F.array_join(F.array_repeat(F.concat("source", F.lit("\n\n")), 8), "\n").alias("text"), F.lit("py").alias("suffix"))
+    # parts are few bytes and much work: they are dealt over tasks of a fixed number, else the tasks follow the bytes
+    one = one.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
     return C.chunked(files(spark, sf).select("doc_id", "text", "suffix").unionByName(one), "doc_id", "suffix")
 
 

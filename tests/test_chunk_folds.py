@@ -45,3 +45,11 @@ def test_every_branch_of_the_dispatcher(spark, sf):
     assert {"whole", "code", "text", "class", "function"} <= kinds
     one = got.where("doc_id = -2").orderBy("start_line").collect()
     assert [(r["kind"], r["name"]) for r in one][:1] == [("class", "Item2")] and {r["name"] for r in one} >= {"Item2", "build_2"}
+
+
+def test_text_that_overflows_the_parser(spark):
+    """Prose whose nesting is beyond the parser's stack is no source; it is cut by lines."""
+    deep = "- " * 20_000 + "x\n" + "plain words here\n" * 100
+    assert list(C.python_chunks(deep)) == [] and C.ast_complexity(deep) is None
+    got = C.chunked(spark.createDataFrame([(1, deep, "py")], "doc_id long, text string, suffix string"), "doc_id", "suffix").collect()
+    assert got and {r["kind"] for r in got} == {"code"}
