@@ -1,5 +1,10 @@
 """How work is dealt over tasks."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from tessera.operators import graph as G
 from tessera.operators import layout as L
 
 
@@ -11,3 +16,25 @@ def test_lines_of_a_file_are_dealt_once_and_by_count(spark, monkeypatch):
     assert filed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert filed.rdd.getNumPartitions() == 20
     assert [(r["name"], r["start_line"], r["end_line"]) for r in L.symbols(files, "k", "source").where("k = 7").orderBy("start_line").collect()] == [("f", 1, 2), ("g", 4, 6)]
+
+
+def test_counts_of_reach_without_its_pairs(spark, monkeypatch):
+    """The same counts as the pairs give, over several sets of starts; starts without a step are left out."""
+    monkeypatch.setattr(G, "WORDS", 2)
+    monkeypatch.setattr(G, "WORD", 3)
+    random.seed(4)
+    edges = spark.createDataFrame([(random.randrange(60), random.randrange(60)) for _ in range(90)], "src long, dst long")
+    start = spark.createDataFrame([(i,) for i in range(0, 70, 2)], "node long")
+    for direction in ("out", "in"):
+        want = {r["start"]: (r["d"], r["t"]) for r in G.reach(edges, start, 3, direction=direction).groupBy("start").agg(F.count_if(F.col("hop") == 1).alias("d"), F.count("*").alias("t")).collect()}
+        assert {r["start"]: (r["direct"], r["transitive"]) for r in G.reach_counts(edges, start, 3, direction=direction).collect()} == want
+
+
+def test_a_sketch_goes_once_to_each_block(spark, monkeypatch):
+    """Sizes do not depend on the blocks, and the session's settings stay."""
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 50) for i in range(50) for j in range(3)], "src long, dst long")
+    held, got = spark.conf.get(G.HELD), []
+    for width in (1, 20, 200_000):
+        monkeypatch.setattr(G, "BLOCK_NODES", width)
+        got.append(sorted(map(tuple, G.reach_sizes(edges, 3).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 50 and spark.conf.get(G.HELD) == held
