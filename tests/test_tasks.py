@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
 from tessera.operators import layout as L
+from tessera.operators import text_index as T
 
 
 def test_lines_of_a_file_are_dealt_once_and_by_count(spark, monkeypatch):
@@ -38,3 +39,20 @@ def test_a_sketch_goes_once_to_each_block(spark, monkeypatch):
         monkeypatch.setattr(G, "BLOCK_NODES", width)
         got.append(sorted(map(tuple, G.reach_sizes(edges, 3).collect())))
     assert got[0] == got[1] == got[2] and len(got[0]) == 50 and spark.conf.get(G.HELD) == held
+
+
+def test_hits_add_up_in_their_block(spark, monkeypatch, tmp_path):
+    """Texts are shuffled once by block, and the hits of many queries not at all: only packed postings and one row a query and document kept."""
+    monkeypatch.setattr(T, "BLOCK", 4)
+    docs = spark.createDataFrame([(i, "the common word " * (i % 5 + 1)) for i in range(64)] + [(70, None), (1, "the more")], "id long, text string")
+    T.build(docs, f"file://{tmp_path}/i", "id")
+    index = T.TextIndex(spark, f"file://{tmp_path}/i")
+    assert index.stats.first()["n"] == 65 and index.terms.where("token = 'the'").first()["df"] == 64
+    assert not (tmp_path / "i" / "counts").exists()
+    q = spark.createDataFrame([(i, w) for i in range(9) for w in ("the", "word")], "item int, token string")
+    asked, opened = index.asked(q)
+    scores = index.scores(asked, opened, opened.select("block").distinct().crossJoin(q.select("item").distinct()))
+    joined = scores._jdf.queryExecution().executedPlan().toString()
+    last = joined.split("Generate explode")[0]
+    assert "Exchange" not in last
+    assert scores.count() == 9 * 64 and scores.exceptAll(index.scores(asked, opened)).isEmpty()
