@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import vectors as V
+from tessera.sources.shared import stored
 
 SAMPLE, MOST_LISTS, LIST_ROWS = 50_000, 4096, 1 << 20
 SLACK = 1e-6
+#: Rows of a list, and queries, that meet in one product.
+SLICE, QUERIES = 20_000, 256
 
 
 def usable(points: DataFrame, vector: str) -> DataFrame:
@@ -60,8 +65,46 @@ class VectorIndex:
         return near.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("theta", "list")))
 
     def scored(self, probes: DataFrame, k: int, best: DataFrame | None = None) -> DataFrame:
-        """(qid, key, score, rank): the k best of the probed lists, and of ``best``."""
-        met = self.rows.join(probes.select("qid", "q", "list"), "list").select("qid", self.key, F.round(V.cosine(self.vector, "q"), 6).alias("score"))
+        """(qid, key, score, rank): the k best of the probed lists, and of ``best``.
+
+        A list, or a slice of a large one, meets the queries that probe it in one product of matrices, and each query leaves it with its k best; with a column ``least`` in ``probes``,
+        only with those that reach it.
+        """
+        key, vector = self.key, self.vector
+        if "least" not in probes.columns:
+            probes = probes.withColumn("least", F.lit(None).cast("double"))
+        cut = F.broadcast(self.lists.select("list", F.ceil(F.col("rows") / SLICE).cast("int").alias("slices")))
+        rows = self.rows.join(cut, "list").select("list", F.pmod(F.xxhash64(key), F.col("slices")).cast("int").alias("slice"), key, vector)
+        asked = probes.select("list", "qid", "q", "least").join(cut, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "qid", "q", "least")
+        kinds = {**dict(self.rows.dtypes), "qid": dict(probes.dtypes)["qid"]}
+
+        def unit(vectors: pa.ChunkedArray) -> np.ndarray:
+            v = vectors.combine_chunks()
+            m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float64)
+            return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+        def meet(held: pa.Table, asked: pa.Table) -> pa.Table:
+            found = []
+            if held.num_rows and asked.num_rows:
+                m, keys = unit(held.column(vector)), held.column(key).to_numpy()
+                least = np.nan_to_num(asked.column("least").to_numpy().astype(np.float64), nan=-np.inf)
+                qs, qids = unit(asked.column("q")), asked.column("qid").to_numpy()
+                for i in range(0, len(qs), QUERIES):
+                    score = np.round(qs[i : i + QUERIES] @ m.T, 6)
+                    floor = least[i : i + QUERIES]
+                    if len(keys) > k:
+                        floor = np.maximum(floor, np.partition(score, len(keys) - k, axis=1)[:, len(keys) - k])
+                    at, row = np.nonzero(score >= floor[:, None])
+                    order = np.lexsort((keys[row], -score[at, row], at))
+                    at, row = at[order], row[order]
+                    first = np.searchsorted(at, at, "left")
+                    on = np.arange(len(at)) - first < k
+                    at, row = at[on], row[on]
+                    found.append(pa.table([qids[i + at], keys[row], score[at, row]], ["qid", key, "score"]))
+            return pa.concat_tables(found) if found else pa.table([pa.array(qids_of(asked)), pa.array(keys_of(held)), pa.array([], pa.float64())], ["qid", key, "score"])
+
+        qids_of, keys_of = (lambda t: t.column("qid").slice(0, 0).combine_chunks()), (lambda t: t.column(key).slice(0, 0).combine_chunks())
+        met = rows.groupBy("list", "slice").cogroup(asked.groupBy("list", "slice")).applyInArrow(meet, f"qid {kinds['qid']}, `{key}` {kinds[key]}, score double")
         if best is not None:
             met = met.unionByName(best.select("qid", self.key, "score"))
         order = Window.partitionBy("qid").orderBy(F.desc("score"), self.key)
@@ -74,7 +117,7 @@ class VectorIndex:
     def exact(self, queries: DataFrame, k: int, probes: int = 2) -> DataFrame:
         """As a scan of all rows: after ``probes`` lists, only those that can hold a row above the k-th score."""
         near = self.near_lists(queries)
-        early = self.scored(near.where(F.col("place") <= probes), k)
+        early = stored(self.scored(near.where(F.col("place") <= probes), k), "early")
         least = early.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
         reach = F.cos(F.greatest(F.col("theta") - F.col("radius"), F.lit(0.0)))
         rest = near.where(F.col("place") > probes).join(least, "qid", "left").where(F.col("least").isNull() | (reach >= F.col("least") - SLACK))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as G
 from tessera.operators import layout as L
 from tessera.operators import text_index as T
+from tessera.operators import vector_index as VI
 
 
 def test_lines_of_a_file_are_dealt_once_and_by_count(spark, monkeypatch):
@@ -56,3 +57,22 @@ def test_hits_add_up_in_their_block(spark, monkeypatch, tmp_path):
     last = joined.split("Generate explode")[0]
     assert "Exchange" not in last
     assert scores.count() == 9 * 64 and scores.exceptAll(index.scores(asked, opened)).isEmpty()
+
+
+def test_lists_meet_queries_in_products(spark, monkeypatch, tmp_path):
+    """Slices of lists and blocks of queries give the rows of a scan, ties to the smaller key; scores are made in tasks of whole lists, not a row a pair."""
+    monkeypatch.setattr(VI, "SLICE", 7)
+    monkeypatch.setattr(VI, "QUERIES", 3)
+    random.seed(5)
+    vecs = [[random.choice([-1.0, 0.5, 2.0]) for _ in range(3)] for _ in range(90)]
+    rows = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<float>")
+    VI.build(rows, f"file://{tmp_path}/v", "vec_id", lists=3)
+    index = VI.VectorIndex(spark, f"file://{tmp_path}/v", "vec_id")
+    got = index.exact(rows.where("vec_id % 9 = 0").selectExpr("vec_id as qid", "embedding as q"), 6, 1)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+    want = {i: sorted((-cos(vecs[i], v), j) for j, v in enumerate(vecs))[:6] for i in range(0, 90, 9)}
+    found = {i: [] for i in want}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found[r["qid"]].append((-r["score"], r["vec_id"]))
+    assert found == want
