@@ -119,3 +119,16 @@ def test_lists_hold_every_usable_row_and_prune(spark, clustered):
     assert near.where(F.col("place") <= probes).agg(F.sum("rows")).first()[0] < 0.4 * 1200 * len(asked)
     found = {(r["qid"], r["vec_id"]) for r in index.search(q, 10, probes).collect()}
     assert sum((i, j) in found for i in want for j in want[i]) >= 0.9 * 10 * len(want)
+
+
+def test_postings_of_a_block_are_counted_in_one_pass():
+    """Without a window or a list of one token's rows to sort: rows of one key are one document, a null key comes first, null texts hold nothing."""
+    import pyarrow as pa
+
+    docs, texts = pa.chunked_array([pa.array([7, None, 3], pa.int32()), pa.array([7, 9], pa.int32())]), pa.chunked_array([pa.array(["b a b", "a", "c_1 a"]), pa.array(["a é", None])])
+    found, n, held, most = T.block_postings(docs, texts, 2.0)
+    assert dict(zip(found, held.to_pylist())) == {
+        "a": [{"doc": None, "tf": 1, "len": 1}, {"doc": 3, "tf": 1, "len": 2}, {"doc": 7, "tf": 2, "len": 4}], "b": [{"doc": 7, "tf": 2, "len": 4}], "c_1": [{"doc": 3, "tf": 1, "len": 2}]}
+    assert dict(zip(found, n.tolist())) == {"a": 3, "b": 1, "c_1": 1} and held.type.value_type.field("doc").type == pa.int32()
+    tf = lambda tf, size: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 2.0))
+    assert dict(zip(found, most.round(9))) == {"a": round(max(tf(1, 1), tf(1, 2), tf(2, 4)), 9), "b": round(tf(2, 4), 9), "c_1": round(tf(1, 2), 9)}
