@@ -150,7 +150,8 @@ def stream_state(spark, sf):
     """The hashes that the change stream has saved: those of the files of the second scan, read from its checkpoint."""
     at = S.scratch(spark)
     watched(spark, sf, at)
-    return S.saved_state(spark, at, 1, "last").select(F.col("key.path").alias("path"), F.col("value.hash").alias("hash")).where("path <> ''")
+    held = S.saved_state(spark, at, 1, "last").select(F.explode(F.arrays_zip("value.paths", "value.hashes")).alias("f"))
+    return held.select(F.col("f.paths").alias("path"), F.col("f.hashes").alias("hash")).where("path <> ''")
 
 
 def watched(spark, sf, run: str) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Keyed processors with event-time timers: file changes, and batches or sessions that end when idle.
+"""Keyed processors with event-time timers: file changes by bucket, and batches or sessions that end when idle.
 
-All state has an end: a session's state goes when its timer fires, a deleted path's state goes with the deletion, a held change goes when its window is over.  Times are event times, so results do
+All state has an end: a session's state goes when its timer fires, a deleted path goes from its bucket's state with the deletion, a held change goes when its window is over.  Times are event times, so results do
 not depend on how the input falls into micro-batches, as long as rows are no later than the watermark.
 """
 
@@ -18,24 +18,37 @@ def _all(frames, *order: str) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(list(order))
 
 
+#: Keys that paths and content hashes are dealt over: a handler is called once a bucket and batch, however many paths there are.
+BUCKETS = 4096
+
+
+def bucket(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+
+
 class PathState(StatefulProcessor):
-    """The last content hash of a path; a change row when an observation differs from it.  A null hash means that the path is gone."""
+    """The last content hash of each path of a bucket; a change row when an observation differs from it.  A null hash means that the path is gone."""
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "hash string")
+        self.last = handle.getValueState("last", "paths array<string>, hashes array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        now = self.last.get()[0] if self.last.exists() else None
-        was, out = now, []
-        for us, h in _all(rows, "us", "hash")[["us", "hash"]].itertuples(index=False):
-            h = None if pd.isna(h) else h
-            if h != now:
-                out.append((key[0], "created" if now is None else "deleted" if h is None else "modified", h or now, us))
-            now = h
-        if now is None:
+        now = dict(zip(*self.last.get())) if self.last.exists() else {}
+        was, out = dict(now), []
+        for path, us, h in _all(rows, "us", "hash")[["path", "us", "hash"]].itertuples(index=False, name=None):
+            path, h = (None if pd.isna(x) else x for x in (path, h))
+            old = now.get(path)
+            if h == old:
+                continue
+            out.append((path, "created" if old is None else "deleted" if h is None else "modified", h or old, us))
+            if h is None:
+                del now[path]
+            else:
+                now[path] = h
+        if not now:
             self.last.clear()
         elif now != was:
-            self.last.update((now,))
+            self.last.update((list(now), list(now.values())))
         if out:
             d = pd.DataFrame(out, columns=["path", "kind", "hash", "us"])
             yield d.assign(ts=pd.to_datetime(d["us"], unit="us"))
@@ -45,9 +58,9 @@ class PathState(StatefulProcessor):
 
 
 class Moves(StatefulProcessor):
-    """Per content hash, holds deletions and creations for ``window`` microseconds; a creation and a deletion that meet are one move.
+    """Holds the deletions and creations of a bucket of content hashes for ``window`` microseconds; a creation and a deletion of one hash that meet are one move.
 
-    The k-th path deleted and the k-th created, by time and path, belong together.
+    The k-th path deleted and the k-th created of a hash, by time and path, belong together.  A timer of one hash finds nothing due of another, whose own timers come first.
     """
 
     def __init__(self, window: int):
@@ -55,33 +68,41 @@ class Moves(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "path string, kind string, us long")
+        self.held = handle.getListState("held", "hash string, path string, kind string, us long")
 
     def handleInputRows(self, key, rows, timerValues):
         d = _all(rows, "us", "path")
-        for path, us, h in d[d["kind"] == "modified"][["path", "us", "hash"]].itertuples(index=False):
-            yield pd.DataFrame([(path, None, "modified", h, us)], columns=OUT)
+        changed = d[d["kind"] == "modified"]
+        if len(changed):
+            yield changed.assign(from_path=None)[OUT]
         rest = d[d["kind"] != "modified"]
         if len(rest):
-            self.held.appendList(list(rest[["path", "kind", "us"]].itertuples(index=False, name=None)))
+            self.held.appendList(list(rest[["hash", "path", "kind", "us"]].itertuples(index=False, name=None)))
             for us in rest["us"].unique():
                 self.handle.registerTimer(-(-(int(us) + self.window) // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         upto = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.window
-        held = sorted(self.held.get(), key=lambda r: (r[2], r[0]))
+        by, out, left = {}, [], []
+        for h, *r in self.held.get():
+            by.setdefault(h, []).append(tuple(r))
+        for h, held in by.items():
+            found, rest = self.due(sorted(held, key=lambda r: (r[2], r[0])), upto)
+            out += [(path, origin, kind, h, us) for path, origin, kind, us in found]
+            left += [(h, *r) for r in rest]
+        self.held.put(left) if left else self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=OUT)
+
+    def due(self, held: list, upto: int) -> tuple[list, list]:
+        """(path, from_path, kind, us) of what leaves of one hash, and what stays held."""
         old = [r for r in held if r[2] <= upto]
         gone, made = ([r for r in held if r[1] == k] for k in ("deleted", "created"))
-        pairs = list(zip(gone, made))
         # a change leaves when its own window is over, or with its partner's
-        met = [(g, m) for g, m in pairs if min(g[2], m[2]) <= upto and abs(g[2] - m[2]) <= self.window]
+        met = [(g, m) for g, m in zip(gone, made) if min(g[2], m[2]) <= upto and abs(g[2] - m[2]) <= self.window]
         used = {id(r) for p in met for r in p}
         alone = [r for r in old if id(r) not in used]
-        out = [(m[0], g[0], "moved", key[0], m[2]) for g, m in met] + [(r[0], None, r[1], key[0], r[2]) for r in alone]
-        left = [tuple(r) for r in held if id(r) not in used and r[2] > upto]
-        self.held.put(left) if left else self.held.clear()
-        if out:
-            yield pd.DataFrame(out, columns=OUT)
+        return [(m[0], g[0], "moved", m[2]) for g, m in met] + [(r[0], None, r[1], r[2]) for r in alone], [r for r in held if id(r) not in used and r[2] > upto]
 
     def close(self) -> None:
         pass
@@ -95,8 +116,8 @@ def file_changes(observed: DataFrame, window: str = "1 second", late: str = "0 s
     observed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     micros = int(pd.Timedelta(window) / pd.Timedelta("1us"))
     seen = observed.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    changes = seen.groupBy("path").transformWithStateInPandas(PathState(), "path string, kind string, hash string, us long, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts")
-    return changes.groupBy("hash").transformWithStateInPandas(Moves(micros), "path string, from_path string, kind string, hash string, us long", "Append", "EventTime")
+    changes = seen.withColumn("bucket", bucket("path")).groupBy("bucket").transformWithStateInPandas(PathState(), "path string, kind string, hash string, us long, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts")
+    return changes.withColumn("bucket", bucket("hash")).groupBy("bucket").transformWithStateInPandas(Moves(micros), "path string, from_path string, kind string, hash string, us long", "Append", "EventTime")
 
 
 class Idle(StatefulProcessor):

@@ -89,3 +89,21 @@ def test_idle_batches_and_empty_state(spark, tmp_path, size):
             want.append((k, open_[0], open_[-1], len(open_), "idle"))
     assert sorted(tuple(r) for r in out.select("key", "started_us", "ended_us", "n", "reason").collect()) == sorted(want)
     assert left == 0
+
+
+def test_paths_share_the_keys_of_their_buckets(spark, tmp_path, monkeypatch):
+    """Handlers are called and state is kept by bucket, not by path or content; moves pair by content within a bucket, over windows that end apart."""
+    monkeypatch.setattr(P, "BUCKETS", 3)
+    folder, at = f"file://{tmp_path}/in", f"file://{tmp_path}"
+    one = {f"p{i:03}": f"h{i // 2}" for i in range(200)}
+    put(spark, scan(one, 0), SEEN, folder)
+    put(spark, scan({}, 20, [f"p{i:03}" for i in range(0, 60)]), SEEN, folder)
+    put(spark, scan({f"q{i:03}": f"h{i // 2}" for i in range(0, 40)}, 22) + scan({"p100": "new"}, 23), SEEN, folder)
+    put(spark, scan({"r1": "h25"}, 27), SEEN, folder)  # h25 went at 20: too long ago for a move
+    for s in (999, 1999):
+        put(spark, scan({"end": "0"}, s), SEEN, folder)
+    out, left = run(spark, changes_of(spark), folder, at)
+    got = sorted((r["kind"], r["path"], r["from_path"]) for r in out.collect() if r["path"] != "end")
+    want = [("created", p, None) for p in one] + [("moved", f"q{i:03}", f"p{i:03}") for i in range(40)] + [("deleted", f"p{i:03}", None) for i in range(40, 60)]
+    assert got == sorted(want + [("modified", "p100", None), ("created", "r1", None)], key=lambda r: (r[0], r[1]))
+    assert left <= 3 * 2  # a row a bucket of paths, and no held change but the last observation's
