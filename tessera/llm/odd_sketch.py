@@ -33,6 +33,8 @@ SAMPLES, BITS, MISS = 512, 1024, 1e-9
 #: (bands, part of the way from the threshold to equality that a pair's sketches must reach) of each pass.
 PASSES = ((4, 0.5), (8, 0.0), (BANDS, 0.0))
 MAX_BROADCAST = 100_000
+#: Names of sets, a number each, that go to every task.
+MAX_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
@@ -150,12 +152,11 @@ class Search:
         self.whole: DataFrame | None = None
 
     def bucketed(self, of) -> DataFrame:
-        """(key, rid) of the bands that ``of`` leaves."""
-        return self.sets.select("rid", F.explode(of("bands")).alias("key"))
+        """(key, rid, comp) of the bands that ``of`` leaves: lists of bands meet their class before they are rows, and rows are dealt by key once for all that groups or joins them."""
+        return self.sets.select("rid", of("bands").alias("bands")).join(self.label, "rid").select("rid", "comp", F.explode("bands").alias("key")).repartition("key")
 
-    def open_buckets(self, rows: DataFrame, size: bool = False) -> DataFrame:
+    def open_buckets(self, placed: DataFrame, size: bool = False) -> DataFrame:
         """(key, rid, comp, n, s0..) of the rows in buckets of two classes or more; with the bucket's size if asked for."""
-        placed = rows.select("key", "rid").join(self.label, "rid")
         keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", *(["members"] if size else []))
         return work_table(placed.join(keys, "key").join(self.sets.select("rid", "n", *SKETCH), "rid"), "buckets")
 
@@ -179,12 +180,16 @@ class Search:
     def link(self, candidates: DataFrame) -> None:
         """Settle candidates on whole sets and merge the classes that they link."""
         pairs = work_table(candidates.distinct(), "candidates")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+        asked = work_table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "pair-sets")
+        need = asked
         if self.whole is not None:
             need = need.join(self.whole.select("rid"), "rid", "left_anti")
         got = work_table(whole_sets(self.docs, self.sets.join(need, "rid").select("rid", "row.none", "row.low", "row.key")), "whole-sets")
         self.whole = got if self.whole is None else self.whole.unionByName(got)
-        g = lambda c: self.whole.select(F.col("rid").alias(c), F.col("g").alias(f"g{c}"))
+        # sets that earlier pairs have read stay where they are
+        few = F.broadcast(asked) if asked.count() <= MAX_IDS else asked
+        whole = self.whole.join(few, "rid", "left_semi")
+        g = lambda c: whole.select(F.col("rid").alias(c), F.col("g").alias(f"g{c}"))
         both = pairs.join(g("a"), "a").join(g("b"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
         linked = both.where(100 * F.col("shared") >= self.similarity * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b")
         of = lambda c: self.label.select(F.col("rid").alias(c), F.col("comp").alias(f"c{c}"))

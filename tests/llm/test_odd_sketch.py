@@ -109,3 +109,18 @@ def test_sets_of_blocks_of_any_size():
             got += [h[i:j].tolist() for i, j in zip(off, off[1:])]
         assert [len(x) for x in got] == [6, 0, 0, 1, 1, 1]
     assert O.sets(Block(np.frombuffer(b"x yx y", np.uint8), np.array([0, 3, 6]), 0))[0].tolist()[0] == O.sets(Block(np.frombuffer(b"x yx y", np.uint8), np.array([0, 3, 6]), 0))[0].tolist()[1]
+
+
+def test_rows_of_bands_are_dealt_once_and_sets_read_before_stay(spark, monkeypatch):
+    """Buckets are grouped and joined on one exchange of lists that have met their class; a pass moves the whole sets of its own pairs only."""
+    plans, real = {}, O.work_table
+
+    def kept(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(O, "work_table", kept)
+    rows = awkward()
+    assert sorted(map(tuple, O.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str) == brute(rows)
+    assert len(plans["buckets"]) == 1 + len(O.PASSES) and all("RepartitionByExpression [key" in p for p in plans["buckets"])
+    assert len(plans["links"]) == 1 + len(O.PASSES) and all("LeftSemi" in p for p in plans["links"])
