@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.llm import odd_sketch, suffix_dedup
+from test_operators import DOCS, suffix_brute
 
 random.seed(21)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -61,3 +62,17 @@ def test_copies_and_near_copies(spark, tmp_path):
     got = {r["doc_id"]: r for r in odd_sketch.query(spark, table(spark, tmp_path, rows)).collect()}
     assert all(got[d]["component_id"] == i and not got[d]["kept"] for d, i in near.items())
     assert all(got[i]["kept"] for i in range(12)) and all(got[500 + i]["kept"] for i in range(12))
+
+
+def test_shorter_strings_where_the_length_says_so(spark):
+    """The operator's length decides: below the contract's 400 bytes a passage of 51 words goes from each text that holds it, and all else stays."""
+    rng = random.Random(7)
+    some = lambda n: " ".join("".join(rng.choices(LETTERS, k=rng.randint(4, 7))) for _ in range(n))
+    passage = some(51)
+    rows = [(i, some(20) + f" {i}! " + passage + f" !{i} " + some(30)) for i in range(4)] + [(10 + i, some(60)) for i in range(6)]
+    assert 250 < len(passage) < 390
+    d = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    at = lambda n: {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(d, n).collect()}
+    assert at(400) == dict(rows) and at(250) == {i: t.replace("! " + passage + " !", "") for i, t in rows}
+    d = spark.createDataFrame(DOCS, "doc_id long, text string, source string").repartition(3)
+    assert sorted(map(tuple, suffix_dedup.digests(d, 250).collect()), key=str) == suffix_brute(DOCS, 250)
