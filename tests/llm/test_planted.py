@@ -76,3 +76,15 @@ def test_shorter_strings_where_the_length_says_so(spark):
     assert at(400) == dict(rows) and at(250) == {i: t.replace("! " + passage + " !", "") for i, t in rows}
     d = spark.createDataFrame(DOCS, "doc_id long, text string, source string").repartition(3)
     assert sorted(map(tuple, suffix_dedup.digests(d, 250).collect()), key=str) == suffix_brute(DOCS, 250)
+
+
+def test_passages_of_the_benchmark(spark, sf, tmp_path):
+    """The passages of over 50 words in the given tables are shorter than a window: documents that share one lose nothing, and the query removes what windows cover, no more and no less."""
+    rng = random.Random(8)
+    some = lambda: " ".join("".join(rng.choices(LETTERS, k=rng.randint(4, 7))) for _ in range(30))
+    long = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r["text"].encode().split()) > 50]
+    assert long and all(len(p.encode()) < 396 for p in long)
+    planted = [(-1 - i, f"{some()} {i} {p} {i} {some()}") for i, p in enumerate(long * 3)]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + planted
+    got = sorted(map(tuple, suffix_dedup.query(spark, table(spark, tmp_path, rows)).collect()), key=str)
+    assert got == suffix_brute([(*r, None) for r in rows]) and len(planted) == sum(r[0] < 0 and r[2] == 0 for r in got) and any(r[2] for r in got)
