@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.shared import stored
+
 #: Patterns of one line; groups: definition (indent, kind, name), import (module, alias), import of names (module, name, alias), calls (qualifier, name).
 DEFINITION = r"^(\s*)(?:async\s+)?(def|class)\s+(\w+)"
 IMPORT = r"^\s*import\s+([\w.]+)(?:\s+as\s+(\w+))?\s*$"
@@ -69,21 +71,31 @@ def import_edges(parsed: DataFrame, modules: DataFrame) -> DataFrame:
     return i.join(known, "target", "left").select("module", "target", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
+def dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, never broadcast."""
+    return side.hint("merge")
+
+
 def call_edges(parsed: DataFrame) -> DataFrame:
-    """(module, cls, fn, called, callee_module, callee_cls, callee, how) of each resolved call and each that is not."""
-    d, i = definitions(parsed), imports(parsed)
-    c = calls(parsed).withColumn("called", F.when(F.col("qualifier") != "", F.concat("qualifier", F.lit("."), "name")).otherwise(F.col("name")))
+    """(module, cls, fn, called, callee_module, callee_cls, callee, how) of each resolved call and each that is not.
+
+    Facts are stored once, so no join reads the sources again.  They grow with the sources but look small to a planner, which goes by the size of what they are cut from or of
+    their packed files; so joins say that no side goes to the driver.
+    """
+    d, i = stored(definitions(parsed), "definitions"), stored(imports(parsed), "imports-found")
+    c = stored(calls(parsed), "calls").withColumn("called", F.when(F.col("qualifier") != "", F.concat("qualifier", F.lit("."), "name")).otherwise(F.col("name")))
     free = F.col("qualifier") == ""
     # own class, own module
     own = d.select("module", F.col("cls").alias("own_cls"), "name", F.lit(True).alias("own"))
-    c = c.withColumn("own_cls", F.when(free, "").when(F.col("qualifier") == "self", F.col("cls"))).join(own, ["module", "own_cls", "name"], "left")
+    c = c.withColumn("own_cls", F.when(free, "").when(F.col("qualifier") == "self", F.col("cls"))).join(dealt(own), ["module", "own_cls", "name"], "left")
     # through an import: the name of a function, or the qualifier of a module
     by = i.select("module", F.col("alias").alias("key"), "target", F.col("name").alias("imported"), F.col("name").isNull().alias("whole"))
-    c = c.withColumn("key", F.when(free, F.col("name")).otherwise(F.col("qualifier"))).join(by, ["module", "key"], "left")
+    c = c.withColumn("key", F.when(free, F.col("name")).otherwise(F.col("qualifier"))).join(dealt(by), ["module", "key"], "left")
     fits = F.col("target").isNotNull() & (free != F.col("whole"))
     c = c.withColumns({"to": F.when(fits, F.col("target")), "to_name": F.when(fits, F.coalesce("imported", "name"))})
     there = d.where("cls = ''").select(F.col("module").alias("to"), F.col("name").alias("to_name"), F.lit(True).alias("there"))
-    c = c.join(there, ["to", "to_name"], "left")
+    # what no import fits has a key of its own, so such calls spread
+    c = c.withColumn("at", F.coalesce("to", F.concat(F.lit("\0"), "module"))).join(dealt(there.withColumnRenamed("to", "at")), ["at", "to_name"], "left")
     key = ["module", "cls", "fn", "called", "name"]
     best = c.groupBy(*key, "own_cls").agg(F.max("own").alias("own"), F.array_distinct(F.collect_list(F.when(F.col("there"), F.struct("to", "to_name")))).alias("found"))
     edge = lambda m, k, n, how: [F.col(x) for x in key[:4]] + [m.alias("callee_module"), k.alias("callee_cls"), n.alias("callee"), F.lit(how).alias("how")]
@@ -93,8 +105,8 @@ def call_edges(parsed: DataFrame) -> DataFrame:
     # by name in the whole project; a name of many definitions is cut by a salt
     left = rest.where(F.size("found") == 0)
     many = d.groupBy("name").agg(F.ceil(F.count("*") / SALTED).alias("salts"))
-    salted = d.join(many, "name").select("name", F.pmod(F.xxhash64("module"), F.col("salts")).alias("salt"), F.col("module").alias("dm"), F.col("cls").alias("dc"))
-    asked = left.join(many, "name", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
-    named = asked.join(salted, ["name", "salt"]).select(*edge(F.col("dm"), F.col("dc"), F.col("name"), "project"))
-    none = left.join(many, "name", "left_anti").select(*edge(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), "unresolved"))
+    salted = d.join(dealt(many), "name").select("name", F.pmod(F.xxhash64("module"), F.col("salts")).alias("salt"), F.col("module").alias("dm"), F.col("cls").alias("dc"))
+    asked = left.join(dealt(many), "name", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
+    named = asked.join(dealt(salted), ["name", "salt"]).select(*edge(F.col("dm"), F.col("dc"), F.col("name"), "project"))
+    none = left.join(dealt(many), "name", "left_anti").select(*edge(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), "unresolved"))
     return mine.unionByName(brought).unionByName(named).unionByName(none).distinct()

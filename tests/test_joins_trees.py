@@ -153,3 +153,10 @@ def test_a_name_of_many_modules_is_salted(spark, monkeypatch):
     monkeypatch.setattr(N, "SALTED", 3)
     s = spark.range(20).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("module"), F.when(F.col("id") < 15, "def get():\n    pass").otherwise("def ask():\n    get()").alias("source"))
     assert N.call_edges(N.lines(s)).where("how = 'project'").count() == 15 * 5
+
+
+def test_facts_are_joined_in_tasks_only(spark):
+    """Facts look small beside what they are cut from, so size alone would send those of a whole project to the driver; calls that no import fits are spread."""
+    s = spark.createDataFrame(list(SOURCES.items()), "module string, source string")
+    plan = N.call_edges(N.lines(s))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate posexplode" not in plan and "SortMergeJoin [at#" in plan
