@@ -1,5 +1,6 @@
 """How work is dealt over tasks."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from tessera.operators import graph as G
 from tessera.operators import layout as L
 from tessera.operators import text_index as T
 from tessera.operators import vector_index as VI
-from tessera.plans import code
+from tessera.plans import code, graph
+from tessera.sources.shared import shared_dir
 
 
 def test_lines_of_a_file_are_dealt_once_and_by_count(spark, monkeypatch):
@@ -55,6 +57,39 @@ def test_a_sketch_goes_once_to_each_block(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) == 50 and spark.conf.get(G.HELD) == held
 
 
+def test_sketches_leave_the_disk(spark, tmp_path):
+    """Steps are packed without a shuffle, and of a count only the numbers stay; a node counts itself only if a cycle returns to it."""
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (5, 5), (6, 7), (7, 6), (90, 2), (91, 90), (-3, 6)]
+    df = spark.createDataFrame(sorted(edges), "src long, dst long").repartition(1).sortWithinPartitions("src")
+    df.write.parquet(f"file://{tmp_path}/e")
+    df = spark.read.parquet(f"file://{tmp_path}/e")
+    rows = G.packed(df.selectExpr("dst as src", "src as dst"), 4)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["dst"], r["block"] * 4 + t) for r in rows.collect() for t in r["takers"]}
+    assert got == set(edges) and {r["dst"] for r in rows.where("own").collect()} == {a for a, _ in edges}
+    home = shared_dir(spark).removeprefix("file://") + f"/tessera-stored/{spark.sparkContext.applicationId}"
+    for direction in ("in", "out"):
+        before = set(os.listdir(home)) if os.path.exists(home) else set()
+        sizes = G.reach_sizes(df, 3, direction=direction, ready=True)
+        assert [x.split("-")[0] for x in set(os.listdir(home)) - before] == ["sizes"]
+        step = {}
+        for a, b in edges:
+            step.setdefault(*((a, set()) if direction == "out" else (b, set()))).add(b if direction == "out" else a)
+        want = {}
+        for n in step:
+            want[n], front = set(), {n}
+            for _ in range(3):
+                front = set().union(*(step.get(x, set()) for x in front))
+                want[n] |= front
+        assert {r["node"]: r["reached"] for r in sizes.collect()} == {n: len(x) for n, x in want.items()}
+
+
+def test_edges_of_all_lines_are_shuffled_once(spark, sf):
+    plan = graph.found_imports(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    pairs = [x for x in plan.split("\n") if "Exchange hashpartitioning(src" in x]
+    assert len(pairs) == 1 and "dst" not in pairs[0].split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_hits_add_up_in_their_block(spark, monkeypatch, tmp_path):
     """Texts are shuffled once by block, and the hits of many queries not at all: only packed postings and one row a query and document kept."""
     monkeypatch.setattr(T, "BLOCK", 4)
